@@ -8,8 +8,15 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _OPERATORS = {
+    "op1_substring_dedup": "substring_dedup",
+    "op2_bpe": "bpe",
     "op3_line_dedup": "line_dedup",
+    "op4_token_files": "token_files",
+    "op5_html_text": "html_text",
+    "op6_decontamination": "decontaminate",
+    "op7_near_dedup": "near_dedup",
     "op8_quality_classifier": "quality",
+    "op9_token_counts": "token_counts",
     "op10_exact_dedup": "exact_dedup",
 }
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import BLOCK, id_column, mix, raw_texts, read_table, restore_id, word_hashes
 
 #: Labelled rows that a model may be trained on, at most: those with the smallest hash of their doc_id.
-SAMPLE = 6000
+SAMPLE = 4000
 BITS, DIM, EPOCHS, RATE, SEED = 17, 12, 8, 0.6, 7
 GRAMS = (3, 4)
 THRESHOLD = 0.3
