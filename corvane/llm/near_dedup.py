@@ -71,39 +71,44 @@ def _sets(size: int, trees: int, depth: int):
     return run
 
 
-def _trees(trees: int, depth: int):
-    """Rows (tree, row of the signature) of a document, by cutting its signature."""
+def _rows(sets: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(_id, n, tree, row): a document's rows of minhash values, one for each tree, by cutting its signature."""
     cut = [F.substring("sig", 1 + 4 * depth * t, 4 * depth) for t in range(trees)]
-    return F.posexplode(F.array(*cut)).alias("tree", "row")
+    return sets.select("_id", "n", F.posexplode(F.array(*cut)).alias("tree", "row"))
 
 
-def candidates(sets: DataFrame, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, least: int = LEAST_PREFIX, neighbours: int = NEIGHBOURS, region: int = REGION) -> DataFrame:
-    """(x, y), x < y: pairs that are near in some tree and whose set sizes allow the similarity."""
-    rows = sets.select("_id", "n", _trees(trees, depth))
-    pairs = None
+def _prefix(level: int):
+    return F.xxhash64("tree", F.substring("row", 1, 4 * level))
+
+
+def regions(rows: DataFrame, depth: int, least: int, region: int) -> DataFrame:
+    """rows with the key of their region: the shortest prefix, of `least` values or more, that at most `region` documents share.
+
+    Only the keys of crowded regions are kept between levels, and there is at most one of them for every `region` rows.
+    A crowd that agrees to the last level is cut into stretches by a hash of the ids; `crowd` is its key there.
+    """
+    keyed = rows.withColumn("key", _prefix(least)).withColumn("crowd", F.lit(None).cast("long"))
     for level in range(least, depth + 1, 2):
-        prefix = rows.withColumn("p", F.substring("row", 1, 4 * level))
-        crowded = prefix.groupBy("tree", "p").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
         last = level + 2 > depth
-        # regions of one document have no neighbours and leave here; so do those that go on at a deeper prefix
-        small = prefix.join(crowded if last else crowded.filter(F.col("c") <= region), ["tree", "p"])
-        if last:  # a crowd that agrees to the end: its order is cut into stretches of bounded size, chained by their first rows
-            small = small.withColumn("s", F.when(F.col("c") > region, F.pmod(F.xxhash64("_id"), F.ceil(F.col("c") / region))).otherwise(F.lit(0)))
-        else:
-            small = small.withColumn("s", F.lit(0).cast("long"))
-        order = Window.partitionBy("tree", "p", "s").orderBy("row", "_id")
-        near = small.select("_id", "n", *[F.lead(F.struct("_id", "n"), k).over(order).alias(f"m{k}") for k in range(1, neighbours + 1)])
-        found = near.select(F.col("_id"), "n", F.explode(F.array(*[f"m{k}" for k in range(1, neighbours + 1)])).alias("m"))
-        if last:
-            heads = small.filter(F.col("c") > region).groupBy("tree", "p").agg(F.min(F.struct("_id", "n")).alias("m"))
-            ends = small.filter(F.col("c") > region).join(heads, ["tree", "p"]).filter(F.col("_id") != F.col("m._id")).select("_id", "n", "m")
-            found = found.unionByName(ends)
-        found = found.filter("m IS NOT NULL AND m._id <> _id").filter((100 * F.least("n", "m.n") >= percent * F.greatest("n", "m.n")))
-        found = found.select(F.least("_id", "m._id").alias("x"), F.greatest("_id", "m._id").alias("y"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if not last:
-            rows = prefix.join(crowded.filter(F.col("c") > region).select("tree", "p"), ["tree", "p"], "left_semi").select("_id", "n", "tree", "row")
-    return pairs.distinct()
+        crowded = stage_table(keyed.filter("crowd IS NULL" if level == least else "deep").groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > region).select(F.col("key").alias("k"), "c"), "crowded")
+        joined = keyed.drop("deep").join(crowded, F.col("key") == F.col("k"), "left")
+        deep = F.col("k").isNotNull()
+        deeper = F.xxhash64("key", F.pmod(F.xxhash64("_id"), F.ceil(F.col("c") / region))) if last else _prefix(level + 2)
+        keyed = joined.select("_id", "n", "tree", "row", F.when(deep, deeper).otherwise(F.col("key")).alias("key"), F.when(deep & F.lit(last), F.col("k")).alias("crowd"), deep.alias("deep"))
+    return keyed.drop("deep")
+
+
+def candidates(sets: DataFrame, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, least: int = LEAST_PREFIX, neighbours: int = NEIGHBOURS, region: int = REGION) -> DataFrame:
+    """(x, y), x < y: pairs that are near in some tree and whose set sizes allow the similarity."""
+    placed = regions(_rows(sets, trees, depth), depth, least, region)
+    order = Window.partitionBy("key").orderBy("row", "_id")
+    leads = [F.lead(F.struct("_id", "n"), k).over(order).alias(f"m{k}") for k in range(1, neighbours + 1)]
+    near = placed.select("_id", "n", *leads).filter("m1 IS NOT NULL").select("_id", "n", F.explode(F.array(*[f"m{k}" for k in range(1, neighbours + 1)])).alias("m"))
+    crowds = placed.filter("crowd IS NOT NULL")
+    heads = crowds.groupBy("crowd").agg(F.min(F.struct("_id", "n")).alias("m"))
+    near = near.unionByName(crowds.join(heads, "crowd").select("_id", "n", "m"))  # stretches of a crowd hang together by its first document
+    found = near.filter("m IS NOT NULL AND m._id <> _id").filter(100 * F.least("n", "m.n") >= percent * F.greatest("n", "m.n"))
+    return found.select(F.least("_id", "m._id").alias("x"), F.greatest("_id", "m._id").alias("y")).distinct()
 
 
 def _confirm(size: int, percent: int):
