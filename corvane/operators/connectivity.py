@@ -13,6 +13,11 @@ EPS, TINY = 1e-12, 1e-9
 PAIR = ["grp", "subject", "src", "dst"]
 
 
+def corr(a: str, b: str) -> Column:
+    """Pearson correlation; null where a side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def cross(spectrum: DataFrame, ordered: bool = False) -> DataFrame:
     """(PAIR, epoch, f, re, im, pa, pb): X_src * conj(X_dst) and both powers; the self join is by subject, epoch and bin."""
     s = spectrum.select("grp", "subject", "epoch", "f", "channel", "re", "im")
@@ -69,7 +74,7 @@ def correlation_edges(samples: DataFrame, shrink: float = 0.05) -> DataFrame:
     """(PAIR, cov, cor, shrunk) of concatenated epochs: sample covariance, correlation, and the correlation shrunk to the identity; pairs with a constant channel have cor 0."""
     a = samples.select("grp", "subject", "epoch", "k", F.col("channel").alias("src"), F.col("v").alias("va"))
     b = samples.select("grp", "subject", "epoch", "k", F.col("channel").alias("dst"), F.col("v").alias("vb"))
-    j = a.join(b, ["grp", "subject", "epoch", "k"]).filter("src < dst").groupBy(*PAIR).agg(F.covar_samp("va", "vb").alias("cov"), F.coalesce(F.nanvl(F.corr("va", "vb"), F.lit(0.0)), F.lit(0.0)).alias("cor"))
+    j = a.join(b, ["grp", "subject", "epoch", "k"]).filter("src < dst").groupBy(*PAIR).agg(F.covar_samp("va", "vb").alias("cov"), F.coalesce(corr("va", "vb"), F.lit(0.0)).alias("cor"))
     return j.withColumn("shrunk", F.col("cor") * (1 - shrink))
 
 
@@ -98,4 +103,4 @@ def split_half_reliability(edges: DataFrame, value: str, top: float = 0.1) -> Da
     r = j.withColumns({"ra": rank("a"), "rb": rank("b"), "ta": best("a"), "tb": best("b")})
     both, either = F.sum((F.col("ta") & F.col("tb")).cast("long")), F.sum((F.col("ta") | F.col("tb")).cast("long"))
     size = F.sqrt(F.sum(F.col("a") ** 2)) + F.sqrt(F.sum(F.col("b") ** 2))
-    return r.groupBy(*key).agg(F.nanvl(F.corr("ra", "rb"), F.lit(None)).alias("spearman"), F.nanvl(F.corr("a", "b"), F.lit(None)).alias("pearson"), F.try_divide(2 * F.sqrt(F.sum((F.col("a") - F.col("b")) ** 2)), size).alias("error"), (both / either).alias("jaccard"))
+    return r.groupBy(*key).agg(corr("ra", "rb").alias("spearman"), corr("a", "b").alias("pearson"), F.try_divide(2 * F.sqrt(F.sum((F.col("a") - F.col("b")) ** 2)), size).alias("error"), (both / either).alias("jaccard"))

@@ -6,11 +6,16 @@ it has at most a few hundred rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY = ["grp", "subject"]
-GRAPH = Window.partitionBy(*KEY)
+
+
+def graph() -> WindowSpec:
+    """All rows of one graph."""
+    return Window.partitionBy(*KEY)
+
 
 
 def sanitise(edges: DataFrame) -> DataFrame:
@@ -42,14 +47,14 @@ def normalise(matrix: DataFrame, mode: str = "minmax") -> DataFrame:
     w = F.col("w")
     finite = F.when(w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")), 0.0).otherwise(w)
     if mode == "minmax":
-        lo, hi = F.min(finite).over(GRAPH), F.max(finite).over(GRAPH)
+        lo, hi = F.min(finite).over(graph()), F.max(finite).over(graph())
         return matrix.withColumn("w", F.when(hi > lo, (finite - lo) / (hi - lo)).otherwise(0.0))
     checked = F.when(finite != w, F.raise_error(F.lit("weights must be finite"))).otherwise(w)
     if mode == "maxabs":
-        top = F.max(F.abs(checked)).over(GRAPH)
+        top = F.max(F.abs(checked)).over(graph())
         return matrix.withColumn("w", F.when(top > 0, checked / top).otherwise(0.0))
     if mode == "zscore":
-        return matrix.withColumn("w", (checked - F.avg(checked).over(GRAPH)) / (F.stddev_pop(checked).over(GRAPH) + 1e-10))
+        return matrix.withColumn("w", (checked - F.avg(checked).over(graph())) / (F.stddev_pop(checked).over(graph()) + 1e-10))
     return matrix.withColumn("w", checked)
 
 
@@ -104,8 +109,8 @@ def transformations(matrix: DataFrame) -> DataFrame:
     """natural, mean, centred and rank (ties averaged, over the number of edges) of the edges above the diagonal."""
     own = matrix.filter("src < dst")
     ties = Window.partitionBy(*KEY, "w")
-    rank = (F.rank().over(GRAPH.orderBy("w")) + (F.count(F.lit(1)).over(ties) - 1) / 2) / F.count(F.lit(1)).over(GRAPH)
-    return own.select(*KEY, "src", "dst", F.col("w").alias("natural"), F.avg("w").over(GRAPH).alias("mean"), (F.col("w") - F.avg("w").over(GRAPH)).alias("centred"), rank.alias("rank"))
+    rank = (F.rank().over(graph().orderBy("w")) + (F.count(F.lit(1)).over(ties) - 1) / 2) / F.count(F.lit(1)).over(graph())
+    return own.select(*KEY, "src", "dst", F.col("w").alias("natural"), F.avg("w").over(graph()).alias("mean"), (F.col("w") - F.avg("w").over(graph())).alias("centred"), rank.alias("rank"))
 
 
 def quality_report(matrix: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import cohort, network, spectral
+from corvane.plans import cohort, models, network, spectral, sweeps
 
-MODULES = [network, cohort, spectral]
+MODULES = [network, cohort, spectral, sweeps, models]
 
 
 def queries() -> dict:

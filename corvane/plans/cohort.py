@@ -207,7 +207,7 @@ def h03_corrections(spark, sf):
 
 def h04_exact_binomial(spark, sf):
     c = A.selection(spark, sf).filter("rnk = 1").groupBy("node").agg(F.sum((F.col("unit") % 2).cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))
-    return c.select("node", "k", "n", F.round(binomial_tail(F.col("k"), F.least(F.col("n"), F.lit(60))), 6).alias("p"))
+    return c.select("node", "k", "n", F.round(binomial_tail(F.col("k"), F.col("n")), 6).alias("p"))
 
 
 def h11_h12_wilcoxon(spark, sf):
@@ -348,7 +348,7 @@ SQL = {
     "a21_completeness_audit": A.sql("selection participant", "SELECT band, count(*) FILTER (WHERE status = 'selected') AS selected, count(*) FILTER (WHERE status = 'no_result') AS no_result FROM status GROUP BY band", _SEL1, _GRID, _STATUS),
     "h02_mann_whitney": A.sql("measure", "SELECT band, measure, n1, n2, round(u, 6) AS u, round(p, 6) AS p FROM tested", mann_whitney_sql(_MEASURES)),
     "h03_corrections": A.sql("measure", f"SELECT band, measure, 'fdr_bh' AS method, round(p, 6) AS p, CASE WHEN p IS NOT NULL THEN round({bh_sql()}, 6) END AS p_adj FROM ps UNION ALL SELECT band, measure, 'bonferroni', round(p, 6), CASE WHEN p IS NOT NULL THEN round(least(p * m, 1.0), 6) END FROM ps UNION ALL SELECT band, measure, 'holm', round(p, 6), CASE WHEN p IS NOT NULL THEN round(least(max((m - rk + 1) * p) OVER (ORDER BY rk ROWS UNBOUNDED PRECEDING), 1.0), 6) END FROM ps", mann_whitney_sql(_MEASURES), "ps AS (SELECT band, measure, p, row_number() OVER (ORDER BY p NULLS LAST, band, measure) AS rk, count(p) OVER () AS m FROM tested)"),
-    "h04_exact_binomial": A.sql("selection", "SELECT node, CAST(k AS BIGINT) AS k, n, round((SELECT least(sum(c), 1.0) FROM (SELECT exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2)) AS c FROM range(0, 61) q(i) WHERE i >= k AND i <= m)), 6) AS p FROM (SELECT node, sum(unit % 2) AS k, count(*) AS n, least(count(*), 60)::DOUBLE AS m FROM first_ GROUP BY node)", _SEL1),
+    "h04_exact_binomial": A.sql("selection", "SELECT node, CAST(k AS BIGINT) AS k, n, round((SELECT least(sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2))), 1.0) FROM range(CAST(k AS BIGINT), n + 1) q(i)), 6) AS p FROM (SELECT node, sum(unit % 2) AS k, count(*) AS n FROM first_ GROUP BY node)", _SEL1),
     "h11_h12_wilcoxon": A.sql("selection", f"SELECT band, n, round(wp, 1) AS w_plus, round(wm, 1) AS w_minus, round((wp - wm) / (wp + wm), 6) AS rank_biserial, round(least(1.0, {duck_two_sided('abs(least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - t / 48)')}), 6) AS p FROM (SELECT band, count(*) AS n, coalesce(sum(rk) FILTER (WHERE d > 0), 0)::DOUBLE AS wp, coalesce(sum(rk) FILTER (WHERE d < 0), 0)::DOUBLE AS wm, sum(c * c - 1.0) AS t FROM rk_ GROUP BY band)", _PAIR, "rk_ AS (SELECT *, rank() OVER (PARTITION BY band ORDER BY a) + (count(*) OVER (PARTITION BY band, a) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY band, a) AS c FROM (SELECT band, before - after AS d, round(abs(before - after), 9) AS a FROM pair) WHERE d <> 0)"),
     "h15_friedman": A.sql("selection", f"SELECT n, round(stat, 6) AS statistic, round({duck_chi2_tail('stat', 2)}, 6) AS p FROM (SELECT max(n) AS n, round((12.0 / (max(n) * 3 * 4) * sum(r * r) - 3.0 * max(n) * 4) / (1 - sum(t) / (max(n) * 3 * 8.0)), 9) AS stat FROM (SELECT c, count(*) AS n, sum(rk) AS r, sum(ties * ties - 1.0) AS t FROM (SELECT *, rank() OVER (PARTITION BY unit ORDER BY v) + (count(*) OVER (PARTITION BY unit, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY unit, v) AS ties FROM (SELECT unit, 'u' AS c, round(urgent, 4) AS v FROM wide UNION ALL SELECT unit, 'h', round(high, 4) FROM wide UNION ALL SELECT unit, 'l', round(low, 4) FROM wide)) GROUP BY c))", _SEL1, _WIDE),
     "h18_wilson": A.sql("participant", "SELECT grp, CAST(k AS BIGINT) AS k, n, round(((k / n + z * z / (2 * n)) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4.0 * n * n))) / (1 + z * z / n), 6) AS low, round(((k / n + z * z / (2 * n)) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4.0 * n * n))) / (1 + z * z / n), 6) AS high FROM (SELECT grp, sum(gender)::DOUBLE AS k, count(*) AS n, 1.959963984540054::DOUBLE AS z FROM participant GROUP BY grp)"),

@@ -101,7 +101,7 @@ def c21_time_reversal(spark, sf):
 
 
 def c22_lag_design(spark, sf):
-    return S.lagged(samples(spark, sf), 2).groupBy("subject", "channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("v") * F.col("l1")), 3).alias("s1"), F.round(F.sum(F.col("v") * F.col("l2")), 3).alias("s2"))
+    return S.lagged(samples(spark, sf), 2).groupBy("subject", "channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("v") * F.col("l1")), 4).alias("s1"), F.round(F.sum(F.col("v") * F.col("l2")), 4).alias("s2"))
 
 
 def c24_invalid_subjects(spark, sf):
@@ -138,7 +138,7 @@ def d17_ordered_pairs(spark, sf):
 
 
 def d20_gram(spark, sf):
-    return C.gram(samples(spark, sf), 1).select("subject", "i", "li", "j", "lj", r("s", 3))
+    return C.gram(samples(spark, sf), 1).select("subject", "i", "li", "j", "lj", r("s", 4))
 
 
 def d31_correlation(spark, sf):
@@ -185,7 +185,7 @@ SQL = {
     "c19_quality": A.sql("signal", "SELECT grp, subject, count(*) AS channels, max(n) AS samples, 0::BIGINT AS n_bad, round(avg(m), 6) AS mean_abs, round(max(hi), 6) AS max_abs, round(min(lo), 6) AS min_abs, count(*) FILTER (WHERE sd < 1e-6) AS flat, count(*) FILTER (WHERE noisy) AS noisy FROM (SELECT *, sd > avg(sd) OVER (PARTITION BY subject) + 3 * stddev_pop(sd) OVER (PARTITION BY subject) AS noisy FROM (SELECT grp, subject, channel, count(*) AS n, avg(abs(v)) AS m, max(abs(v)) AS hi, min(abs(v)) AS lo, stddev_pop(v) AS sd FROM signal GROUP BY ALL)) GROUP BY grp, subject"),
     "c20_split_half": _sp("SELECT subject, split, count(*) AS n, round(sum(v), 4) AS total FROM (SELECT subject, 'full' AS split, v FROM epoch_sample UNION ALL SELECT subject, CASE WHEN epoch % 2 = 0 THEN 'odd' ELSE 'even' END, v FROM epoch_sample) GROUP BY ALL"),
     "c21_time_reversal": _sp(f"SELECT subject, channel, epoch, round(v, 4) AS v FROM epoch_sample WHERE k = {N - 1}"),
-    "c22_lag_design": _sp("SELECT subject, channel, count(*) AS n, round(sum(v * l1), 3) AS s1, round(sum(v * l2), 3) AS s2 FROM (SELECT *, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2 FROM epoch_sample WINDOW w AS (PARTITION BY subject, channel, epoch ORDER BY k)) WHERE k >= 2 GROUP BY ALL"),
+    "c22_lag_design": _sp("SELECT subject, channel, count(*) AS n, round(sum(v * l1), 4) AS s1, round(sum(v * l2), 4) AS s2 FROM (SELECT *, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2 FROM epoch_sample WINDOW w AS (PARTITION BY subject, channel, epoch ORDER BY k)) WHERE k >= 2 GROUP BY ALL"),
     "c24_invalid_subjects": _sp("SELECT grp, subject, reason FROM (SELECT grp, subject, CASE WHEN count(DISTINCT epoch) < 6 THEN 'epochs' WHEN count(DISTINCT channel) < 5 THEN 'channels' WHEN count(DISTINCT k) < 16 THEN 'samples' END AS reason FROM epoch_sample WHERE v > 0 GROUP BY ALL) WHERE reason IS NOT NULL"),
     "d01_cross_spectrum": _sp("SELECT subject, src, dst, f, round(CASE WHEN abs(re) < 1e-6 THEN 0 ELSE re END, 3) AS re, round(CASE WHEN abs(im) < 1e-6 THEN 0 ELSE im END, 3) AS im FROM (SELECT subject, src, dst, f, sum(re) AS re, sum(im) AS im FROM crs WHERE src < dst GROUP BY ALL)", _BASIS, _SPEC, _CROSS),
     "d02_d08_undirected": _sp(
@@ -201,7 +201,7 @@ SQL = {
         "sl AS (SELECT band, subject, src, dst, greatest(avg(cre * nim - cim * nre), 0) AS psi FROM (SELECT *, lead(cre) OVER w AS nre, lead(cim) OVER w AS nim FROM freq WINDOW w AS (PARTITION BY band, subject, src, dst ORDER BY f)) WHERE nre IS NOT NULL GROUP BY ALL)",
     ),
     "d17_ordered_pairs": "SELECT a.event_type AS src, b.event_type AS dst FROM (SELECT DISTINCT event_type FROM events) a, (SELECT DISTINCT event_type FROM events) b WHERE a.event_type <> b.event_type",
-    "d20_gram": _sp("SELECT a.subject, a.channel AS i, a.l AS li, b.channel AS j, b.l AS lj, round(sum(a.x * b.x), 3) AS s FROM fl a JOIN fl b ON a.subject = b.subject AND a.epoch = b.epoch AND a.k = b.k GROUP BY ALL", "fl AS (SELECT subject, epoch, k, channel, 0 AS l, v AS x FROM epoch_sample WHERE k >= 1 UNION ALL SELECT subject, epoch, k + 1, channel, 1, v FROM epoch_sample WHERE k < 19)"),
+    "d20_gram": _sp("SELECT a.subject, a.channel AS i, a.l AS li, b.channel AS j, b.l AS lj, round(sum(a.x * b.x), 4) AS s FROM fl a JOIN fl b ON a.subject = b.subject AND a.epoch = b.epoch AND a.k = b.k GROUP BY ALL", "fl AS (SELECT subject, epoch, k, channel, 0 AS l, v AS x FROM epoch_sample WHERE k >= 1 UNION ALL SELECT subject, epoch, k + 1, channel, 1, v FROM epoch_sample WHERE k < 19)"),
     "d31_correlation": _sp("SELECT subject, src, dst, round(cov, 4) AS cov, round(cor, 6) AS cor, round(cor * 0.95, 6) AS shrunk FROM " + _COR.format(split="")),
     "d34_split_half_reliability": _sp(
         "SELECT subject, round(CASE WHEN isnan(corr(ra, rb)) THEN NULL ELSE corr(ra, rb) END, 6) AS spearman, round(CASE WHEN isnan(corr(a, b)) THEN NULL ELSE corr(a, b) END, 6) AS pearson, round(2 * sqrt(sum((a - b) ** 2)) / nullif(sqrt(sum(a ** 2)) + sqrt(sum(b ** 2)), 0), 6) AS error, round(count(*) FILTER (WHERE ta AND tb) / (count(*) FILTER (WHERE ta OR tb))::DOUBLE, 6) AS jaccard FROM rk GROUP BY subject",
