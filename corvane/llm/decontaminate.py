@@ -1,8 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item with an error budget of e is cut into e + 1 pieces.  A passage within edit distance e of the item leaves
-at least one piece untouched, so exact hits of pieces find every candidate; Myers' bit-parallel distance then verifies
-the whole item around each hit.  Texts and items are compared in lower case with runs of white space as one space.
+at least one piece untouched, so exact hits of pieces find every candidate; Myers' bit-parallel distance verifies the
+item around each hit.  The same argument holds for every run of pieces: of two halves of a run within its budget
+(one less than its pieces), one is within its own.  So a hit is verified from its piece upwards through a binary
+tree of runs, and nearly all chance hits end at a run of two pieces.  Texts and items are compared in lower case with runs of white space as one space.
 
 The items are the query set: they are taken in blocks of bounded size, and each block goes over all documents.
 """
@@ -40,6 +42,16 @@ def budget(item: str, rate: float = ERROR_RATE) -> int:
     return min(int(len(item) * rate), max(len(item) - 1, 0))
 
 
+def tree_path(n: int, leaf: int) -> list[tuple[int, int]]:
+    """Runs [i, j) of 2 pieces and more, but for the whole, over one of n pieces: from the smallest up, by halving."""
+    out, i, j = [], 0, n
+    while j - i > 1:
+        middle = (i + j) // 2
+        i, j = (i, middle) if leaf < middle else (middle, j)
+        out.append((i, j))
+    return [(i, j) for i, j in reversed(out) if j - i > 1]
+
+
 class Myers:
     """Least edit distance between a pattern and any substring of a text (Myers 1999, one machine word of any length)."""
 
@@ -79,9 +91,14 @@ class PieceIndex:
         self.items = [(i, t, budget(t, rate)) for i, t in items if t]
         self.longest = max((len(t) + e for _, t, e in self.items), default=0)
         self.myers = [Myers(t) for _, t, _ in self.items]
+        self.runs: dict[tuple[int, int, int], Myers] = {}  # by item and characters, filled as needed
         found: dict[bytes, list[tuple[int, int]]] = {}
+        self.above: list[dict[int, list[tuple[int, int, int]]]] = []  # of each item, by offset of a piece: (start, end, budget) of the runs over it, below the whole
         for k, (_, t, e) in enumerate(self.items):
-            for at, p in pieces(t, e):
+            cut = pieces(t, e)
+            ends = [at for at, _ in cut[1:]] + [len(t)]
+            self.above.append({at: [(cut[i][0], ends[j - 1], j - i - 1) for i, j in tree_path(len(cut), n)] for n, (at, _) in enumerate(cut)})
+            for at, p in cut:
                 found.setdefault(p.encode(), []).append((k, at))
         self.tables = []  # by probe length: pieces of at least 8 bytes are probed by their first 8
         for width in range(1, 9):
@@ -126,6 +143,17 @@ class PieceIndex:
                             yield item, pos, offset
                 lo = lo + 1
 
+    def _grows(self, item: int, t: str, chunk: str, pos: int, offset: int) -> bool:
+        """Whether every run over a piece that was hit at pos is within its budget there."""
+        for start, end, errors in self.above[item][offset]:
+            own = self.runs.get((item, start, end))
+            if own is None:
+                own = self.runs[item, start, end] = Myers(t[start:end])
+            at = pos - offset + start
+            if own.best(chunk[max(at - errors, 0) : at + end - start + errors]) > errors:
+                return False
+        return True
+
     def search(self, text: str) -> dict[int, int]:
         """Least distance of every item that is in the text within its budget, by item number."""
         best: dict[int, int] = {}
@@ -144,6 +172,8 @@ class PieceIndex:
                     if before is None:
                         before = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
                     pos = int(before[pos]) - 1
+                if not self._grows(item, t, chunk, pos, offset):
+                    continue
                 lo, hi = max(pos - offset - e, 0), min(pos - offset + len(t) + e, len(chunk))
                 if any(a <= lo and hi <= b for a, b in tried.get(item, ())):
                     continue
