@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-Every document is a bag of hashed words and hashed byte n-grams.  Each bucket has a learned vector; a document is the
-mean of its buckets' vectors, and a softmax layer on top gives two class probabilities.  Training is plain numpy
+Every document is a bag of hashed words and hashed byte n-grams; a word that repeats the one before it also counts in a
+bucket of its own, whatever the word.  Each bucket has a learned vector; a document is the sum of its buckets' vectors
+over their number plus PRIOR, a mean that a very short text can't sway far, and a softmax layer on top gives two class probabilities.  Training is plain numpy
 stochastic gradient descent on a bounded sample of labelled rows (SAMPLE); the executors turn those rows into bucket
 counts, so the driver never holds their texts.  For scoring, the softmax of two classes needs only the difference of
 two products, so each bucket's vector folds into one number and a document's score is the mean of those numbers.
@@ -23,6 +24,8 @@ from corvane.llm.common import BLOCK, id_column, mix, raw_texts, read_table, res
 SAMPLE = 4000
 BITS, DIM, EPOCHS, RATE, SEED = 17, 12, 8, 0.6, 7
 GRAMS = (3, 4)
+#: Added to the number of buckets of a text when their vectors are averaged.
+PRIOR = 40
 THRESHOLD = 0.3
 _GRAM = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,7 +40,9 @@ def buckets(data: bytes, bits: int = BITS) -> np.ndarray:
         four = three[:-1] | (buf[3:] << np.uint32(24))
         for g in (three[:BLOCK], four[:BLOCK]):
             parts.append(((g.astype(np.uint64) + np.uint64(len(parts) % 2 + 1)) * _GRAM >> shift).astype(np.int32))
-    parts.append((mix(word_hashes(data)) >> shift).astype(np.int32))
+    words = word_hashes(data)
+    parts.append((mix(words) >> shift).astype(np.int32))
+    parts.append(np.zeros(int((words[1:] == words[:-1]).sum()), np.int32))  # bucket 0: a word again
     return np.concatenate(parts)
 
 
@@ -49,7 +54,7 @@ class QualityModel:
     def score(self, data: bytes) -> float:
         """Probability of label 1."""
         found = buckets(data, int(np.log2(len(self.weights))))
-        margin = self.bias + (float(self.weights[found].mean(dtype=np.float64)) if len(found) else 0.0)
+        margin = self.bias + float(self.weights[found].sum(dtype=np.float64)) / (len(found) + PRIOR)
         return float(1 / (1 + np.exp(-np.clip(margin, -60, 60))))
 
 
@@ -69,7 +74,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, d
             done += 1
             if not len(idx):
                 continue
-            share = (cnt / cnt.sum()).astype(np.float32)
+            share = (cnt / (cnt.sum() + PRIOR)).astype(np.float32)
             rows = emb[idx]
             hidden = share @ rows
             logits = hidden @ out + bias
