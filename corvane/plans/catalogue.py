@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import cohort, models, network, spectral, sweeps
+from corvane.plans import cohort, models, network, reports, spectral, sweeps
 
-MODULES = [network, cohort, spectral, sweeps, models]
+MODULES = [network, cohort, spectral, sweeps, reports, models]
 
 
 def queries() -> dict:

@@ -276,7 +276,7 @@ def i28_evidence_gate(spark, sf):
 
 def i32_ood_distance(spark, sf):
     f = A.feature(spark, sf)
-    s = f.filter("subject % 5 <> 0").groupBy("ord").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
+    s = f.filter("y = 1").groupBy("ord").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
     z = (F.col("value") - F.col("m")) / F.col("sd")
     return f.join(F.broadcast(s), "ord").groupBy("subject").agg(F.round(F.sqrt(F.avg(z * z)), 6).alias("rms"))
 
@@ -360,7 +360,7 @@ SQL = {
     "i23_probability_metrics": A.sql("oof", "SELECT band, repeat, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("auc", "ap", "accuracy", "balanced_accuracy", "f1", "sensitivity", "specificity", "brier", "log_loss", "ece")) + " FROM metrics", _CLIP, _metrics_sql("band, repeat")),
     "i25_calibration_curve": A.sql("oof", "SELECT band, CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y_true), 6) AS observed FROM (SELECT o.*, (SELECT count(*) FROM unnest(e.e) u(x) WHERE x < o.p) AS bin FROM oof o JOIN (SELECT band, quantile_cont(p, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS e FROM oof GROUP BY band) e ON o.band = e.band) GROUP BY ALL"),
     "i28_evidence_gate": A.sql("oof", "SELECT band, concat_ws(',', CASE WHEN auc < 0.75 THEN 'auc' END, CASE WHEN balanced_accuracy < 0.70 THEN 'balanced_accuracy' END, CASE WHEN brier > 0.20 THEN 'brier' END) AS failed FROM metrics", _CLIP, _metrics_sql("band")),
-    "i32_ood_distance": A.sql("feature", "SELECT subject, round(sqrt(avg(((value - m) / sd) ** 2)), 6) AS rms FROM feature JOIN (SELECT ord, avg(value) AS m, stddev_samp(value) AS sd FROM feature WHERE subject % 5 <> 0 GROUP BY ord) USING (ord) GROUP BY subject"),
+    "i32_ood_distance": A.sql("feature", "SELECT subject, round(sqrt(avg(((value - m) / sd) ** 2)), 6) AS rms FROM feature JOIN (SELECT ord, avg(value) AS m, stddev_samp(value) AS sd FROM feature WHERE y = 1 GROUP BY ord) USING (ord) GROUP BY subject"),
     "b26_scaled_features": A.sql("feature", "SELECT subject, CAST(ord AS INTEGER) AS ord, round((value - avg(value) OVER o) / stddev_pop(value) OVER o, 6) AS zscore, round((value - min(value) OVER o) / (max(value) OVER o - min(value) OVER o), 6) AS minmax, round((value - med) / iqr, 6) AS robust FROM feature JOIN (SELECT ord, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM feature GROUP BY ord) USING (ord) WINDOW o AS (PARTITION BY ord)"),
 }
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] in "abfghi" and k[1:3].isdigit() and callable(v)}

@@ -49,11 +49,12 @@ def j04_log_gain(spark, sf):
 
 
 def j05_activation_ratio(spark, sf):
-    return _gain(spark, sf).filter("cand = 4").select(*KEY, "to", r("ratio"), r("clipped"))
+    return _gain(spark, sf).select(*_T, "to", r("ratio"), r("clipped"))
 
 
 def j06_j09_coactivation(spark, sf):
-    c = W.coactivation(matrix(spark, sf).filter("w > 0"), _gain(spark, sf).filter("cand % 5 = 3"), 1.0, 0.5)
+    half = W.log_gain(W.propagation(matrix(spark, sf), "none"), grid(spark, sf).filter("amount = 0.5"), baseline(spark, sf))  # one fixed amount
+    c = W.coactivation(matrix(spark, sf).filter("w > 0"), half, 1.0, 0.5)
     return W.change_statistics(c).select(*_T, r("mean_abs"), r("top"), r("bottom"), "up", "down", r("relative"))
 
 
@@ -164,8 +165,8 @@ SQL = {
     "j02_incident_change": _sql(_STATS + "chg GROUP BY grp, subject, cand", _AMT, _CAND, "chg AS (SELECT grp, subject, cand, w, w + CASE WHEN hit THEN amount * w / sum(CASE WHEN hit THEN w ELSE 0 END) OVER (PARTITION BY grp, subject, cand) ELSE 0 END AS new FROM (SELECT c.*, m.w + 0.001 AS w, m.src = c.node OR m.dst = c.node AS hit FROM cands c JOIN matrix m USING (grp, subject) WHERE m.src <> m.dst AND c.amount = 0.5))"),
     "j03_additive_shift": _sql("SELECT grp, subject, cand, round(sum(final_), 5) AS total, round(max(clipped), 6) AS top, round(min(clipped), 6) AS low FROM moved GROUP BY ALL", _AMT, _CAND, _BASE, _PUSH, _shift("(x + amount * push)")),
     "j04_log_gain": _sql("SELECT grp, subject, cand, round(sum(final_), 5) AS total, round(max(clipped), 6) AS top, round(min(clipped), 6) AS low FROM moved GROUP BY ALL", *_GAIN),
-    "j05_activation_ratio": _sql('SELECT grp, subject, to_ AS "to", round(ratio, 6) AS ratio, round(clipped, 6) AS clipped FROM moved WHERE cand = 4', *_GAIN),
-    "j06_j09_coactivation": _sql(_STATS + "(SELECT a.grp, a.subject, a.cand, n.w, n.w + 0.5 * (n.w * a.clipped * b.clipped - n.w) AS new FROM net n JOIN moved a ON a.grp = n.grp AND a.subject = n.subject AND a.to_ = n.src JOIN moved b ON b.grp = n.grp AND b.subject = n.subject AND b.to_ = n.dst AND a.cand = b.cand WHERE a.cand % 5 = 3) GROUP BY grp, subject, cand", *_GAIN),
+    "j05_activation_ratio": _sql('SELECT grp, subject, cand, to_ AS "to", round(ratio, 6) AS ratio, round(clipped, 6) AS clipped FROM moved', *_GAIN),
+    "j06_j09_coactivation": _sql(_STATS + "(SELECT a.grp, a.subject, a.cand, n.w, n.w + 0.5 * (n.w * a.clipped * b.clipped - n.w) AS new FROM net n JOIN moved a ON a.grp = n.grp AND a.subject = n.subject AND a.to_ = n.src JOIN moved b ON b.grp = n.grp AND b.subject = n.subject AND b.to_ = n.dst AND a.cand = b.cand WHERE a.amount = 0.5) GROUP BY grp, subject, cand", *_GAIN),
     "j13_constraints": _sql("SELECT grp, subject, cand, round(u, 6) AS under, round(o, 6) AS over, round(greatest(u, 0) + greatest(o, 0), 6) AS violation, greatest(u, 0) + greatest(o, 0) <= 1e-10 AS feasible FROM (SELECT grp, subject, cand, 0.1 - min(ratio) AS u, max(ratio) - 10.0 AS o FROM moved GROUP BY ALL)", *_GAIN),
     "j12_objectives": _sql("SELECT grp, subject, cand, round(o1, 6) AS o1, o2 FROM scored", *_GAIN, _SCORED),
     "j16_pareto_front": _sql("SELECT grp, subject, cand, round(o1, 6) AS o1, o2 FROM front", *_GAIN, _SCORED, _FRONT),
