@@ -221,6 +221,24 @@ def flagship(spark, sf):
     return tests.select("band", "measure", "n1", "n2", r("u"), r("p"), r("p_adj"))
 
 
+def e09_betweenness(spark, sf):
+    from corvane.operators import partition as P
+
+    return P.betweenness(net(spark, sf), nodes(spark, sf).count()).groupBy(*KEY).agg(F.round(F.avg("value"), 4).alias("value"))
+
+
+def e30_best_partition(spark, sf):
+    from corvane.operators import partition as P
+
+    return P.best_partition(net(spark, sf), nodes(spark, sf).count()).select(*KEY, "node", "module", r("q"))
+
+
+def e13_small_worldness(spark, sf):
+    from corvane.operators import partition as P
+
+    return P.small_worldness(net(spark, sf), nodes(spark, sf), 42).select(*KEY, r("value", 4))
+
+
 def _both(name):
     return f"SELECT grp, subject, src, dst, round({name}, 6) AS w FROM "
 
