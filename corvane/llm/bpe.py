@@ -30,9 +30,11 @@ REMEMBERED = 250_000
 SEGMENT = 1 << 19
 
 # Unicode white space, and the pattern that cuts text before byte-level merges.
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_BLANK = regex.compile(f"[{_SPACE}]")
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+_BLANK = regex.compile(f"[{SPACE}]")
+#: Below U+0558 all Unicode versions agree on what is a letter or a digit.
+LATE = regex.compile("[^\x00-\u0557]")
 
 
 def byte_symbols() -> list[str]:
@@ -42,6 +44,36 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def stand_ins() -> dict[int, str]:
+    """A character of the right class for every character that the tokenizers library classes otherwise than `regex` does.
+
+    The two libraries follow different versions of Unicode, so the installed ones are compared, once in a process.
+    """
+    from tokenizers import Regex, pre_tokenizers
+
+    kinds = [("a", "L"), ("1", "N")]
+    cutters = [pre_tokenizers.Split(Regex(rf"\p{{{k}}}"), "isolated") for _, k in kinds]
+    tests = [regex.compile(rf"\p{{{k}}}") for _, k in kinds]
+    out: dict[int, str] = {}
+    for lo in range(0x500, 0x110000, 0x400):
+        chars = [chr(c) for c in range(lo, min(lo + 0x400, 0x110000)) if not 0xD800 <= c < 0xE000]
+        text = "".join("\x01" + c for c in chars)  # every second character; a match stands alone
+        alone = [{span[0] for part, span in cut.pre_tokenize_str(text) if len(part) == 1 and part != "\x01"} for cut in cutters]
+        for i, c in enumerate(chars):
+            theirs = [2 * i + 1 in a for a in alone]
+            if theirs != [bool(t.match(c)) for t in tests]:
+                out[ord(c)] = "a" if theirs[0] else "1" if theirs[1] else "!"
+    return out
+
+
+def cut_pieces(text: str) -> list[str]:
+    """The pieces of a text between which no merge happens, as the tokenizers library cuts them."""
+    if text.isascii() or not LATE.search(text):
+        return _PIECES.findall(text)
+    return [text[m.start() : m.end()] for m in _PIECES.finditer(text.translate(stand_ins()))]
+
+
 class RankTree:
     """Segment tree over the pairs of one piece, for pieces of any length."""
 
@@ -188,7 +220,7 @@ class ByteBPE:
     # ------------------------------------------------ texts
 
     def _ordinary(self, texts: list[str]) -> list[np.ndarray]:
-        found = [_PIECES.findall(t) for t in texts]
+        found = [cut_pieces(t) for t in texts]
         new = set().union(*found).difference(self.known) if found else set()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()

@@ -20,16 +20,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import keyed_texts, raw_texts, read_table, restore_id, shared_dir
+from corvane.llm.bpe import SPACE, byte_symbols
+from corvane.llm.common import keyed_texts, raw_texts, read_table, restore_id, shared_dir, stage_table
 
 LIMIT, BLOCK, END_ID = 16, 128, 1
 #: Ids of a segment, about, and documents at most.
 SEGMENT_IDS, SEGMENT_DOCS = 400_000, 4000
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 def default_path() -> str:
@@ -45,10 +47,19 @@ class WordEncoder:
     """Ids by the tokenizers library, looked up by word.
 
     This vocabulary's normalizer maps white space to a space and its pre-tokenizer drops it, so no piece crosses ASCII
-    white space and a text's ids are its words' ids in order.  New words go to the library many at a time, as one text
-    with a space between them; the offsets tell which ids belong to which word.
+    white space and a text's ids are its words' ids in order.  A new word goes through the library's normalizer, the
+    pre-tokenizer's pattern, many words at a time, and each new piece through the library's model; words that may hold an
+    added token go through the library as they are.
     """
 
+    # Fixed value: the pre-tokenizer's pattern.
+    PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+    #: The same, with a space between words as a piece of its own, and the mark that stands for its id.
+    SPACED = regex.compile(PIECES + "| ")
+    GAP_ID, GAP = 0xFFFFFFFF, b"\xff\xff\xff\xff"
+    #: Words with other white space, or with characters on which Unicode versions differ, are cut by the library itself.
+    APART = regex.compile(f"[{SPACE}]|[^\\x00-\\u0557]")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -56,31 +67,65 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.normalize, self.cut, self.tokenize = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self.added = {t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.symbols = byte_symbols()
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            texts = [w.decode() for w in part]
-            enc = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(enc.ids, np.uint32)
-            begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-            where = np.array([o[0] for o in enc.offsets], np.int64) if len(ids) else np.zeros(0, np.int64)
-            cuts = np.searchsorted(where, begins)
-            out.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        return out
+        self.pieces: dict[str, bytes] = {" ": self.GAP}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, np.uint32).tobytes()
+
+    def _piece(self, p: str) -> bytes:
+        found = self.pieces.get(p)
+        if found is None:
+            own = p if p.isascii() and p.isprintable() else "".join(map(self.symbols.__getitem__, p.encode()))
+            found = self._pack([t.id for t in self.tokenize(own)])
+            if len(p) <= 64:
+                self.pieces[p] = found
+        return found
+
+    def _learn(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        if len(self.pieces) > REMEMBERED // 2:
+            self.pieces = {" ": self.GAP}
+        whole = {w for x in self.added for w in words if x in w}  # may hold an added token
+        apart = {w for w in words if not w.isascii() and self.APART.search(w.decode())} - whole
+        for w in whole:
+            yield w, self._pack(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
+        for w in apart:
+            yield w, self._pack([t.id for p, _ in self.cut(self.normalize(w.decode())) for t in self.tokenize(p)])
+        plain = [w for w in words if w not in whole and w not in apart] if whole or apart else words
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ascii_, other = [w for w in part if w.isascii()], [w for w in part if not w.isascii()]
+            for own, text in ((ascii_, b" ".join(ascii_).decode().lower()), (other, self.normalize(b" ".join(other).decode()))):
+                if not own:
+                    continue
+                found = self.SPACED.findall(text)
+                for p in set(found).difference(self.pieces):
+                    self._piece(p)
+                long = {p: self._piece(p) for p in found if len(p) > 64}
+                look = self.pieces | long if long else self.pieces
+                ids = np.frombuffer(b"".join(map(look.__getitem__, found)) + self.GAP, np.uint32)
+                ends = np.flatnonzero(ids == self.GAP_ID)
+                data, last = ids.tobytes(), 0
+                for w, end in zip(own, ends.tolist(), strict=True):
+                    yield w, data[4 * last : 4 * end]
+                    last = end + 1
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words = [t.split() for t in texts]
-        new = set().union(*words).difference(self.known) if words else set()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*words)
-        long = [w for w in new if len(w) > 200]  # not remembered
-        self.known.update(self._learn([w for w in new if len(w) <= 200]))
-        look = self.known | self._learn(long) if long else self.known
-        return [np.frombuffer(b"".join(map(look.__getitem__, w)), np.uint32) for w in words]
+        found = [[*map(self.known.get, w)] for w in words]
+        new = {x for w, ids in zip(words, found, strict=True) if None in ids for x, i in zip(w, ids, strict=True) if i is None}
+        if new:
+            own = dict(self._learn([*new]))
+            for w, ids in zip(words, found, strict=True):
+                if None in ids:
+                    ids[:] = [own[x] if i is None else i for x, i in zip(w, ids, strict=True)]
+            if len(self.known) + len(own) > REMEMBERED:
+                self.known.clear()
+            self.known.update((w, ids) for w, ids in own.items() if len(w) <= 200)
+        return [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
 
 
 @lru_cache(maxsize=2)
@@ -100,26 +145,39 @@ def _groups(texts: list[bytes], size: int = 1 << 21) -> Iterator[list[bytes]]:
         yield own
 
 
-def _count_ids(path: str, end_id: int):
+def _encode_ids(path: str, end_id: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        counts = np.zeros(max(enc.size, end_id + 1), np.int64)
+        kind = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
+        end = np.array([end_id], kind).tobytes()
         for b in rows:
-            counts[end_id] += b.num_rows
-            for own in _groups(raw_texts(b.column("text"))):
-                for ids in enc.encode(own):
-                    counts += np.bincount(ids, minlength=len(counts))[: len(counts)] if len(ids) > len(counts) // 4 else 0
-                    if len(ids) <= len(counts) // 4:
-                        np.add.at(counts, ids, 1)
-        used = np.flatnonzero(counts)
-        yield pa.record_batch({"id": pa.array(used, pa.int32()), "n": pa.array(counts[used], pa.int64())})
+            ids = [x.astype(kind).tobytes() + end for own in _groups(raw_texts(b.column("text"))) for x in enc.encode(own)]
+            yield pa.record_batch({"_id": b.column("_id"), "_tx": b.column("_tx"), "width": pa.array([int(kind[-1])] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())})
 
     return run
 
 
-def id_counts(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(id, n) over all texts and their end ids."""
-    return keyed_texts(docs).select("text").mapInArrow(_count_ids(path or default_path(), end_id), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for b in rows:
+        for width in set(b.column("width").to_pylist()):
+            own = [x for x, w in zip(b.column("ids").to_pylist(), b.column("width").to_pylist(), strict=True) if w == width]
+            counts = np.bincount(np.frombuffer(b"".join(own), f"<u{width}"))
+            total = np.concatenate([total, np.zeros(max(0, len(counts) - len(total)), np.int64)])
+            total[: len(counts)] += counts
+    used = np.flatnonzero(total)
+    yield pa.record_batch({"id": pa.array(used, pa.int32()), "n": pa.array(total[used], pa.int64())})
+
+
+def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """(_id, _tx, width, ids): ids of every text and its end id, as packed integers of `width` bytes; a stage table."""
+    keyed = keyed_texts(docs).withColumn("_tx", F.xxhash64("text"))
+    return stage_table(keyed.mapInArrow(_encode_ids(path or default_path(), end_id), "_id long, _tx long, width int, ids binary"), "ids", compression="zstd")
+
+
+def id_counts(ids: DataFrame) -> DataFrame:
+    """(id, n) over all documents."""
+    return ids.select("width", "ids").mapInArrow(_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- the code
@@ -211,12 +269,10 @@ class Code:
 _DATA = "segment_key int, first_id long, n_docs int, doc_ids binary, doc_tokens binary, n_tokens long, n_bits long, checkpoints binary, bits binary"
 
 
-def _write_segments(path: str, code, end_id: int):
+def _write_segments(code):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, own_code = encoder(path), code.value
-        end = np.array([end_id], np.uint32)
+        own_code = code.value
         doc_ids: list[int] = []
-        sizes: list[int] = []
         ids: list[np.ndarray] = []
         held = key = 0
 
@@ -224,22 +280,17 @@ def _write_segments(path: str, code, end_id: int):
             n_bits, marks, bits = own_code.encode(np.concatenate(ids).astype(np.int64))
             return pa.record_batch({
                 "segment_key": pa.array([key], pa.int32()), "first_id": pa.array(doc_ids[:1], pa.int64()), "n_docs": pa.array([len(doc_ids)], pa.int32()), "doc_ids": pa.array([np.array(doc_ids, "<i8").tobytes()]),
-                "doc_tokens": pa.array([np.array(sizes, "<i8").tobytes()]), "n_tokens": pa.array([held], pa.int64()), "n_bits": pa.array([n_bits], pa.int64()), "checkpoints": pa.array([marks]), "bits": pa.array([bits]),
+                "doc_tokens": pa.array([np.array([*map(len, ids)], "<i8").tobytes()]), "n_tokens": pa.array([held], pa.int64()), "n_bits": pa.array([n_bits], pa.int64()), "checkpoints": pa.array([marks]), "bits": pa.array([bits]),
             })
 
         for b in rows:
-            at = 0
-            names = b.column("_id").to_pylist()
-            for own in _groups(raw_texts(b.column("text"))):
-                for name, found in zip(names[at : at + len(own)], enc.encode(own), strict=True):
-                    doc_ids.append(name)
-                    sizes.append(len(found) + 1)
-                    ids += [found, end]
-                    held += len(found) + 1
-                    if held >= SEGMENT_IDS or len(doc_ids) >= SEGMENT_DOCS:
-                        yield flush()
-                        doc_ids, sizes, ids, held, key = [], [], [], 0, key + 1
-                at += len(own)
+            for name, width, data in zip(b.column("_id").to_pylist(), b.column("width").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                doc_ids.append(name)
+                ids.append(np.frombuffer(data, f"<u{width}"))
+                held += len(ids[-1])
+                if held >= SEGMENT_IDS or len(doc_ids) >= SEGMENT_DOCS:
+                    yield flush()
+                    doc_ids, ids, held, key = [], [], 0, key + 1
         if doc_ids:
             yield flush()
 
@@ -249,17 +300,16 @@ def _write_segments(path: str, code, end_id: int):
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Encode every text (null: empty), append end_id, and write the token store; documents in ascending doc_id order.
 
-    Two passes: counts of all ids, then codes.  The counts have a row for each id of the vocabulary at most, so the code
-    is built on the driver and sent to the executors whole.
+    Texts are encoded once, into a stage table that then serves the counts and the files.  The counts have a row for each
+    id of the vocabulary at most, so the code is built on the driver and sent to the executors whole.
     """
-    where = path or default_path()
     spark = docs.sparkSession
-    counts = {r["id"]: r["n"] for r in id_counts(docs, where, end_id).collect()}
+    ids = encoded(docs, path, end_id)
+    counts = {r["id"]: r["n"] for r in id_counts(ids).collect()}
     lengths = code_lengths(counts)
     spark.createDataFrame([*lengths.items()] or [(end_id, 1)], "id int, length int").coalesce(1).write.parquet(f"{folder}/code")
     code = spark.sparkContext.broadcast(Code(lengths))
-    ordered = keyed_texts(docs).repartitionByRange(F.col("_id"), F.xxhash64("text")).sortWithinPartitions("_id", F.xxhash64("text"))
-    ordered.mapInArrow(_write_segments(where, code, end_id), _DATA).write.parquet(f"{folder}/data")
+    ids.repartitionByRange("_id", "_tx").sortWithinPartitions("_id", "_tx").mapInArrow(_write_segments(code), _DATA).write.parquet(f"{folder}/data")
 
 
 def _read_segments(code):
