@@ -20,8 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from corvane.llm.common import keyed_texts, read_table, restore_id
+from corvane.llm.common import batches, keyed_texts, read_table, restore_id
 
 NONE = 1 << 62
 #: Pieces whose ids a worker remembers; the memory is emptied when it is full.
@@ -315,23 +316,22 @@ def _digests(path: str, match_added: bool):
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, match_added: bool = True) -> DataFrame:
-    """docs with _ids, the token ids of the whole text (null counts as empty); every row and column stays."""
-    where = path or default_path()
-
-    def run(rows: Iterator) -> Iterator:
-        bpe = load(where, match_added)
-        for s in rows:
-            texts = s.tolist()
-            out = [None] * len(texts)
-            for own in groups(texts):
-                for k, ids in zip(own, bpe.encode_batch([texts[k] for k in own]), strict=True):
-                    out[k] = ids.astype(np.int32)
-            yield pd.Series(out)
+    """docs with _ids, the token ids of the whole text (null counts as empty); every row and column stays.
 
-    import pandas as pd
+    Rows leave in batches of 256, with their ids in one flat array, so a task holds the ids of few texts at a time.
+    """
+    where, columns = path or default_path(), docs.columns
 
-    run.__annotations__ = {"rows": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("_ids", F.pandas_udf(run, "array<int>")(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(where, match_added)
+        for b in batches(rows, 256):
+            texts = [x or "" for x in b.column(columns.index("text")).to_pylist()]
+            ids = [x for own in groups(texts) for x in bpe.encode_batch([texts[k] for k in own])]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, listed], [*columns, "_ids"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_ids", ArrayType(IntegerType()))]))
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None, ids: str = "_ids") -> DataFrame:
