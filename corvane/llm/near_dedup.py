@@ -9,6 +9,11 @@ the depth adapts to how crowded a region is, and no region is ever expanded into
 
 Every candidate pair is confirmed on the full sets of both texts, exactly, with integers.  Components of the confirmed
 links come from alternating large-star and small-star steps, each written to a shared table.
+
+Neighbours don't reach every pair of a region.  Regions of LEAST_PREFIX values that hold more documents than they reach,
+of more than one component, are therefore compared in full: their members are dealt into salted blocks, and every two
+blocks are joined exactly, with the sizes of the sets and a prefix filter as bounds.  Only links between components are
+given, a spanning forest of each two blocks, so the rows grow with the documents and not with their pairs.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +34,8 @@ TREES, DEPTH, LEAST_PREFIX, NEIGHBOURS, REGION = 24, 8, 3, 3, 512
 #: 100 * intersection / union of a link, at least.
 PERCENT = 80
 SEED = 20240611
+#: Documents and shingles of a block of a region that is compared in full, about.
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 500_000
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -85,7 +93,7 @@ def regions(rows: DataFrame, depth: int, least: int, region: int) -> DataFrame:
     """rows with the key of their region: the shortest prefix, of `least` values or more, that at most `region` documents share.
 
     Only the keys of crowded regions are kept between levels, and there is at most one of them for every `region` rows.
-    A crowd that agrees to the last level is cut into stretches by a hash of the ids; `crowd` is its key there.
+    A crowd that agrees to the last level is cut into stretches, others in each tree, by a hash of the ids; `crowd` is its key there.
     """
     keyed = rows.withColumn("key", _prefix(least)).withColumn("crowd", F.lit(None).cast("long"))
     for level in range(least, depth + 1, 2):
@@ -93,7 +101,7 @@ def regions(rows: DataFrame, depth: int, least: int, region: int) -> DataFrame:
         crowded = stage_table(keyed.filter("crowd IS NULL" if level == least else "deep").groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > region).select(F.col("key").alias("k"), "c"), "crowded")
         joined = keyed.drop("deep").join(crowded, F.col("key") == F.col("k"), "left")
         deep = F.col("k").isNotNull()
-        deeper = F.xxhash64("key", F.pmod(F.xxhash64("_id"), F.ceil(F.col("c") / region))) if last else _prefix(level + 2)
+        deeper = F.xxhash64("key", F.pmod(F.xxhash64("tree", "_id"), F.ceil(F.col("c") / region))) if last else _prefix(level + 2)
         keyed = joined.select("_id", "n", "tree", "row", F.when(deep, deeper).otherwise(F.col("key")).alias("key"), F.when(deep & F.lit(last), F.col("k")).alias("crowd"), deep.alias("deep"))
     return keyed.drop("deep")
 
@@ -134,6 +142,101 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: i
     return both.mapInArrow(_confirm(size, percent), "x long, y long")
 
 
+def forest_links(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, slots: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that join documents of different labels: a spanning forest of all of them.
+
+    Exact: a pair with 100 * intersection >= percent * union shares a shingle among the rarest n - ceil(percent * n / 100) + 1
+    of each set, and its sizes n differ by no more than percent.  With slots, only documents of different slots are compared.
+    """
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(df), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    token = rank[token]
+    token = token[np.lexsort((token, owner))]  # a document's shingles, rarest first
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    prefix = sizes - (percent * sizes + 99) // 100 + 1
+    inside = np.flatnonzero(np.arange(len(token)) - begin[owner] < prefix[owner])
+    by = inside[np.argsort(token[inside], kind="stable")]
+    post, post_at = owner[by], np.searchsorted(token[by], np.arange(len(df) + 1))
+    labels, mark, out = np.unique(labels, return_inverse=True)[1], np.zeros(len(df), bool), []
+
+    def ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+
+    for i in range(len(sets)):
+        rare = token[begin[i] : begin[i] + prefix[i]]
+        near = np.unique(post[ranges(post_at[rare], post_at[rare + 1] - post_at[rare])])
+        near = near[(near < i) & (labels[near] != labels[i])]
+        near = near[100 * np.minimum(sizes[near], sizes[i]) >= percent * np.maximum(sizes[near], sizes[i])]
+        if slots is not None:
+            near = near[slots[near] != slots[i]]
+        if not len(near):
+            continue
+        own = token[begin[i] : begin[i + 1]]
+        mark[own] = True
+        for part in np.array_split(near, -(-int(sizes[near].sum()) // 4_000_000)):
+            both = np.add.reduceat(mark[token[ranges(begin[part], sizes[part])]].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[part])[:-1]]))
+            for j in part[100 * both >= percent * (sizes[part] + sizes[i] - both)]:
+                if labels[j] != labels[i]:
+                    out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                    labels[labels == labels[j]] = labels[i]
+        mark[own] = False
+    return out
+
+
+def _grams(size: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            yield pa.record_batch({"_id": b.column("_id"), "grams": pa.array([shingles(t, size).tobytes() for t in raw_texts(b.column("text"))], pa.binary())})
+
+    return run
+
+
+def _across(percent: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[frame["grams"].str.len() > 0]
+        links = []
+        if frame["root"].nunique() > 1:
+            sets = [np.frombuffer(g, np.uint64) for g in frame["grams"]]
+            links = forest_links(frame["_id"].to_numpy(), sets, frame["root"].to_numpy(), frame["slot"].to_numpy() if frame["a"].iloc[0] != frame["b"].iloc[0] else None, percent)
+        return pd.DataFrame({"x": [x for x, _ in links], "y": [y for _, y in links]}, dtype="int64")
+
+    return run
+
+
+def across(sets: DataFrame, roots: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, least: int = LEAST_PREFIX, neighbours: int = NEIGHBOURS, region: int = REGION, docs: int = BLOCK_DOCS, grams: int = BLOCK_SHINGLES) -> DataFrame | None:
+    """(x, y): links between components in regions whose pairs the neighbours don't all reach; null if there is no such region.
+
+    Regions of equal members in several trees are compared once.
+    """
+    own = sets.join(roots, F.col("_id") == F.col("node"), "left").select("_id", "n", F.coalesce("root", "_id").alias("root"), "sig")
+    keys = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * depth * t, 4 * least)) for t in range(trees)])
+    placed = own.select("_id", "n", "root", F.xxhash64("_id", "sig").alias("h"), F.explode(keys).alias("key"))
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = stage_table(mixed.filter((F.col("c") > min(neighbours + 1, region)) & (F.col("lo") < F.col("hi"))).select("key"), "mixed")
+    if not mixed.limit(1).count():
+        return None
+    members = stage_table(placed.join(mixed, "key"), "members")
+    whole = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.bit_xor("h").alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("h2"))
+    once = whole.groupBy("c", "n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.greatest(F.ceil(F.col("c") / docs), F.ceil(F.col("n") / grams)).cast("int").alias("blocks"))
+    dealt = members.drop("n", "h").join(stage_table(once, "regions"), "key").withColumn("slot", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("_id", "root", "key", "slot", F.least("slot", "other").alias("a"), F.greatest("slot", "other").alias("b")).distinct()
+    held = texts.join(members.select("_id").distinct(), "_id", "left_semi").mapInArrow(_grams(size), "_id long, grams binary")
+    return stage_table(dealt.join(held, "_id").groupBy("key", "a", "b").applyInPandas(_across(percent), "x long, y long").distinct(), "across")
+
+
+def rooted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of roots and further links together."""
+    low = roots.select("node", "root")
+    one = links.join(low, F.col("x") == F.col("node"), "left").select(F.coalesce("root", "x").alias("x"), "y")
+    both = one.join(low, F.col("y") == F.col("node"), "left").select("x", F.coalesce("root", "y").alias("y"))
+    upper = components(both).select(F.col("node").alias("up"), F.col("root").alias("top"))
+    moved = roots.join(upper, F.col("root") == F.col("up"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(upper.select(F.col("up").alias("node"), F.col("top").alias("root")))
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root): the least node that each linked node reaches (alternating large-star and small-star)."""
     edges = stage_table(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct(), "links")
@@ -163,6 +266,9 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, **
     pairs = stage_table(candidates(reps, percent, **forest), "pairs")
     links = confirmed(pairs, texts, size, percent)
     roots = components(links)
+    more = across(reps, roots, texts, size, percent, **forest)
+    if more is not None:
+        roots = rooted(roots, more)
     own = sets.select("_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("rep", "_id"))
     return own.join(roots, own["rep"] == roots["node"], "left").select("_id", F.col("n").alias("n_shingles"), "rep", F.coalesce("root", "rep").alias("root"), "s1", "s2")
 

@@ -125,6 +125,40 @@ def test_crowded_regions_keep_their_links(spark):
     assert got == {i: c for i, (_, c) in near(rows).items()}
 
 
+def star(rng, n, words=200, changes=3):
+    """A text and n variants of it, each with changed words of its own: near to the text, not to each other."""
+    base = text(rng, words, 5000).split()
+    out = [" ".join(base)]
+    for k in range(n):
+        own = list(base)
+        for at in rng.sample(range(5, words - 5, 5), changes):
+            own[at] = f"y{k}x{at}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("n", [100, 3000])
+def test_variants_of_one_text_are_joined_to_it(spark, n):
+    rng = random.Random(n)
+    texts = star(rng, n)
+    sets = [shingle_set(t) for t in texts]
+    assert all(100 * len(s & sets[0]) >= 85 * len(s | sets[0]) for s in sets) and 100 * len(sets[1] & sets[2]) < 85 * len(sets[1] | sets[2])
+    rows = [*enumerate(texts + [text(rng, 60, 5000) for _ in range(20)])]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert got == {i: 0 if i <= n else i for i, _ in rows}
+    if n == 100:
+        assert got == {i: c for i, (_, c) in near(rows).items()}
+
+
+def test_blocks_of_a_region_meet(spark):
+    rng = random.Random(7)
+    rows = [*enumerate(star(rng, 60) + star(rng, 40))]
+    texts = near_dedup.keyed_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = texts.mapInArrow(near_dedup._sets(5, near_dedup.TREES, near_dedup.DEPTH), near_dedup._SETS)
+    links = near_dedup.across(sets, spark.createDataFrame([], "node long, root long"), texts, percent=85, docs=8)
+    assert {r["node"]: r["root"] for r in near_dedup.components(links).collect()} == {i: 0 if i < 61 else 61 for i in range(102) if i not in (0, 61)}
+
+
 def test_near_dedup_odd_rows(spark):
     t = text(random.Random(1), 30)
     docs = spark.createDataFrame([(None, t, "x"), (5, t, "y"), (5, t, "y"), (6, None, "z")], "doc_id long, text string, n string")
