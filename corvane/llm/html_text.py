@@ -7,8 +7,8 @@ are its slots.  Slots inside regions that HTML marks as other than the article (
 and so on, by element, role or class) are not content.
 
 Where a page marks its article, that region is the content and the template is not applied inside it, since pages of a host
-may well repeat each other's paragraphs.  Elsewhere the content is the smallest region that holds most of the slots'
-text in the cohort, without template nodes.
+may well repeat each other's paragraphs.  Elsewhere the content is all text outside the template and those regions, in
+page order.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from corvane.llm.common import id_column, read_table, restore_id, stage_table
 COHORT = 64
 #: Different pages of a cohort that must exist and the share that must agree, for a text to be template.
 LEAST_PAGES, AGREE = 4, 0.8
-#: Share of the slots' text that the content region of an unmarked page holds.
-MOST = 0.7
 
 # Names of HTML elements, and words in roles, classes and ids that mark regions outside the article.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -238,8 +236,8 @@ def _walk(f: Folded) -> Iterator[Folded]:
         yield from _walk(c)
 
 
-def wrap(roots: list[Node]) -> tuple[set[int], dict[int, Node | None]]:
-    """(ids of template elements, content region by page number) of the different pages of a cohort, none of which marks an article."""
+def wrap(roots: list[Node]) -> set[int]:
+    """Ids of template elements of the different pages of a cohort, none of which marks an article."""
     trees = [fold([r], r.name) for r in roots]
     reference = max(trees, key=lambda t: sum(1 for _ in _walk(t)))
     slots: dict[int, list[tuple[int, Folded]]] = defaultdict(list)
@@ -247,30 +245,12 @@ def wrap(roots: list[Node]) -> tuple[set[int], dict[int, Node | None]]:
         for x, y in align(reference, tree, {}):
             slots[id(x)].append((k, y))
     template: set[int] = set()
-    volume: Counter = Counter()
     for own in slots.values():
         texts = [_text_of(y) for _, y in own]
         most, times = Counter(texts).most_common(1)[0]
         if most and times >= max(LEAST_PAGES, AGREE * len(trees)):
             template.update(id(e) for (_, y), t in zip(own, texts, strict=True) if t == most for e in y.elements)
-        else:
-            for (k, y), t in zip(own, texts, strict=True):
-                if not any(e.outside for e in y.elements):
-                    volume[k, id(y)] += len(t)
-    regions: dict[int, Node | None] = {}
-
-    def total(k: int, f: Folded) -> int:
-        return volume[k, id(f)] + sum(total(k, c) for c in f.children)
-
-    for k, tree in enumerate(trees):
-        whole, f = total(k, tree), tree
-        while whole:
-            inner = [c for c in f.children if len(c.elements) == 1 and not c.elements[0].outside and total(k, c) >= MOST * whole]
-            if not inner:
-                break
-            f = inner[0]
-        regions[k] = f.elements[0] if whole else None
-    return template, regions
+    return template
 
 
 def _marked_text(root: Node) -> str | None:
@@ -311,10 +291,9 @@ def extract(pages: list[str]) -> list[str]:
         else:
             done[page] = text
     if open_pages:
-        template, regions = wrap(list(open_pages.values()))
-        for k, (page, root) in enumerate(open_pages.items()):
-            region = regions.get(k) or root
-            done[page] = "\n".join(t for _, t in blocks(region, lambda x: not x.outside and id(x) not in template))
+        template = wrap(list(open_pages.values()))
+        for page, root in open_pages.items():
+            done[page] = "\n".join(t for _, t in blocks(root, lambda x: not x.outside and id(x) not in template))
     return [done[p] for p in pages]
 
 

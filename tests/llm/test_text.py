@@ -30,6 +30,15 @@ def test_unmarked_pages_are_induced():
         assert rows[0] == f"Title {k}" and len(rows) >= 4 + k % 3 and "Welcome" not in t and "Hot" not in t
 
 
+def test_sibling_regions_of_unmarked_pages_stay():
+    def page(k):
+        story = "".join(f"<p>Story {k} part {j} {'word ' * 20}</p>" for j in range(5))
+        return f"<html><body><h3>Welcome to the site</h3><section><p>Lead {k}</p></section><div class=main>{story}</div><section><p>More {k}</p></section></body></html>"
+
+    for k, t in enumerate(html_text.extract([page(k) for k in range(8)])):
+        assert t.split("\n") == [f"Lead {k}", *[f"Story {k} part {j} {'word ' * 20}".strip() for j in range(5)], f"More {k}"]
+
+
 def test_page_query(spark):
     import re
 
