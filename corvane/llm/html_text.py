@@ -6,9 +6,8 @@ Aligned nodes whose text is the same on nearly all different pages are the wrapp
 are its slots.  Slots inside regions that HTML marks as other than the article (menus, footers, forms, adverts, comments
 and so on, by element, role or class) are not content.
 
-Where a page marks its article, that region is the content and the template is not applied inside it, since pages of a host
-may well repeat each other's paragraphs.  Elsewhere the content is all text outside the template and those regions, in
-page order.
+The wrapper is induced from all different pages of a cohort.  Content is the text outside its template and those regions,
+in page order; where a page marks its article, only text of that region.
 """
 
 from __future__ import annotations
@@ -237,7 +236,7 @@ def _walk(f: Folded) -> Iterator[Folded]:
 
 
 def wrap(roots: list[Node]) -> set[int]:
-    """Ids of template elements of the different pages of a cohort, none of which marks an article."""
+    """Ids of template elements of the different pages of a cohort."""
     trees = [fold([r], r.name) for r in roots]
     reference = max(trees, key=lambda t: sum(1 for _ in _walk(t)))
     slots: dict[int, list[tuple[int, Folded]]] = defaultdict(list)
@@ -253,13 +252,10 @@ def wrap(roots: list[Node]) -> set[int]:
     return template
 
 
-def _marked_text(root: Node) -> str | None:
-    """The text of the regions that the page marks as its article or main part; null if it marks none."""
+def _marked(root: Node) -> list[Node]:
+    """The regions that the page marks as its article or main part."""
     found = [e for e in _elements(root) if e.region and not (e.parent and e.parent.region) and not e.outside]
-    if not found:
-        return None
-    inner = [a for e in found for a in ([x for x in _elements(e) if x.name == "article" and not x.outside and not _within_article(x)] or [e])] if any(e.name == "main" for e in found) else found
-    return "\n".join(t for e in inner for _, t in blocks(e, lambda x: not x.outside))
+    return [a for e in found for a in ([x for x in _elements(e) if x.name == "article" and not x.outside and not _within_article(x)] or [e])] if any(e.name == "main" for e in found) else found
 
 
 def _within_article(x: Node) -> bool:
@@ -281,19 +277,11 @@ def _elements(root: Node) -> Iterator[Node]:
 
 def extract(pages: list[str]) -> list[str]:
     """Main texts of the pages of a cohort."""
+    roots = {page: parse(page) for page in dict.fromkeys(pages)}
+    template = wrap(list(roots.values())) if roots else set()
     done: dict[str, str] = {}
-    open_pages: dict[str, Node] = {}
-    for page in dict.fromkeys(pages):
-        root = parse(page)
-        text = _marked_text(root)
-        if text is None:
-            open_pages[page] = root
-        else:
-            done[page] = text
-    if open_pages:
-        template = wrap(list(open_pages.values()))
-        for page, root in open_pages.items():
-            done[page] = "\n".join(t for _, t in blocks(root, lambda x: not x.outside and id(x) not in template))
+    for page, root in roots.items():
+        done[page] = "\n".join(t for e in _marked(root) or [root] for _, t in blocks(e, lambda x: not x.outside and id(x) not in template))
     return [done[p] for p in pages]
 
 

@@ -39,6 +39,11 @@ def test_sibling_regions_of_unmarked_pages_stay():
         assert t.split("\n") == [f"Lead {k}", *[f"Story {k} part {j} {'word ' * 20}".strip() for j in range(5)], f"More {k}"]
 
 
+def test_template_inside_marked_articles_goes():
+    pages = [f"<html><body><article><h1>Title {k}</h1><p>Story {k} {'word ' * 20}</p><h4>Read us daily</h4></article></body></html>" for k in range(8)]
+    assert html_text.extract(pages) == [f"Title {k}\n" + f"Story {k} {'word ' * 20}".strip() for k in range(8)]
+
+
 def test_page_query(spark):
     import re
 
