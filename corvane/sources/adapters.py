@@ -27,7 +27,7 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").filter("user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL")
     t = F.floor((F.unix_timestamp("ts") - ORIGIN) / BIN).cast("int")
     sums = events.select("user_id", "event_type", t.alias("t"), "value").filter(F.col("t").between(0, BINS - 1)).groupBy("user_id", "event_type", "t").agg(F.round(F.sum("value"), 4).alias("v"))
-    grid = events.select("user_id").distinct().crossJoin(F.broadcast(events.select("event_type").distinct().limit(256))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    grid = events.select("user_id").distinct().crossJoin(F.broadcast(events.select("event_type").distinct())).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
     full = grid.join(sums, ["user_id", "event_type", "t"], "left")
     grp = F.when(F.col("user_id") % 2 == 0, "Healthy").otherwise("Patient")
     return full.select(grp.alias("grp"), F.col("user_id").alias("subject"), F.col("event_type").alias("channel"), "t", F.coalesce("v", F.lit(0.0)).alias("v"))

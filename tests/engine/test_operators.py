@@ -237,3 +237,10 @@ def test_streamed_epochs_equal_batch_ones(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {tuple(r) for r in K.epoch_quality(rows, "1 hour").collect()}
     assert got and got <= batch and len(batch) - len(got) <= 3  # the last window stays open
+
+
+def test_signal_keeps_every_event_type(spark, tmp_path):
+    from corvane.sources import adapters
+
+    spark.range(300).selectExpr("1L AS user_id", "concat('e', id) AS event_type", "timestamp_seconds(1704067200 + id) AS ts", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    assert adapters.signal(spark, str(tmp_path)).select("channel").distinct().count() == 300
