@@ -15,23 +15,27 @@ length; all blocks of a segment step through the table side by side.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import SPACE, byte_symbols
-from corvane.llm.common import keyed_texts, raw_texts, read_table, restore_id, shared_dir, stage_table
+from corvane.llm.common import keyed_texts, read_table, restore_id, shared_dir, stage_table
 
 LIMIT, BLOCK, END_ID = 16, 128, 1
 #: Ids of a segment, about, and documents at most.
 SEGMENT_IDS, SEGMENT_DOCS = 400_000, 4000
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+#: Pieces whose ids a worker remembers, ids of them and bytes; the memory is emptied when it is full.
+REMEMBERED, REMEMBERED_IDS, REMEMBERED_BYTES = 1_000_000, 8_000_000, 1 << 26
+#: Bytes of texts that are encoded together, about.
+GROUP = 1 << 25
 
 
 def default_path() -> str:
@@ -43,22 +47,30 @@ def default_path() -> str:
 # ---------------------------------------------------------------- encoding
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] of them, then those of the next."""
+    ends = np.cumsum(sizes)
+    return np.repeat((starts - (ends - sizes)).astype(np.int32), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+
+
 class WordEncoder:
     """Ids by the tokenizers library, looked up by word.
 
     This vocabulary's normalizer maps white space to a space and its pre-tokenizer drops it, so no piece crosses ASCII
-    white space and a text's ids are its words' ids in order.  A new word goes through the library's normalizer, the
-    pre-tokenizer's pattern, many words at a time, and each new piece through the library's model; words that may hold an
-    added token go through the library as they are.
+    white space and a text's ids are its words' ids in order.  The different words of a group of texts are cut together:
+    words of letters and closing marks by Arrow functions, others by the library's normalizer and the pre-tokenizer's
+    pattern.  Each new piece goes through the library's model; words that may hold an added token go through the
+    library as they are.
     """
 
     # Fixed value: the pre-tokenizer's pattern.
     PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
-    #: The same, with a space between words as a piece of its own, and the mark that stands for its id.
+    #: The same, with a space between words as a piece of its own, which has no ids.
     SPACED = regex.compile(PIECES + "| ")
-    GAP_ID, GAP = 0xFFFFFFFF, b"\xff\xff\xff\xff"
     #: Words with other white space, or with characters on which Unicode versions differ, are cut by the library itself.
     APART = regex.compile(f"[{SPACE}]|[^\\x00-\\u0557]")
+    #: Letters whose composed form is their own and whose lower case is one letter of the same range, and marks that form one piece after them.
+    LETTERS, MARKS = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u02af]*", ",.;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -68,64 +80,85 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.normalize, self.cut, self.tokenize = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
-        self.added = {t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.symbols = byte_symbols()
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {" ": self.GAP}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, np.uint32).tobytes()
-
-    def _piece(self, p: str) -> bytes:
-        found = self.pieces.get(p)
-        if found is None:
-            own = p if p.isascii() and p.isprintable() else "".join(map(self.symbols.__getitem__, p.encode()))
-            found = self._pack([t.id for t in self.tokenize(own)])
-            if len(p) <= 64:
-                self.pieces[p] = found
-        return found
-
-    def _learn(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        if len(self.pieces) > REMEMBERED // 2:
-            self.pieces = {" ": self.GAP}
-        whole = {w for x in self.added for w in words if x in w}  # may hold an added token
-        apart = {w for w in words if not w.isascii() and self.APART.search(w.decode())} - whole
-        for w in whole:
-            yield w, self._pack(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
-        for w in apart:
-            yield w, self._pack([t.id for p, _ in self.cut(self.normalize(w.decode())) for t in self.tokenize(p)])
-        plain = [w for w in words if w not in whole and w not in apart] if whole or apart else words
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ascii_, other = [w for w in part if w.isascii()], [w for w in part if not w.isascii()]
-            for own, text in ((ascii_, b" ".join(ascii_).decode().lower()), (other, self.normalize(b" ".join(other).decode()))):
-                if not own:
-                    continue
-                found = self.SPACED.findall(text)
-                for p in set(found).difference(self.pieces):
-                    self._piece(p)
-                long = {p: self._piece(p) for p in found if len(p) > 64}
-                look = self.pieces | long if long else self.pieces
-                ids = np.frombuffer(b"".join(map(look.__getitem__, found)) + self.GAP, np.uint32)
-                ends = np.flatnonzero(ids == self.GAP_ID)
-                data, last = ids.tobytes(), 0
-                for w, end in zip(own, ends.tolist(), strict=True):
-                    yield w, data[4 * last : 4 * end]
-                    last = end + 1
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
-        found = [[*map(self.known.get, w)] for w in words]
-        new = {x for w, ids in zip(words, found, strict=True) if None in ids for x, i in zip(w, ids, strict=True) if i is None}
-        if new:
-            own = dict(self._learn([*new]))
-            for w, ids in zip(words, found, strict=True):
-                if None in ids:
-                    ids[:] = [own[x] if i is None else i for x, i in zip(w, ids, strict=True)]
-            if len(self.known) + len(own) > REMEMBERED:
-                self.known.clear()
-            self.known.update((w, ids) for w, ids in own.items() if len(w) <= 200)
-        return [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces, self.ids, self.begin = pa.array([], pa.string()), array("I"), array("I", [0])
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Number of each piece; new ones go through the library's model.  `begin` and `ids` hold their ids."""
+        if len(self.pieces) > REMEMBERED or len(self.ids) > REMEMBERED_IDS or self.pieces.nbytes > REMEMBERED_BYTES:
+            self._forget()
+        found = pc.index_in(pieces, value_set=self.pieces)
+        new = pc.unique(pieces.filter(found.is_null()))
+        if not len(new):
+            return found.to_numpy()
+        ids, begin = self.ids, self.begin
+        for p in new.to_pylist():
+            if p and p != " ":
+                ids.extend([t.id for t in self.tokenize(p if p.isascii() and p.isprintable() else "".join(map(self.symbols.__getitem__, p.encode())))])
+            begin.append(len(ids))
+        self.pieces = pa.concat_arrays([self.pieces, new])
+        return pc.index_in(pieces, value_set=self.pieces).to_numpy()
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes, ids): the ids of word k are sizes[k] from starts[k] on."""
+        whole = np.zeros(len(words), bool)
+        for x in self.added:
+            whole |= pc.match_substring(words, x).to_numpy(zero_copy_only=False)
+        simple = pc.match_substring_regex(words, f"^{self.LETTERS}[{self.MARKS}]*$").to_numpy(zero_copy_only=False) & ~whole
+        lower = pc.utf8_lower(words.filter(pa.array(simple)))
+        stems = pc.utf8_rtrim(lower, characters=self.MARKS)
+        marked = pc.not_equal(pc.binary_length(stems), pc.binary_length(lower))
+        stems, tails = stems.dictionary_encode(), pc.replace_substring_regex(lower.filter(marked), f"^{self.LETTERS}", "").dictionary_encode()
+        rest = np.flatnonzero(~simple & ~whole)
+        texts = words.take(pa.array(rest)).to_pylist()
+        apart = np.array([bool(self.APART.search(x)) for x in texts], bool)
+        joined = " ".join(x for x, own in zip(texts, apart, strict=True) if not own)
+        found = pa.array(self.SPACED.findall(self.normalize(joined)) if joined else [], pa.string()).dictionary_encode()
+        number = self._numbers(pa.concat_arrays([stems.dictionary, tails.dictionary, found.dictionary]))
+        begin, known = np.array(self.begin, np.int64), np.array(self.ids, np.uint32)
+        a, b = len(stems.dictionary), len(stems.dictionary) + len(tails.dictionary)
+
+        starts, sizes, parts, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        # a simple word is its stem and, if marked, its tail; the others are the pieces between two gaps
+        pairs = np.empty((len(lower), 2), np.int64)
+        pairs[:, 0] = number[stems.indices.to_numpy()]
+        pairs[:, 1] = -1
+        pairs[marked.to_numpy(zero_copy_only=False), 1] = number[a + tails.indices.to_numpy()]
+        pieces = number[b + found.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
+        gap = pc.index_in(pa.scalar(" "), value_set=self.pieces).as_py()
+        gaps = np.flatnonzero(pieces == (-1 if gap is None else gap))
+        for own, line in ((np.flatnonzero(simple), pairs.reshape(-1)), (rest[~apart], pieces)):
+            if not len(own):
+                continue
+            n = np.where(line < 0, 0, begin[line + 1] - begin[line])
+            ends = np.concatenate([[0], np.cumsum(n)])
+            bounds = ends[::2] if line is not pieces else ends[np.concatenate([[0], gaps, [len(line)]])]
+            sizes[own], starts[own] = np.diff(bounds), at + bounds[:-1]
+            parts.append(known[ragged(begin[line], n)])
+            at += len(parts[-1])
+        alone = [(k, [t.id for p, _ in self.cut(self.normalize(x)) for t in self.tokenize(p)]) for k, x in zip(rest[apart].tolist(), (x for x, own in zip(texts, apart, strict=True) if own), strict=True)]
+        alone += [(int(k), self.tokenizer.encode(words[k].as_py(), add_special_tokens=False).ids) for k in np.flatnonzero(whole)]
+        for k, ids in alone:
+            starts[k], sizes[k] = at, len(ids)
+            parts.append(np.array(ids, np.uint32))
+            at += len(ids)
+        return starts, sizes, np.concatenate([*parts, np.zeros(0, np.uint32)])
+
+    def encode(self, texts: pa.Array, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text's ids)."""
+        split = pc.ascii_split_whitespace(texts)
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        starts, sizes, ids = self._words(coded.dictionary)
+        own = coded.indices.to_numpy()
+        n = sizes[own]
+        ends = np.concatenate([[0], np.cumsum(n)])[bounds[1:]]
+        parts = [ids[ragged(starts[own[at : at + step]], n[at : at + step])] for at in range(0, len(own), step)]
+        return np.concatenate([*parts, np.zeros(0, np.uint32)]), ends
 
 
 @lru_cache(maxsize=2)
@@ -133,26 +166,34 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _groups(texts: list[bytes], size: int = 1 << 21) -> Iterator[list[bytes]]:
-    own, total = [], 0
-    for t in texts:
-        own.append(t)
-        total += len(t)
-        if total > size:
-            yield own
-            own, total = [], 0
-    if own:
-        yield own
+def _groups(column: pa.Array, size: int = GROUP) -> Iterator[pa.Array]:
+    """Slices of consecutive texts that have about `size` bytes together."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield column.slice(at, to - at)
+        at = to
 
 
 def _encode_ids(path: str, end_id: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        kind = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
-        end = np.array([end_id], kind).tobytes()
+        kind = np.dtype("<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4")
         for b in rows:
-            ids = [x.astype(kind).tobytes() + end for own in _groups(raw_texts(b.column("text"))) for x in enc.encode(own)]
-            yield pa.record_batch({"_id": b.column("_id"), "_tx": b.column("_tx"), "width": pa.array([int(kind[-1])] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())})
+            at = 0
+            for texts in _groups(b.column("text")):
+                ids, ends = enc.encode(texts)
+                last = ends + np.arange(len(ends))  # places of the end ids
+                out = np.empty(len(ids) + len(ends), kind)
+                inside = np.ones(len(out), bool)
+                inside[last] = False
+                out[inside], out[last] = ids, end_id
+                offsets = np.concatenate([[0], (last + 1) * kind.itemsize]).astype(np.int32)
+                own = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+                part = b.slice(at, len(ends))
+                at += len(ends)
+                yield pa.record_batch({"_id": part.column("_id"), "_tx": part.column("_tx"), "width": pa.array([kind.itemsize] * len(ends), pa.int32()), "ids": own})
 
     return run
 

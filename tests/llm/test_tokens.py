@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import SF, crc_ids, sha
 from corvane.llm import bpe, token_counts, token_files
@@ -138,10 +139,20 @@ def test_token_files_of_odd_rows(spark, tmp_path):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=80))
 def test_words_encode_like_whole_texts(text):
-    got = token_files.encoder(token_files.default_path()).encode([text.encode()])[0].tolist()
+    got = token_files.encoder(token_files.default_path()).encode(pa.array([text]))[0].tolist()
     assert got == WORDS.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_many_texts_keep_their_places():
+    texts = [*ODD, *(f"x{chr(c)}{chr(c)}.,y {chr(c)}!" for c in range(0x21, 0x558) if not 0xD800 <= c < 0xE000), "x" * 90 + " y", "don't, it's; x.y! a,b ...", "<|startoftext|> a<|endoftext|>b", *ODD[::-1]]
+    enc = token_files.WordEncoder(token_files.default_path())
+    for own in (pa.array(texts), pa.array(["out", *texts, "out"]).slice(1, len(texts))):
+        ids, ends = enc.encode(own, step=7)
+        for text, a, z in zip(texts, [0, *ends], ends):
+            assert ids[a:z].tolist() == WORDS.encode(text, add_special_tokens=False).ids
+    assert [len(x) for x in token_files._groups(pa.array(["aa", "a", "b" * 9, "c", ""]), 3)] == [2, 1, 2]
+
+
 # ---------------------------------------------------------------- counts
 
 
