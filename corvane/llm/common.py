@@ -1,17 +1,20 @@
 """Shared pieces of the text operators: stage tables, word hashing, Arrow helpers.
 
 A word is a maximal run of bytes other than the six ASCII white-space bytes (space, \\t, \\n, \\v, \\f, \\r), the
-pattern ``[^\\x20\\x09-\\x0D]+``.  All hashing is a pure function of the bytes, so every executor and every rerun of
-a lost task gets the same values.
+pattern ``[^\\x20\\x09-\\x0D]+``.  A word is known by the XXH3 digest of its bytes, 128 bits.  All hashing is a pure
+function of the bytes, so every executor and every rerun of a lost task gets the same values.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,47 +81,56 @@ class Powers:
         return self.up, self.down
 
 
-_BYTES = Powers(_P1)
-_WORDS = (Powers(_P2), Powers(0xD6E8FEB86659FD93))
+#: Bytes of texts whose words are held at once, about.
+GROUP = 1 << 24
 
 
-def _hash_block(data: bytes) -> np.ndarray:
-    buf = np.frombuffer(data, np.uint8)
-    inside = np.empty(len(buf) + 2, bool)
-    inside[0] = inside[-1] = False
-    inside[1:-1] = (buf != 32) & ((buf < 9) | (buf > 13))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _BYTES.to(len(buf))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def slices(column: pa.Array, size: int = GROUP) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts): slices of consecutive texts that have about `size` bytes together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, column.slice(at, to - at)
+        at = to
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of data, in order."""
-    if len(data) <= BLOCK:
-        return _hash_block(data)
-    parts, at = [], 0
-    while at < len(data):
-        end = min(at + BLOCK, len(data))
-        while end < len(data) and not (data[end] == 32 or 9 <= data[end] <= 13):
-            end += 1
-        parts.append(_hash_block(data[at:end]))
-        at = end
-    return np.concatenate(parts)
+class Words(NamedTuple):
+    """The words of several texts in a row: both halves of their digests, and bounds[k] to bounds[k + 1] for text k."""
 
+    lo: np.ndarray
+    hi: np.ndarray
+    bounds: np.ndarray
 
-class Spans:
-    """Hashes of runs of consecutive word hashes: (sums of hash * base**position) over any run in O(1)."""
 
-    def __init__(self, words: np.ndarray, family: int = 0):
-        self.up, self.down = _WORDS[family].to(len(words))
-        self.total = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum((words | np.uint64(1)) * self.up[: len(words)] if family else words * self.up[: len(words)], out=self.total[1:])
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(words, bounds) of a string array without nulls."""
+    split = pc.ascii_split_whitespace(texts)
+    flat = split.flatten()
+    inside = pc.greater(pc.binary_length(flat), 0)  # white space at either end of a text leaves an empty string
+    before = np.concatenate([[0], np.cumsum(inside.to_numpy(zero_copy_only=False))])
+    return flat.filter(inside).dictionary_encode(), before[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+def words_of(texts: pa.Array) -> Words:
+    coded, bounds = split_words(texts)
+    digests = b"".join([xxhash.xxh3_128_digest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()])
+    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    own = coded.indices.to_numpy()
+    return Words(halves[:, 0][own], halves[:, 1][own], bounds)
+
+
+def runs_of(x: np.ndarray, size: int) -> np.ndarray:
+    """A key of every run of `size` values: keys of 1, 2, 4 ... values are mixed in pairs, so no sum or product shows in them."""
+    level, width, out, covered = x, 1, None, 0
+    while True:
+        if size & width:
+            out = level if out is None else mix(out[: len(x) - covered - width + 1] * np.uint64(_P2) + level[covered:]) if len(x) >= covered + width else x[:0]
+            covered += width
+        if 2 * width > size:
+            return out
+        level = mix(level[:-width] * np.uint64(_P1) + level[width:]) if len(level) > width else x[:0]
+        width *= 2
 
 
 def signed(x: np.ndarray) -> pa.Array:

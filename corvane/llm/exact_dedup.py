@@ -101,13 +101,16 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     clashes = chunk_store(docs).groupBy("h", "n").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "n")
     clashing = recipes.select("_id", "sha", F.explode("recipe").alias("r")).select("_id", "sha", "r.h", "r.n").join(clashes, ["h", "n"], "left_semi").select("_id", "sha").distinct().withColumn("clash", F.col("sha"))
     keyed = recipes.join(clashing, ["_id", "sha"], "left").select("_id", "sha", "recipe", F.coalesce("clash", F.lit("")).alias("clash"))
-    groups = keyed.groupBy("recipe", "clash").agg(F.max("_id").alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    return keyed.join(groups, ["recipe", "clash"]).select(
+    # texts without a copy need no row; the groups go through a table, so that Spark can split the join of a large group
+    groups = stage_table(keyed.groupBy("recipe", "clash").agg(F.max("_id").alias("keep"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "groups")
+    found = keyed.join(groups, ["recipe", "clash"], "left").withColumns({"keep": F.coalesce("keep", "_id"), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+    return found.select(
         restore_id("_id").alias("doc_id"), restore_id("keep").alias("keep_id"), "group_size", (F.col("_id") == F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) of every document, as exact_dedup gives them: null counts as empty, the largest doc_id of equal texts stays."""
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 

@@ -1,14 +1,18 @@
 """Substring dedup over a compacted De Bruijn graph of word windows.
 
-An edge of the graph is a window of K consecutive words; two windows are neighbours when they overlap in K - 1 words.
-Windows that share the same least M-word hash at the same place follow each other without a branch, so they are
-compacted into one row before anything is shuffled (a compacted path, nine windows on average).  Paths then meet by
-their minimizer:
-
-1. equal paths are repeats of the first of them, with its place as source;
-2. where different paths share a minimizer, the graph branches near it: only those paths are opened again into
-   single windows, which meet by a 128-bit key, and later windows are repeats of the first;
-3. repeats that lie end to end in a document and in its source are joined into long spans by their coordinates.
+An edge of the graph is a window of K consecutive words (a k-mer of word tokens), its nodes are its first and last K - 1
+words.  The graph is built from the edges that occur at two places or more and is compacted in three rounds of joins:
+
+1. windows of one document that have the same least run of M words at the same place follow each other without a
+   branch, so they travel as one row, a local path.  Local paths meet by that run (their anchor): equal paths are
+   repeats of the first of them, with its place as source; where an anchor has several different paths the graph
+   branches near it, and only those paths are opened into single windows, which meet by a 128-bit key;
+2. an edge is named by the place where it occurs first, so an occurrence of two consecutive edges is a pair of places.
+   A pair that jumps (its second place isn't the one after the first) leaves a node that has another way out or enters
+   one that has another way in.  The jumps are joined to all other pairs: what is left are nonbranching paths, and each
+   becomes one span (document, start, windows, source document, source start);
+3. the spans are verified by source coordinates: the words at both places are digested and the digests joined; a span
+   whose words differ removes nothing.
 
 Every decision looks at places (doc_id, word number), never at what is left of a text, so the order of removal does not
 matter.  A word goes if a repeated window covers it.
@@ -21,13 +25,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Spans, keyed_texts, mix, raw_texts, read_table, restore_id, signed, word_hashes
+from corvane.llm.common import Words, keyed_texts, mix, raw_texts, read_table, restore_id, runs_of, signed, slices, stage_table, words_of
 
-#: Words of a window, and of the runs whose least hash is its minimizer.
-K, M = 20, 5
+#: Words of a window, and of the runs of which the one with the least key is its anchor.
+K, M = 20, 8
+#: Different paths of one anchor that travel from a batch under the anchor's key.  If it has more, the anchor is known to
+#: branch, and its further paths travel by keys of their own.
+CROWD = 8
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -44,61 +51,62 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def compact_paths(words: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, ...]:
-    """(minimizer, key, second key, first window, windows) of every compacted path of a document."""
-    if len(words) < k:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64))
-    one, two = Spans(words), Spans(words, 1)
-    grams = one.of(np.arange(len(words) - m + 1), np.arange(m, len(words) + 1))
+def local_paths(words: Words, k: int = K, m: int = M) -> tuple[np.ndarray, ...]:
+    """(anchor, key, text, first window, windows) of the local paths of several texts; windows are numbered in their text."""
+    n = len(words.lo) - k + 1
+    if n < 1:
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
+    inside = text[:n] == text[k - 1 :]
+    grams = runs_of(words.lo, m)
     least = _sliding_least(grams, k - m + 1)
-    start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    n = np.diff(np.concatenate([start, [len(least)]]))
-    end = start + n + k - 1
-    return grams[least[start]], one.of(start, end), two.of(start, end), start, n
+    new = inside.copy()
+    new[1:] &= ~inside[:-1] | (least[1:] != least[:-1]) | (text[1:n] != text[: n - 1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.concatenate([np.cumsum(inside)[start] - 1, [inside.sum()]]))
+    window = runs_of(words.hi, k)
+    # the first and the last window of a local path overlap, so they hold all of its words
+    key = mix(window[start] * np.uint64(0x9E3779B97F4A7C15) + window[start + size - 1] + size.astype(np.uint64))
+    return grams[least[start]], key, text[start], start - words.bounds[text[start]], size
 
 
-_ROWS = "route long, a long, b long, c long, _id long, start int, n int, src_id long, src_start int"
+_ROWS = "route long, open boolean, a long, b long, _id long, start int, n int, src_id long, src_start int"
 
 
-def _emit(a: np.ndarray, b: np.ndarray, c: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _emit(a: np.ndarray, b: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray, crowd: int) -> pa.RecordBatch:
     """Rows of a batch; of rows with equal keys only the first place still has to meet the rest of the corpus.
 
-    The others know their source already; they travel under a route of their own, so that the rows of a very frequent
-    key do not end up in one task.
+    The others know their source already.  They, and the paths beyond `crowd` of an anchor, travel under routes of their
+    own, so that the rows of a very frequent anchor do not end up in one task.
     """
-    order = np.lexsort((start, ids, c, b, a))
-    a, b, c, ids, start, n = (x[order] for x in (a, b, c, ids, start, n))
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-    source = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+    order = np.lexsort((start, ids, b, a))
+    a, b, ids, start, n = (x[order] for x in (a, b, ids, start, n))
+    at = np.arange(len(a))
+    new_a = np.ones(len(a), bool)
+    new_a[1:] = a[1:] != a[:-1]
+    first = new_a.copy()
+    first[1:] |= b[1:] != b[:-1]
+    source = np.maximum.accumulate(np.where(first, at, 0))
     same = (ids == ids[source]) & (start == start[source])  # rows that repeat a document
     known = ~first & ~same
-    route = np.where(known, mix((ids * 1_000_003 + start).astype(np.uint64)), a)
+    nth = np.cumsum(first) - 1
+    nth -= nth[np.maximum.accumulate(np.where(new_a, at, 0))]
+    beyond = ~known & (nth >= crowd)
+    route = np.where(known, mix((ids * 1_000_003 + start).astype(np.uint64)), np.where(beyond, mix(a ^ b), a))
     return pa.record_batch({
-        "route": signed(route), "a": signed(a), "b": signed(b), "c": signed(c), "_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32()),
+        "route": signed(route), "open": pa.array(beyond), "a": signed(a), "b": signed(b), "_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32()),
         "src_id": pa.array(ids[source], pa.int64(), mask=~known), "src_start": pa.array(start[source], pa.int32(), mask=~known),
     })
 
 
-def _gather(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-    yield _emit(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-
-def _paths(k: int, m: int):
+def _paths(k: int, m: int, crowd: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            parts: list[tuple] = []
-            held = 0
-            for i, text in zip(b.column("_id").to_pylist(), raw_texts(b.column("text")), strict=True):
-                a, x, y, start, n = compact_paths(word_hashes(text), k, m)
+            ids = b.column("_id").to_numpy()
+            for at, texts in slices(b.column("text")):
+                a, key, text, start, n = local_paths(words_of(texts), k, m)
                 if len(a):
-                    parts.append((a, x, y, np.full(len(a), i), start, n))
-                    held += len(a)
-                if held > 300_000:
-                    yield from _gather(parts)
-                    parts, held = [], 0
-            if parts:
-                yield from _gather(parts)
+                    yield _emit(a, key, ids[at + text], start, n, crowd)
 
     return run
 
@@ -107,9 +115,10 @@ _FOUND = "_id long, start int, n int, src_id long, src_start int"
 
 
 def _later(branches: bool) -> Callable:
-    """Over rows in the order of (a, b, c, place): rows whose key came before, with the first place as source.
+    """Over rows in the order of (a, b, place): rows whose key came before, with the first place as source.
 
-    With branches, also the first place of each key (src null) where one `a` has several keys.  State: one key and place.
+    With branches, also the first place of each key (src null) where one `a` has several keys, and rows marked open.
+    State: one key and place.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,17 +128,17 @@ def _later(branches: bool) -> Callable:
         for batch in rows:
             if not batch.num_rows:
                 continue
-            col = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("a", "b", "c", "_id", "start", "n")}
+            col = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("a", "b", "_id", "start", "n", "open")}
             known = batch.column("src_id").is_valid().to_numpy(zero_copy_only=False)
             out = [tuple(batch.column(c).filter(pa.array(known)).to_numpy(zero_copy_only=False) for c in ("_id", "start", "n", "src_id", "src_start"))]
-            a, b, c, ids, start, n = (col[x][~known] for x in ("a", "b", "c", "_id", "start", "n"))
-            opened: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            opened: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [tuple(col[x][col["open"]] for x in ("_id", "start", "n"))]
+            a, b, ids, start, n = (col[x][~known & ~col["open"]] for x in ("a", "b", "_id", "start", "n"))
             if len(a):
                 new_a, new_key = np.ones(len(a), bool), np.ones(len(a), bool)
                 new_a[1:] = a[1:] != a[:-1]
-                new_key[1:] = new_a[1:] | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+                new_key[1:] = new_a[1:] | (b[1:] != b[:-1])
                 new_a[0] = last is None or a[0] != last[0]
-                new_key[0] = new_a[0] or b[0] != last[1] or c[0] != last[2]
+                new_key[0] = new_a[0] or b[0] != last[1]
                 at = np.maximum.accumulate(np.where(new_key, np.arange(len(a)), -1))
                 s_id = np.where(at < 0, first[0], ids[at])
                 s_start = np.where(at < 0, first[1], start[at])
@@ -143,16 +152,16 @@ def _later(branches: bool) -> Callable:
                             opened.append(tuple(np.array([x]) for x in first))
                         several, waiting = True, False
                     many = keys > 1
-                    many[0] = bool(keys[0])
+                    many[0] = several and not new_a[0]
                     take = new_key & many[group]
                     opened.append((ids[take], start[take], n[take]))
                     if group[-1]:
                         several, waiting = bool(many[group[-1]]), not many[group[-1]]
                 if at[-1] >= 0:
                     first = (int(ids[at[-1]]), int(start[at[-1]]), int(n[at[-1]]))
-                last = (a[-1], b[-1], c[-1])
+                last = (a[-1], b[-1])
             i, s, m, si, ss = (np.concatenate(x) for x in zip(*out, strict=True))
-            o_i, o_s, o_n = (np.concatenate(x) for x in zip(*opened, strict=True)) if opened else (np.zeros(0, np.int64),) * 3
+            o_i, o_s, o_n = (np.concatenate(x) for x in zip(*opened, strict=True))
             mask = np.concatenate([np.zeros(len(i), bool), np.ones(len(o_i), bool)])
             yield pa.record_batch({
                 "_id": pa.array(np.concatenate([i, o_i]).astype(np.int64)), "start": pa.array(np.concatenate([s, o_s]).astype(np.int32)), "n": pa.array(np.concatenate([m, o_n]).astype(np.int32)),
@@ -163,7 +172,20 @@ def _later(branches: bool) -> Callable:
 
 
 def _meet(rows: DataFrame, branches: bool) -> DataFrame:
-    return rows.repartition("route").sortWithinPartitions("a", "b", "c", "_id", "start").mapInArrow(_later(branches), _FOUND)
+    return rows.repartition("route").sortWithinPartitions("a", "b", "_id", "start").mapInArrow(_later(branches), _FOUND)
+
+
+def _lists(column: pa.ListArray, *fields: str) -> tuple[np.ndarray, ...]:
+    """(row, *fields) of a list of structs, one entry for each struct; a null list has none."""
+    flat = column.flatten()
+    row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return row, *(flat.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
+def _each(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, value) for starts[e], starts[e] + 1, ... sizes[e] of them."""
+    entry = np.repeat(np.arange(len(sizes)), sizes)
+    return entry, starts[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _windows(k: int):
@@ -171,45 +193,74 @@ def _windows(k: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            parts: list[tuple] = []
-            held = 0
-            for i, text, opened in zip(b.column("_id").to_pylist(), raw_texts(b.column("text")), b.column("opened").to_pylist(), strict=True):
-                words = word_hashes(text)
-                one, two = Spans(words), Spans(words, 1)
-                at = np.unique(np.concatenate([np.arange(o["start"], o["start"] + o["n"]) for o in opened]))
-                at = at[at + k <= len(words)]
-                if not len(at):
-                    continue
-                x, y = one.of(at, at + k), two.of(at, at + k)
-                parts.append((x, y, np.zeros(len(at), np.uint64), np.full(len(at), i), at, np.ones(len(at), np.int64)))
-                held += len(at)
-                if held > 300_000:
-                    yield from _gather(parts)
-                    parts, held = [], 0
-            if parts:
-                yield from _gather(parts)
+            ids = b.column("_id").to_numpy()
+            for first, texts in slices(b.column("text")):
+                words = words_of(texts)
+                row, start, n = _lists(b.column("opened").slice(first, len(texts)), "start", "n")
+                entry, window = _each(start.astype(np.int64), n.astype(np.int64))
+                at = np.unique(window + words.bounds[row[entry]])
+                text = np.searchsorted(words.bounds, at, "right") - 1
+                fits = at + k <= words.bounds[text + 1]  # rows of a repeated id may be shorter than the one that asked
+                at, text = at[fits], text[fits]
+                if len(at):
+                    yield _emit(runs_of(words.lo, k)[at], runs_of(words.hi, k)[at], ids[first + text], at - words.bounds[text], np.ones(len(at), np.int64), len(at))
 
     return run
 
 
-def repeated_windows(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+def repeated_windows(docs: DataFrame, k: int = K, m: int = M, crowd: int = CROWD) -> DataFrame:
     """(_id, start, n, src_id, src_start): runs of n windows from word `start`, which also start earlier, at the source."""
     texts = keyed_texts(docs)
-    met = _meet(texts.mapInArrow(_paths(k, m), _ROWS), branches=True)
+    met = _meet(texts.mapInArrow(_paths(k, m, crowd), _ROWS), branches=True)
     opened = met.filter("src_id IS NULL").groupBy("_id").agg(F.collect_list(F.struct("start", "n")).alias("opened"))
     windows = texts.join(opened.hint("shuffle_hash"), "_id").mapInArrow(_windows(k), _ROWS)
     return met.filter("src_id IS NOT NULL").unionByName(_meet(windows, branches=False))
 
 
-def joined_spans(runs: list[dict]) -> list[tuple[int, int, int, int]]:
-    """(start, n, src_id, src_start): runs that go on end to end both here and at their source, as one."""
-    out: list[list[int]] = []
-    for r in sorted(runs, key=lambda r: (r["src_id"], r["start"] - r["src_start"], r["start"])):
-        if out and out[-1][2] == r["src_id"] and out[-1][0] - out[-1][3] == r["start"] - r["src_start"] and r["start"] <= out[-1][0] + out[-1][1]:
-            out[-1][1] = max(out[-1][1], r["start"] + r["n"] - out[-1][0])
-        else:
-            out.append([r["start"], r["n"], r["src_id"], r["src_start"]])
-    return [tuple(x) for x in sorted(out)]
+def compacted(runs: DataFrame) -> DataFrame:
+    """(_id, start, n, src_id, src_start): the runs of each document that follow each other on a nonbranching path, as one span."""
+    place = Window.partitionBy("_id").orderBy("start", "src_id", "src_start")
+    before = {f"b_{c}": F.lag(c).over(place) for c in ("start", "n", "src_id", "src_start")}
+    pairs = runs.withColumns(before).withColumn("joins", F.col("b_start") + F.col("b_n") == F.col("start"))
+    pairs = pairs.withColumn("straight", F.coalesce(F.col("joins") & (F.col("b_src_id") == F.col("src_id")) & (F.col("b_src_start") + F.col("b_n") == F.col("src_start")), F.lit(False)))
+    jumps = pairs.filter("joins AND NOT straight")
+    # a straight pair goes from the place before src_start to src_start: it is cut if a jump leaves the one or enters the other
+    cuts = jumps.select(F.col("src_id").alias("c_id"), F.col("src_start").alias("c_at")).unionByName(jumps.select(F.col("b_src_id").alias("c_id"), (F.col("b_src_start") + F.col("b_n")).alias("c_at"))).distinct()
+    cut = pairs.join(cuts, (F.col("src_id") == F.col("c_id")) & (F.col("src_start") == F.col("c_at")), "left")
+    path = F.sum(F.when(F.col("straight") & F.col("c_id").isNull(), 0).otherwise(1)).over(place)
+    numbered = cut.select("_id", "start", "n", "src_id", "src_start", path.alias("path"))
+    return numbered.groupBy("_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src_id").alias("src_id"), F.min("src_start").alias("src_start")).drop("path")
+
+
+_DIGESTS = "_id long, start int, n int, src_id long, src_start int, digest binary"
+
+
+def _digest(k: int):
+    """The asked spans of a text with a digest of their words; a span that isn't wholly in the text gets none."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            texts, asked = raw_texts(b.column("text")), b.column("asked")
+            row, start, n, src_id, src_start = _lists(asked, "start", "n", "src_id", "src_start")
+            ids, out, split, held = b.column("_id").to_numpy(), [], -1, []
+            for r, s, m in zip(row.tolist(), start.tolist(), n.tolist(), strict=True):
+                if r != split:
+                    split, held = r, texts[r].split()
+                own = held[s : s + m + k - 1]
+                out.append(hashlib.blake2b(b" ".join(own), digest_size=16).digest() if len(own) == m + k - 1 else None)
+            flat = asked.flatten()
+            yield pa.record_batch({"_id": pa.array(ids[row], pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32()), "src_id": flat.field("src_id"), "src_start": flat.field("src_start"), "digest": pa.array(out, pa.binary())})
+
+    return run
+
+
+def verified(spans: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
+    """The spans whose words are those at their source."""
+    sources = spans.select(F.col("src_id").alias("_id"), F.col("src_start").alias("start"), "n").distinct().select("*", F.lit(None).cast("long").alias("src_id"), F.lit(None).cast("int").alias("src_start"))
+    asked = spans.unionByName(sources).groupBy("_id").agg(F.collect_list(F.struct("start", "n", "src_id", "src_start")).alias("asked"))
+    found = keyed_texts(docs).join(asked.hint("shuffle_hash"), "_id").mapInArrow(_digest(k), _DIGESTS).filter("digest IS NOT NULL")
+    there = found.filter("src_id IS NULL").select(F.col("_id").alias("src_id"), F.col("start").alias("src_start"), "n", "digest").distinct()
+    return found.filter("src_id IS NOT NULL").join(there, ["src_id", "src_start", "n", "digest"], "left_semi").select("_id", "start", "n", "src_id", "src_start")
 
 
 _KEPT = "_id long, n_words long, n_removed long, n_spans long, longest_span long, kept string"
@@ -219,14 +270,13 @@ def _keep(k: int, digest: bool):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             out: dict[str, list] = {c.split()[0]: [] for c in _KEPT.split(", ")}
-            for i, text, runs in zip(b.column("_id").to_pylist(), raw_texts(b.column("text")), b.column("runs").to_pylist(), strict=True):
+            for i, text, spans in zip(b.column("_id").to_pylist(), raw_texts(b.column("text")), b.column("spans").to_pylist(), strict=True):
                 words = text.split()
                 gone = np.zeros(len(words) + 1, np.int64)
-                spans = joined_spans(runs or [])
-                for start, n, *_ in spans:
-                    if start < len(words):
-                        gone[start] += 1
-                        gone[min(start + n + k - 1, len(words))] -= 1
+                for s in spans or []:
+                    if s["start"] < len(words):
+                        gone[s["start"]] += 1
+                        gone[min(s["start"] + s["n"] + k - 1, len(words))] -= 1
                 here = np.cumsum(gone[:-1]) > 0
                 left = np.flatnonzero(~here).tolist() if spans else None
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], here, [False]])))
@@ -246,14 +296,17 @@ def substring_dedup(docs: DataFrame, k: int = K, m: int = M, digest: bool = Fals
     equal windows the one at the smallest (doc_id, word) stays, in full; windows of one document may overlap.  A null
     doc_id comes first and stays null.  doc_id names a document: rows that repeat an id with the same text are at the
     same place and do not delete each other; where texts differ under one id, repeats found at a place of that id
-    are taken from every row of it.  Extra columns are ignored; an empty table gives no rows.
+    are taken from every row of it.  n_spans and longest_span are the runs of removed words.  Extra columns are ignored;
+    an empty table gives no rows.
     """
-    runs = repeated_windows(docs, k, m).groupBy("_id").agg(F.collect_list(F.struct("start", "n", "src_id", "src_start")).alias("runs"))
-    out = keyed_texts(docs).join(runs.hint("shuffle_hash"), "_id", "left").mapInArrow(_keep(k, digest), _KEPT)
+    spans = stage_table(compacted(repeated_windows(docs, k, m)), "spans")
+    own = verified(spans, docs, k).groupBy("_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    out = keyed_texts(docs).join(own.hint("shuffle_hash"), "_id", "left").mapInArrow(_keep(k, digest), _KEPT)
     return out.select(restore_id("_id").alias("doc_id"), "n_words", "n_removed", "n_spans", "longest_span", "kept")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, n_spans, longest_span) of every document, as substring_dedup gives them: nulls and empty texts have no words, repeated ids are one document."""
     out = substring_dedup(read_table(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"), "n_spans", "longest_span")
 

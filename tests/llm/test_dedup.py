@@ -62,9 +62,49 @@ def test_substring_dedup_odd_rows(spark):
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
 
 
-def test_repeats_end_to_end_are_joined():
-    runs = [{"start": 5, "n": 3, "src_id": 1, "src_start": 0}, {"start": 8, "n": 4, "src_id": 1, "src_start": 3}, {"start": 12, "n": 2, "src_id": 1, "src_start": 50}]
-    assert substring_dedup.joined_spans(runs) == [(5, 7, 1, 0), (12, 2, 1, 50)]
+def thue_morse(n=1024):
+    """Two words of n letters that a polynomial modulo 2**64 can't tell apart, whatever its base."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    x, y = thue_morse()
+    shared = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{shared} {x}"), (2, f"{shared} {y}"), (3, f"p q {x}"), (4, f"p q {y}"), (5, f"z {shared} {y}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: n for i, (_, n, _) in substring(rows).items()}
+    assert want == {1: 0, 2: 0, 3: 0, 4: 0, 5: 20}
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()} == want
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs).collect()}
+    assert got[3] == 3 and got[4] == 4 and got == {i: c for i, (_, c) in near(rows, 80).items()}
+
+
+def test_crowded_anchors_open_alike(spark):
+    """One frequent run of words in very many contexts, a few of them equal."""
+    rng = random.Random(12)
+    hot = "h1 h2 h3 h4 h5 h6 h7 h8"
+    rows = [(i, f"{text(rng, 14)} {hot} {text(rng, 14)}") for i in range(200)]
+    rows += [(200 + i, rows[i][1]) for i in range(0, 60, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: v[1] for i, v in substring(rows).items()}
+    assert sum(map(bool, want.values())) == 20
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()} == want
+
+
+def test_nonbranching_paths_are_compacted(spark):
+    runs = [(9, 5, 3, 1, 0), (9, 8, 4, 1, 3), (9, 12, 2, 1, 50), (8, 0, 7, 1, 0), (7, 0, 3, 1, 47), (7, 3, 5, 1, 50), (6, 0, 2, 2, 0), (6, 2, 2, 2, 2)]
+    got = sorted(map(tuple, substring_dedup.compacted(spark.createDataFrame(runs, "_id long, start int, n int, src_id long, src_start int")).collect()))
+    # the jump from (1, 6) to (1, 50) cuts the path that goes straight through (1, 50), and would cut one through (1, 7)
+    assert got == [(6, 0, 4, 2, 0), (7, 0, 3, 1, 47), (7, 3, 5, 1, 50), (8, 0, 7, 1, 0), (9, 5, 7, 1, 0), (9, 12, 2, 1, 50)]
+
+
+def test_spans_of_other_words_are_not_verified(spark):
+    t = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, t), (2, t), (3, t + " x")], "doc_id long, text string")
+    spans = [(2, 0, 11, 1, 0), (3, 1, 11, 1, 0), (3, 11, 1, 1, 10), (3, 2, 3, 1, 2)]
+    got = substring_dedup.verified(spark.createDataFrame(spans, "_id long, start int, n int, src_id long, src_start int"), docs)
+    assert sorted(map(tuple, got.collect())) == [(2, 0, 11, 1, 0), (3, 2, 3, 1, 2)]
 
 
 # ---------------------------------------------------------------- lines
