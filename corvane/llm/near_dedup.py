@@ -24,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Spans, id_column, keyed_texts, raw_texts, read_table, restore_id, stage_table, word_hashes
+from corvane.llm.common import id_column, keyed_texts, read_table, restore_id, runs_of, slices, stage_table, words_of
 
 SHINGLE = 5
 TREES, DEPTH, LEAST_PREFIX, NEIGHBOURS, REGION = 24, 8, 3, 3, 512
@@ -36,15 +37,17 @@ PERCENT = 80
 SEED = 20240611
 #: Documents and shingles of a block of a region that is compared in full, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 500_000
+#: Candidates of one document that are confirmed in one task, about.
+SLOT = 256
 
 
-def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; of a shorter text the whole sequence is one; of no words, none."""
-    words = word_hashes(text.lower())  # bytes.lower() changes A-Z only
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    size = min(size, len(words))
-    return np.unique(Spans(words).of(np.arange(len(words) - size + 1), np.arange(size, len(words) + 1)))
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit keys of its shingles; of a shorter text the whole sequence is one; of no words, none."""
+    for _, part in slices(texts):
+        words = words_of(pc.ascii_lower(part))
+        grams = runs_of(words.lo, size)
+        for a, z in zip(words.bounds.tolist(), words.bounds[1:].tolist()):
+            yield np.unique(grams[a : z - size + 1] if z - a >= size else runs_of(words.lo[a:z], z - a) if z > a else words.lo[:0])
 
 
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +71,7 @@ def _sets(size: int, trees: int, depth: int):
         a, b = _constants(trees * depth)
         for batch in rows:
             n, keys, sig = [], [], []
-            for text in raw_texts(batch.column("text")):
-                found = shingles(text, size)
+            for found in shingle_sets(batch.column("text"), size):
                 n.append(len(found))
                 keys.append(np.frombuffer(hashlib.md5(found.tobytes()).digest(), np.int64))
                 sig.append(signature(found, a, b).astype(">u4").tobytes() if len(found) else None)
@@ -120,14 +122,18 @@ def candidates(sets: DataFrame, percent: int = PERCENT, trees: int = TREES, dept
 
 
 def _confirm(size: int, percent: int):
+    """Over the rows of one x after another, its own text (y null) first: the pairs whose sets are near enough."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, np.uint64)
         for b in rows:
-            ok, last, own = [], None, np.zeros(0, np.uint64)
-            for y, ty, tx in zip(b.column("y").to_pylist(), raw_texts(b.column("ty")), raw_texts(b.column("tx")), strict=True):
-                if y != last:
-                    last, own = y, shingles(ty, size)
-                other = shingles(tx, size)
-                both = len(np.intersect1d(own, other, assume_unique=True))
+            ok = []
+            for x, y, other in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), shingle_sets(b.column("text"), size), strict=True):
+                if y is None:
+                    last, own = x, other
+                    ok.append(False)
+                    continue
+                both = len(np.intersect1d(own, other, assume_unique=True)) if x == last else 0
                 ok.append(100 * both >= percent * (len(own) + len(other) - both) and both > 0)
             keep = pa.array(ok, pa.bool_())
             yield pa.record_batch({"x": b.column("x").filter(keep), "y": b.column("y").filter(keep)})
@@ -135,11 +141,19 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full sets meet 100 * intersection >= percent * union."""
-    one = docs.join(pairs, F.col("_id") == F.col("x")).select("x", "y", F.col("text").alias("tx"))
-    both = one.join(docs, F.col("y") == F.col("_id")).select("x", "y", "tx", F.col("text").alias("ty"))
-    return both.mapInArrow(_confirm(size, percent), "x long, y long")
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, slot: int = SLOT) -> DataFrame:
+    """The pairs whose full sets meet 100 * intersection >= percent * union.
+
+    The text of y travels to x once for each pair; the text of x once for each slot of about `slot` pairs, so neither many
+    partners of one text meet in one task nor is that text copied for each of them.
+    """
+    many = stage_table(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > slot).select(F.col("x").alias("hub"), "c"), "hubs")
+    dealt = pairs.join(many, F.col("x") == F.col("hub"), "left").select("x", "y", F.coalesce(F.pmod(F.xxhash64("y"), F.ceil(F.col("c") / slot)), F.lit(0)).alias("slot"))
+    dealt = stage_table(dealt, "dealt")
+    own = dealt.select("x", "slot").distinct().join(docs, F.col("x") == F.col("_id")).select("x", F.lit(None).cast("long").alias("y"), "slot", "text")
+    others = dealt.join(docs, F.col("y") == F.col("_id")).select("x", "y", "slot", "text")
+    met = own.unionByName(others).repartition("x", "slot").sortWithinPartitions("x", "slot", F.col("y").asc_nulls_first())
+    return met.mapInArrow(_confirm(size, percent), "x long, y long").distinct()
 
 
 def forest_links(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, slots: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -189,7 +203,7 @@ def forest_links(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, sl
 def _grams(size: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            yield pa.record_batch({"_id": b.column("_id"), "grams": pa.array([shingles(t, size).tobytes() for t in raw_texts(b.column("text"))], pa.binary())})
+            yield pa.record_batch({"_id": b.column("_id"), "grams": pa.array([x.tobytes() for x in shingle_sets(b.column("text"), size)], pa.binary())})
 
     return run
 
@@ -242,10 +256,11 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     edges = stage_table(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct(), "links")
     for _ in range(rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # rebalanced, so that the join deals both sides itself and Spark can split a hub's links
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).hint("rebalance")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(down, "u")
+        joined = large.join(down.hint("rebalance"), "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         new = stage_table(small, "links")
         changed = new.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(new, ["u", "v"], "left_anti").limit(1).count()
@@ -261,16 +276,17 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, **
     """(_id, n_shingles, rep, root) of every row: its class (least id with the same set) and the least id it reaches."""
     texts = keyed_texts(docs)
     sets = stage_table(texts.mapInArrow(_sets(size, forest.get("trees", TREES), forest.get("depth", DEPTH)), _SETS), "sets")
-    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("_id").alias("rep"))
-    reps = sets.filter("n > 0").join(classes, ["s1", "s2", "n"]).filter("_id = rep").dropDuplicates(["_id", "s1", "s2"]).select("_id", "n", "sig")
+    # classes of one document need no row; the others go through a table, so that Spark can split the join of a large class
+    classes = stage_table(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "classes")
+    own = sets.join(classes, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("rep", "_id"))
+    reps = own.filter("n > 0 AND _id = rep").dropDuplicates(["_id", "s1", "s2"]).select("_id", "n", "sig")
     pairs = stage_table(candidates(reps, percent, **forest), "pairs")
     links = confirmed(pairs, texts, size, percent)
     roots = components(links)
     more = across(reps, roots, texts, size, percent, **forest)
     if more is not None:
         roots = rooted(roots, more)
-    own = sets.select("_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("rep", "_id"))
-    return own.join(roots, own["rep"] == roots["node"], "left").select("_id", F.col("n").alias("n_shingles"), "rep", F.coalesce("root", "rep").alias("root"), "s1", "s2")
+    return own.select("_id", "n", "s1", "s2", "rep").join(roots, own["rep"] == roots["node"], "left").select("_id", F.col("n").alias("n_shingles"), "rep", F.coalesce("root", "rep").alias("root"), "s1", "s2")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, **forest) -> DataFrame:
@@ -292,6 +308,7 @@ def drop_near_copies(docs: DataFrame, percent: int = PERCENT, size: int = SHINGL
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document at 85 percent, as near_dedup gives them: null and empty texts have the empty set and are alone."""
     return near_dedup(read_table(spark, sf_dir, "documents"), percent=85)
 
 

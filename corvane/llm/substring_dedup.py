@@ -219,15 +219,16 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M, crowd: int = CROWD
 
 def compacted(runs: DataFrame) -> DataFrame:
     """(_id, start, n, src_id, src_start): the runs of each document that follow each other on a nonbranching path, as one span."""
-    place = Window.partitionBy("_id").orderBy("start", "src_id", "src_start")
+    place = Window.partitionBy("_id").orderBy("start", "src_id", "src_start", "n")
     before = {f"b_{c}": F.lag(c).over(place) for c in ("start", "n", "src_id", "src_start")}
-    pairs = runs.withColumns(before).withColumn("joins", F.col("b_start") + F.col("b_n") == F.col("start"))
+    again = F.coalesce(F.struct(*before) == F.struct("start", "n", "src_id", "src_start"), F.lit(False))  # of rows that repeat a document
+    pairs = runs.withColumns(before).filter(~again).withColumn("joins", F.col("b_start") + F.col("b_n") == F.col("start"))
     pairs = pairs.withColumn("straight", F.coalesce(F.col("joins") & (F.col("b_src_id") == F.col("src_id")) & (F.col("b_src_start") + F.col("b_n") == F.col("src_start")), F.lit(False)))
     jumps = pairs.filter("joins AND NOT straight")
     # a straight pair goes from the place before src_start to src_start: it is cut if a jump leaves the one or enters the other
     cuts = jumps.select(F.col("src_id").alias("c_id"), F.col("src_start").alias("c_at")).unionByName(jumps.select(F.col("b_src_id").alias("c_id"), (F.col("b_src_start") + F.col("b_n")).alias("c_at"))).distinct()
     cut = pairs.join(cuts, (F.col("src_id") == F.col("c_id")) & (F.col("src_start") == F.col("c_at")), "left")
-    path = F.sum(F.when(F.col("straight") & F.col("c_id").isNull(), 0).otherwise(1)).over(place)
+    path = F.sum(F.when(F.col("straight") & F.col("c_id").isNull(), 0).otherwise(1)).over(place.rowsBetween(Window.unboundedPreceding, 0))
     numbered = cut.select("_id", "start", "n", "src_id", "src_start", path.alias("path"))
     return numbered.groupBy("_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src_id").alias("src_id"), F.min("src_start").alias("src_start")).drop("path")
 

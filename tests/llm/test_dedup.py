@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from brute import SF, lines, near, shingle_set, substring
 from corvane.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
@@ -199,6 +200,15 @@ def test_blocks_of_a_region_meet(spark):
     assert {r["node"]: r["root"] for r in near_dedup.components(links).collect()} == {i: 0 if i < 61 else 61 for i in range(102) if i not in (0, 61)}
 
 
+def test_partners_of_a_hub_are_dealt_out(spark):
+    rng = random.Random(5)
+    rows = [*enumerate(star(rng, 70))]
+    docs = near_dedup.keyed_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    pairs = [(0, k) for k in range(1, 71)] + [(1, 2), (3, 9)]
+    found = near_dedup.confirmed(spark.createDataFrame(pairs, "x long, y long"), docs, percent=85, slot=8)
+    assert sorted(map(tuple, found.collect())) == pairs[:70]
+
+
 def test_near_dedup_odd_rows(spark):
     t = text(random.Random(1), 30)
     docs = spark.createDataFrame([(None, t, "x"), (5, t, "y"), (5, t, "y"), (6, None, "z")], "doc_id long, text string, n string")
@@ -209,7 +219,7 @@ def test_near_dedup_odd_rows(spark):
 
 def test_shingles_are_counted_like_sets():
     for t in ("a b c d e a b c d e f", "A b C d e", "x", "", "é È b c d e"):
-        assert len(near_dedup.shingles(t.encode())) == len(shingle_set(t))
+        assert [len(x) for x in near_dedup.shingle_sets(pa.array(["", t, "q"]))] == [0, len(shingle_set(t)), 1]
 
 
 def test_components_of_a_long_chain(spark):
