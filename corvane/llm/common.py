@@ -112,14 +112,17 @@ def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return flat.filter(inside).dictionary_encode(), before[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
-def words_of(texts: pa.Array) -> Words:
-    coded, bounds = split_words(texts)
+def words_in(coded: pa.DictionaryArray, bounds: np.ndarray) -> Words:
     digests = b"".join([xxhash.xxh3_128_digest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()])
     halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
     own = coded.indices.to_numpy()
     return Words(halves[:, 0][own], halves[:, 1][own], bounds)
 
 
+def words_of(texts: pa.Array) -> Words:
+    return words_in(*split_words(texts))
+
+
 def runs_of(x: np.ndarray, size: int) -> np.ndarray:
     """A key of every run of `size` values: keys of 1, 2, 4 ... values are mixed in pairs, so no sum or product shows in them."""
     level, width, out, covered = x, 1, None, 0

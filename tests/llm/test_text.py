@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from brute import SF, distance
 from corvane.llm import decontaminate, html_text, quality
 from hypothesis import given, settings
@@ -131,6 +132,8 @@ def test_quality_holds_out_and_learns(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for i, r in got.items())
     held = [i for i in labels if got[i]["held_out"]]
     assert sum(got[i]["predicted"] == labels[i] for i in held) / len(held) > 0.93
+    good, bad = ([got[i]["score"] for i in held if labels[i] == y] for y in (1, 0))
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.95  # area under the curve
 
 
 def test_quality_odd_rows(spark):
@@ -147,6 +150,39 @@ def test_training_separates_words():
 
     rng = np.random.default_rng(0)
     texts = [(" ".join(rng.choice(["good", "fine", "nice"] if y else ["bad", "junk", "spam"], 20)), y) for y in rng.integers(0, 2, 200)]
-    bags = [(*np.unique(quality.buckets(t.encode()), return_counts=True), int(y)) for t, y in texts]
+    bags = [(*own, int(y)) for own, (_, y) in zip(quality.bags(pa.array([t for t, _ in texts])), texts, strict=True)]
     model = quality.train(bags)
-    assert model.score(b"good nice fine") > 0.9 > 0.1 > model.score(b"junk spam bad")
+    assert model.score("good nice fine") > 0.9 > 0.1 > model.score("junk spam bad")
+
+
+def test_scores_are_means_of_the_bag():
+    import numpy as np
+
+    texts = ["", "a", "née née née née", "漢字 x y x y 😀", "one two\nthree", " pad  "]
+    model = quality.QualityModel(np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32), 0.3)
+    got = model.scores(pa.array(texts))
+    for t, score, (idx, cnt) in zip(texts, got, quality.bags(pa.array(texts)), strict=True):
+        margin = 0.3 + float((model.weights[idx].astype(float) * cnt).sum()) / (cnt.sum() + quality.PRIOR)
+        assert abs(score - 1 / (1 + np.exp(-margin))) < 1e-9 and model.score(t) == score
+        n = t.split()
+        grams = sum(max(len(w) + 3 - g, 0) for w in n for g in quality.GRAMS)
+        assert cnt.sum() == len(n) + grams + max(len(n) - 1, 0) + max(len(n) - 3, 0)
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(k, f"w{k} " * (k % 7 + 1)) for k in range(60)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    held = []
+    train, quality.train = quality.train, lambda rows, **_: held.append(rows) or quality.QualityModel(np_zeros(), 0.0)
+    try:
+        for options in ({}, {"sample": 10}, {"pairs": 200}, {"pairs": 3}):
+            quality.fit_quality(docs, labels, **options)
+    finally:
+        quality.train = train
+    assert len(held[0]) > 60 and len(held[1]) == 10 and 0 < sum(len(i) for i, _, _ in held[2]) <= 200 and not held[3]
+
+
+def np_zeros():
+    import numpy as np
+
+    return np.zeros(1 << quality.BITS, np.float32)
