@@ -1,10 +1,11 @@
 """Line dedup by winnowing, in DataFrame operations only.
 
-A window is RUN consecutive non-blank lines of one document.  Each window's fingerprint is the least line hash in it
-(winnowing), so two equal windows always share a fingerprint.  Fingerprints that are selected at one place only are
-dropped; at the others the windows around the position are compared by a 128-bit key, which extends a match both ways
-as far as it goes: a repeated run is the union of its repeated windows.  The first place of a window is the smallest
-(doc_id, position); all lines of a window at a later place are deleted.
+Of every RUN consecutive non-blank lines of a document the one with the least hash is selected, so two equal runs of RUN
+lines select the same line: its hash is a guaranteed fingerprint, and only selected lines travel, about half of all.  A
+selected line carries the hashes of the lines that a run through it can reach on both sides.  Fingerprints of one place
+are dropped; at the others the match is extended both ways from the selected line, by 128-bit keys of the runs through
+it.  The first place of a run is the smallest (doc_id, position); all lines of a run at a later place are deleted, and
+runs that overlap or follow each other delete their union, however long.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import id_column, read_table, restore_id
+from corvane.llm.common import id_column, read_table, restore_id, stage_table
 
-#: Lines of a window: the shortest repeated run that is deleted.
+#: Lines of the shortest repeated run that is deleted.
 RUN = 3
 
 
@@ -24,29 +25,44 @@ def _numbered(text: Column) -> Column:
     return F.filter(lines, lambda x: F.trim(x["line"], F.lit(" \t\r\f\x0b")) != "")
 
 
-def _windows(docs: DataFrame, run: int) -> DataFrame:
-    """(_id, _tx, at, lines, fp, pos, k1, k2): the windows, their lines, their fingerprints with positions, their keys."""
+def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """(_id, _tx, fp, pos, runs, base, near): the selected lines of every document.
+
+    pos is the line's number among the non-blank ones, runs the starts of the runs that selected it, near the lines from
+    number base on that those runs can reach.
+    """
     hashed = (
         docs.filter(F.col("text").isNotNull())
         .select(id_column().alias("_id"), F.xxhash64("text").alias("_tx"), F.transform(_numbered(F.col("text")), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(run), x["line"]).alias("b"))).alias("h"))
         .filter(F.size("h") >= run)
+        .withColumn("a", F.col("h.a"))
     )
-    return (
-        hashed.select("_id", "_tx", "h", F.explode(F.sequence(F.lit(0), F.size("h") - run)).alias("at"))
-        .select("_id", "_tx", "at", F.slice("h", F.col("at") + 1, run).alias("p"))
-        .select("_id", "_tx", "at", F.col("p.i").alias("lines"), F.col("p.a").alias("a"), F.array_min("p.a").alias("fp"), *(F.xxhash64(*[F.col("p")[i][f] for i in range(run)]).alias(k) for f, k in (("a", "k1"), ("b", "k2"))))
-        .withColumn("pos", F.col("at") + F.array_position("a", F.col("fp")))
-        .drop("a")
-    )
+
+    def chosen(at: Column) -> Column:
+        own = F.slice("a", at + 1, run)
+        return (at + F.array_position(own, F.array_min(own)) - 1).cast("int")
+
+    selected = hashed.withColumn("sel", F.transform(F.sequence(F.lit(0), F.size("h") - run), chosen))
+
+    def place(p: Column) -> Column:
+        base = F.greatest(p - run + 1, F.lit(0))
+        runs = F.filter(F.sequence(base, F.least(p, F.size("h") - run)), lambda at: F.get("sel", at) == p)
+        return F.struct(p.alias("pos"), runs.alias("runs"), base.alias("base"), F.slice("h", base + 1, 2 * run - 1).alias("near"))
+
+    rows = selected.select("_id", "_tx", "a", F.explode(F.transform(F.array_distinct("sel"), place)).alias("p"))
+    return rows.select("_id", "_tx", F.get("a", F.col("p.pos")).alias("fp"), "p.*")
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(_id, _tx, lines): windows that also start earlier, at a smaller doc_id or earlier in the same document."""
-    windows = _windows(docs, run)
-    places = windows.groupBy("fp", "_id", "pos").agg(F.count(F.lit(1)).alias("w"))
-    shared = places.groupBy("fp").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("fp")
-    found = windows.join(shared, "fp", "left_semi").select("k1", "k2", "_id", "_tx", "at", "lines")
-    first = found.groupBy("k1", "k2").agg(F.min(F.struct("_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2", "first")
+def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """(_id, _tx, lines): runs that also start earlier, at a smaller doc_id or earlier in the same document."""
+    places = fingerprints(docs, run)
+    # rebalanced, so that the join deals both sides itself and Spark can split the places of a very common line
+    shared = places.groupBy("fp").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("fp").hint("rebalance")
+    met = places.join(shared, "fp", "left_semi").withColumn("at", F.explode("runs"))
+    own = F.slice("near", F.col("at") - F.col("base") + 1, run)
+    keys = [F.xxhash64(*[own[k][half] for k in range(run)]).alias(f"k{n}") for n, half in ((1, "a"), (2, "b"))]
+    found = stage_table(met.select("_id", "_tx", "at", *keys, F.transform(own, lambda x: x["i"]).alias("lines")), "runs")
+    first = stage_table(found.groupBy("k1", "k2").agg(F.min(F.struct("_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2", "first"), "first")
     return found.join(first, ["k1", "k2"]).filter(F.struct("_id", "at") != F.col("first")).select("_id", "_tx", "lines")
 
 
@@ -55,10 +71,10 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     Nulls: a null text stays null (no lines); a null doc_id counts as the smallest id.  An empty text has one blank
     line.  Blank lines are never matched and always kept.  Of equal windows the one with the smallest (doc_id,
-    position) stays; rows that repeat a doc_id with the same text are the same place, so they don't delete each
+    position) stays, whole; rows that repeat a doc_id with the same text are the same place, so they don't delete each
     other.  Other columns pass through; an empty table gives an empty result.
     """
-    gone = repeated_windows(docs, run).groupBy("_id", "_tx").agg(F.collect_set("lines").alias("_runs"))
+    gone = repeated_runs(docs, run).groupBy("_id", "_tx").agg(F.collect_set("lines").alias("_runs"))
     gone = gone.select("_id", "_tx", F.array_distinct(F.flatten("_runs")).alias("_gone"))
     others = [c for c in docs.columns if c != "text"]
     keyed = docs.select(*others, id_column().alias("_id"), F.xxhash64("text").alias("_tx"), F.split("text", "\n", -1).alias("_lines"))

@@ -119,6 +119,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == lines(rows)
 
 
+def test_fewer_lines_travel_than_runs(spark):
+    docs = corpus(spark)
+    places = line_dedup.fingerprints(docs).selectExpr("_id", "pos", "runs").collect()
+    runs = {(r["_id"], at): r["pos"] for r in places for at in r["runs"]}
+    sizes = {i: len([x for x in (t or "").split("\n") if x.strip(" \t\r\f\v")]) for i, t in rows_of(docs)}
+    assert runs.keys() == {(i, at) for i, n in sizes.items() for at in range(n - 2)}
+    assert all(at <= pos < at + 3 for (_, at), pos in runs.items()) and len(places) < 0.7 * len(runs)
+
+
 def test_line_dedup_odd_rows(spark):
     t = "a\nb\nc\nd"
     docs = spark.createDataFrame([(None, t, "x"), (1, t, "y"), (1, t, "y"), (2, "z", None)], "doc_id long, text string, _fp string")
