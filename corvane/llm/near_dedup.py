@@ -10,8 +10,8 @@ the depth adapts to how crowded a region is, and no region is ever expanded into
 Every candidate pair is confirmed on the full sets of both texts, exactly, with integers.  Components of the confirmed
 links come from alternating large-star and small-star steps, each written to a shared table.
 
-Neighbours don't reach every pair of a region.  Regions of LEAST_PREFIX values that hold more documents than they reach,
-of more than one component, are therefore compared in full: their members are dealt into salted blocks, and every two
+Neighbours don't reach every pair of a region.  Regions of DEEP values that hold more documents than they reach, of more
+than one component, are therefore compared in full: their members are dealt into salted blocks, and every two
 blocks are joined exactly, with the sizes of the sets and a prefix filter as bounds.  Only links between components are
 given, a spanning forest of each two blocks, so the rows grow with the documents and not with their pairs.
 """
@@ -34,6 +34,10 @@ SHINGLE = 5
 TREES, DEPTH, LEAST_PREFIX, NEIGHBOURS, REGION = 24, 8, 3, 3, 512
 #: 100 * intersection / union of a link, at least.
 PERCENT = 80
+#: Values of the prefix of a region whose documents are compared in full, if the neighbours don't reach them all.
+DEEP = 5
+#: Bytes of a value.
+WIDTH = 2
 SEED = 20240611
 #: Documents and shingles of a block of a region that is compared in full, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 500_000
@@ -56,11 +60,11 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least value of every hash function a*x + b over the set, top 32 bits."""
+    """Least value of every hash function a*x + b over the set, top 16 bits."""
     low = np.full(len(a), (1 << 64) - 1, np.uint64)
     for at in range(0, len(hashes), 2048):
         np.minimum(low, (hashes[at : at + 2048, None] * a + b).min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+    return (low >> np.uint64(48)).astype(np.uint16)
 
 
 _SETS = "_id long, n long, s1 long, s2 long, sig binary"
@@ -74,7 +78,7 @@ def _sets(size: int, trees: int, depth: int):
             for found in shingle_sets(batch.column("text"), size):
                 n.append(len(found))
                 keys.append(np.frombuffer(hashlib.md5(found.tobytes()).digest(), np.int64))
-                sig.append(signature(found, a, b).astype(">u4").tobytes() if len(found) else None)
+                sig.append(signature(found, a, b).astype(">u2").tobytes() if len(found) else None)
             keys_ = np.array(keys, np.int64).reshape(-1, 2)
             yield pa.record_batch({"_id": batch.column("_id"), "n": pa.array(n, pa.int64()), "s1": pa.array(keys_[:, 0]), "s2": pa.array(keys_[:, 1]), "sig": pa.array(sig, pa.binary())})
 
@@ -83,12 +87,12 @@ def _sets(size: int, trees: int, depth: int):
 
 def _rows(sets: DataFrame, trees: int, depth: int) -> DataFrame:
     """(_id, n, tree, row): a document's rows of minhash values, one for each tree, by cutting its signature."""
-    cut = [F.substring("sig", 1 + 4 * depth * t, 4 * depth) for t in range(trees)]
+    cut = [F.substring("sig", 1 + WIDTH * depth * t, WIDTH * depth) for t in range(trees)]
     return sets.select("_id", "n", F.posexplode(F.array(*cut)).alias("tree", "row"))
 
 
 def _prefix(level: int):
-    return F.xxhash64("tree", F.substring("row", 1, 4 * level))
+    return F.xxhash64("tree", F.substring("row", 1, WIDTH * level))
 
 
 def regions(rows: DataFrame, depth: int, least: int, region: int) -> DataFrame:
@@ -150,8 +154,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: i
     many = stage_table(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > slot).select(F.col("x").alias("hub"), "c"), "hubs")
     dealt = pairs.join(many, F.col("x") == F.col("hub"), "left").select("x", "y", F.coalesce(F.pmod(F.xxhash64("y"), F.ceil(F.col("c") / slot)), F.lit(0)).alias("slot"))
     dealt = stage_table(dealt, "dealt")
-    own = dealt.select("x", "slot").distinct().join(docs, F.col("x") == F.col("_id")).select("x", F.lit(None).cast("long").alias("y"), "slot", "text")
-    others = dealt.join(docs, F.col("y") == F.col("_id")).select("x", "y", "slot", "text")
+    # texts are dealt by their ids once, for both joins
+    own = dealt.select("x", "slot").distinct().hint("merge").join(docs, F.col("x") == F.col("_id")).select("x", F.lit(None).cast("long").alias("y"), "slot", "text")
+    others = dealt.hint("merge").join(docs, F.col("y") == F.col("_id")).select("x", "y", "slot", "text")
     met = own.unionByName(others).repartition("x", "slot").sortWithinPartitions("x", "slot", F.col("y").asc_nulls_first())
     return met.mapInArrow(_confirm(size, percent), "x long, y long").distinct()
 
@@ -220,13 +225,13 @@ def _across(percent: int):
     return run
 
 
-def across(sets: DataFrame, roots: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, least: int = LEAST_PREFIX, neighbours: int = NEIGHBOURS, region: int = REGION, docs: int = BLOCK_DOCS, grams: int = BLOCK_SHINGLES) -> DataFrame | None:
+def across(sets: DataFrame, roots: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, least: int = LEAST_PREFIX, neighbours: int = NEIGHBOURS, region: int = REGION, deep: int = DEEP, docs: int = BLOCK_DOCS, grams: int = BLOCK_SHINGLES) -> DataFrame | None:
     """(x, y): links between components in regions whose pairs the neighbours don't all reach; null if there is no such region.
 
     Regions of equal members in several trees are compared once.
     """
     own = sets.join(roots, F.col("_id") == F.col("node"), "left").select("_id", "n", F.coalesce("root", "_id").alias("root"), "sig")
-    keys = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * depth * t, 4 * least)) for t in range(trees)])
+    keys = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 1 + WIDTH * depth * t, WIDTH * deep)) for t in range(trees)])
     placed = own.select("_id", "n", "root", F.xxhash64("_id", "sig").alias("h"), F.explode(keys).alias("key"))
     mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = stage_table(mixed.filter((F.col("c") > min(neighbours + 1, region)) & (F.col("lo") < F.col("hi"))).select("key"), "mixed")
@@ -237,7 +242,7 @@ def across(sets: DataFrame, roots: DataFrame, texts: DataFrame, size: int = SHIN
     once = whole.groupBy("c", "n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.greatest(F.ceil(F.col("c") / docs), F.ceil(F.col("n") / grams)).cast("int").alias("blocks"))
     dealt = members.drop("n", "h").join(stage_table(once, "regions"), "key").withColumn("slot", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("_id", "root", "key", "slot", F.least("slot", "other").alias("a"), F.greatest("slot", "other").alias("b")).distinct()
-    held = texts.join(members.select("_id").distinct(), "_id", "left_semi").mapInArrow(_grams(size), "_id long, grams binary")
+    held = texts.join(members.select("_id").distinct().hint("merge"), "_id", "left_semi").mapInArrow(_grams(size), "_id long, grams binary")
     return stage_table(dealt.join(held, "_id").groupBy("key", "a", "b").applyInPandas(_across(percent), "x long, y long").distinct(), "across")
 
 
@@ -277,9 +282,11 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, **
     texts = keyed_texts(docs)
     sets = stage_table(texts.mapInArrow(_sets(size, forest.get("trees", TREES), forest.get("depth", DEPTH)), _SETS), "sets")
     # classes of one document need no row; the others go through a table, so that Spark can split the join of a large class
-    classes = stage_table(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "classes")
-    own = sets.join(classes, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("rep", "_id"))
-    reps = own.filter("n > 0 AND _id = rep").dropDuplicates(["_id", "s1", "s2"]).select("_id", "n", "sig")
+    keys = sets.select("_id", "n", "s1", "s2")
+    classes = stage_table(keys.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "classes")
+    own = keys.join(classes, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("rep", "_id"))
+    copies = own.filter("_id <> rep").select("_id", "s1", "s2").distinct()
+    reps = stage_table(sets.filter("n > 0").join(copies.hint("merge"), ["_id", "s1", "s2"], "left_anti").dropDuplicates(["_id", "s1", "s2"]).select("_id", "n", "sig"), "reps")
     pairs = stage_table(candidates(reps, percent, **forest), "pairs")
     links = confirmed(pairs, texts, size, percent)
     roots = components(links)
