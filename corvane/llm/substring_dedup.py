@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Words, keyed_texts, mix, raw_texts, read_table, restore_id, runs_of, signed, slices, stage_table, words_of
+from corvane.llm.common import Words, keyed_texts, mix, raw_texts, read_table, restore_id, runs_of, signed, slices, words_of
 
 #: Words of a window, and of the runs of which the one with the least key is its anchor.
 K, M = 20, 8
 #: Different paths of one anchor that travel from a batch under the anchor's key.  If it has more, the anchor is known to
 #: branch, and its further paths travel by keys of their own.
 CROWD = 8
+#: Windows of a source after which a path is cut in any case.
+STRETCH = 512
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -225,12 +227,21 @@ def compacted(runs: DataFrame) -> DataFrame:
     pairs = runs.withColumns(before).filter(~again).withColumn("joins", F.col("b_start") + F.col("b_n") == F.col("start"))
     pairs = pairs.withColumn("straight", F.coalesce(F.col("joins") & (F.col("b_src_id") == F.col("src_id")) & (F.col("b_src_start") + F.col("b_n") == F.col("src_start")), F.lit(False)))
     jumps = pairs.filter("joins AND NOT straight")
-    # a straight pair goes from the place before src_start to src_start: it is cut if a jump leaves the one or enters the other
-    cuts = jumps.select(F.col("src_id").alias("c_id"), F.col("src_start").alias("c_at")).unionByName(jumps.select(F.col("b_src_id").alias("c_id"), (F.col("b_src_start") + F.col("b_n")).alias("c_at"))).distinct()
-    cut = pairs.join(cuts, (F.col("src_id") == F.col("c_id")) & (F.col("src_start") == F.col("c_at")), "left")
-    path = F.sum(F.when(F.col("straight") & F.col("c_id").isNull(), 0).otherwise(1)).over(place.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = cut.select("_id", "start", "n", "src_id", "src_start", path.alias("path"))
-    return numbered.groupBy("_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src_id").alias("src_id"), F.min("src_start").alias("src_start")).drop("path")
+    path = F.sum(F.when(F.col("straight"), 0).otherwise(1)).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    lines = pairs.withColumn("path", path).groupBy("_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src_id").alias("src_id"), F.min("src_start").alias("src_start"))
+    # a line goes on straight from the place before c_at to c_at: it is cut there if a jump leaves the one or enters the other
+    both = F.array(F.struct(F.col("src_id").alias("c_id"), F.col("src_start").alias("c_at")), F.struct(F.col("b_src_id").alias("c_id"), (F.col("b_src_start") + F.col("b_n")).alias("c_at")))
+    cuts = jumps.select(F.explode(both).alias("c")).select("c.*")
+    cuts = cuts.groupBy(F.col("c_id").alias("src_id"), F.floor(F.col("c_at") / STRETCH).alias("stretch")).agg(F.collect_set("c_at").alias("cuts"))
+    # lines meet cuts by stretches of their source, so a source with many of both doesn't pair them all
+    end = F.col("src_start") + F.col("n")
+    dealt = lines.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("src_start") / STRETCH), F.floor((end - 1) / STRETCH))))
+    first, last = F.greatest("src_start", F.col("stretch") * STRETCH).cast("int"), F.least(end, (F.col("stretch") + 1) * STRETCH).cast("int")
+    inside = F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda c: (c > first) & (c < last))
+    ends = F.array_sort(F.concat(F.array(first), inside, F.array(last)))
+    parts = F.transform(F.slice(ends, 2, F.size(ends) - 1), lambda z, k: F.struct(F.get(ends, k).alias("a"), z.alias("z")))
+    cut = dealt.join(cuts, ["src_id", "stretch"], "left").select("_id", "start", "src_id", "src_start", F.explode(parts).alias("p"))
+    return cut.select("_id", (F.col("start") + F.col("p.a") - F.col("src_start")).alias("start"), (F.col("p.z") - F.col("p.a")).alias("n"), "src_id", F.col("p.a").alias("src_start"))
 
 
 _DIGESTS = "_id long, start int, n int, src_id long, src_start int, digest binary"
@@ -300,8 +311,7 @@ def substring_dedup(docs: DataFrame, k: int = K, m: int = M, digest: bool = Fals
     are taken from every row of it.  n_spans and longest_span are the runs of removed words.  Extra columns are ignored;
     an empty table gives no rows.
     """
-    spans = stage_table(compacted(repeated_windows(docs, k, m)), "spans")
-    own = verified(spans, docs, k).groupBy("_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    own = verified(compacted(repeated_windows(docs, k, m)), docs, k).groupBy("_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     out = keyed_texts(docs).join(own.hint("shuffle_hash"), "_id", "left").mapInArrow(_keep(k, digest), _KEPT)
     return out.select(restore_id("_id").alias("doc_id"), "n_words", "n_removed", "n_spans", "longest_span", "kept")
 
