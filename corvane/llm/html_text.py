@@ -1,20 +1,24 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are dealt into cohorts of bounded size.  In a cohort every page becomes a DOM tree; runs of like
-siblings are folded into one node, and the folded trees are aligned to a reference page by simple tree matching.
-Aligned nodes whose text is the same on nearly all different pages are the wrapper's template; nodes whose text varies
-are its slots.  Slots inside regions that HTML marks as other than the article (menus, footers, forms, adverts, comments
-and so on, by element, role or class) are not content.
-
-The wrapper is induced from all different pages of a cohort.  Content is the text outside its template and those regions,
-in page order; where a page marks its article, only text of that region.
+Every page becomes a DOM tree; runs of like siblings are folded into one node.  The pages of a host are aligned by simple
+tree matching to one reference page of that host, so a node of the reference, with all nodes of all pages that match it,
+is a slot.  Spark counts each slot's texts over the whole host: a text that nearly all pages with the slot share is
+template, a slot whose text varies is content.  The wrapper of a host is the reference and those decisions.
+
+Every page then is aligned to its host's wrapper again and read through it: the text of its template nodes goes, the
+text of its varying slots, and of nodes inside them that match nothing, stays, in page order.  Varying slots can also hold
+menus, adverts, sidebars or comments, which alignment can't tell from an article; there the page's own marks (element,
+role or class, and where there is an article or main region, that region) break the tie.
+
+Pages of a host are dealt into cohorts of bounded size; only counts and the wrapper, never pages, meet by host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +29,7 @@ from corvane.llm.common import id_column, read_table, restore_id, stage_table
 
 #: Pages of a cohort, about.
 COHORT = 64
-#: Different pages of a cohort that must exist and the share that must agree, for a text to be template.
+#: Pages of a host that must have a text in a slot, and the share of those with the slot, for it to be template.
 LEAST_PAGES, AGREE = 4, 0.8
 
 # Names of HTML elements, and words in roles, classes and ids that mark regions outside the article.
@@ -46,6 +50,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 _SPACES = re.compile(r"[\s]+")
+_NAMES = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)")
 
 
 class Node:
@@ -79,7 +84,7 @@ def _outside(tag: str, attrs: str, inside_article: bool) -> bool:
 def parse(text: str) -> Node:
     """A tree of the page; end tags that HTML lets authors leave out are put in."""
     root = Node("#page", None)
-    here, at, n = root, 0, len(text)
+    here, at, n, opened = root, 0, len(text), Counter()
     while at < n:
         m = _TOKEN.search(text, at)
         if m is None:
@@ -93,11 +98,12 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up: Node | None = here
-            while up is not None and up.name != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                here = up.parent
+            if opened[tag]:  # of the open elements, those up to this one close
+                while here.name != tag:
+                    opened[here.name] -= 1
+                    here = here.parent
+                opened[tag] -= 1
+                here = here.parent
             continue
         if tag in _RAW:
             if not m[3].endswith("/"):
@@ -110,13 +116,17 @@ def parse(text: str) -> Node:
             while up is not None and up.name not in closes and up.name not in _SCOPE:
                 up = up.parent
             if up is not None and up.name in closes:
-                here = up.parent or root
-                if tag == "tr" and up.name in ("td", "th") and here.name == "tr":
-                    here = here.parent or root
+                last = up.parent if tag == "tr" and up.name in ("td", "th") and up.parent.name == "tr" else up
+                while here is not last:
+                    opened[here.name] -= 1
+                    here = here.parent
+                opened[last.name] -= 1
+                here = last.parent
         node = Node(tag, here, here.outside or _outside(tag, m[3], here.region), here.region or tag in ("article", "main"))
         here.children.append(node)
         if tag not in _VOID:
             here = node
+            opened[tag] += 1
     return root
 
 
@@ -168,19 +178,22 @@ class Folded:
         self.children: list[Folded] = []
 
 
-def fold(elements: list[Node], name: str) -> Folded:
-    out = Folded(name, elements)
-    for e in elements:
-        last = None
-        for c in e.children:
-            if isinstance(c, str) or c.name in _INLINE:
-                continue
-            key = c.name + ("!" if c.outside else "")
-            if last is None or last[0] != key:
-                last = (key, [])
-                out.children.append(Folded(key, last[1]))
-            last[1].append(c)
-        if len(elements) > 1:  # children of repeated records fold together by name
+def fold(root: Node) -> Folded:
+    top = Folded(root.name, [root])
+    stack = [top]
+    while stack:
+        out = stack.pop()
+        for e in out.elements:
+            last = None
+            for c in e.children:
+                if isinstance(c, str) or c.name in _INLINE:
+                    continue
+                key = c.name + ("!" if c.outside else "")
+                if last is None or last.name != key:
+                    last = Folded(key, [])
+                    out.children.append(last)
+                last.elements.append(c)
+        if len(out.elements) > 1:  # children of repeated records fold together by name
             merged: dict[str, Folded] = {}
             for f in out.children:
                 if f.name in merged:
@@ -188,32 +201,42 @@ def fold(elements: list[Node], name: str) -> Folded:
                 else:
                     merged[f.name] = f
             out.children = list(merged.values())
-    out.children = [fold(f.elements, f.name) for f in out.children]
-    return out
+        stack += out.children
+    return top
+
 
+def match(a: Folded, b: Folded) -> dict:
+    """Simple tree matching: the tables of the largest order-keeping matches of the pairs of nodes that can meet.
 
-def match(a: Folded, b: Folded, memo: dict) -> int:
-    """Simple tree matching: nodes of the largest order-keeping match of two trees whose roots have the same name."""
-    if a.name != b.name:
-        return 0
-    found = memo.get((id(a), id(b)))
-    if found is None:
-        table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
-        for i, x in enumerate(a.children, 1):
-            for j, y in enumerate(b.children, 1):
-                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + match(x, y, memo))
-        found = memo[id(a), id(b)] = (table[-1][-1] + 1, table)
-    return found[0]
-
-
-def align(a: Folded, b: Folded, memo: dict) -> Iterator[tuple[Folded, Folded]]:
-    """The node pairs of that match."""
-    match(a, b, memo)
-    stack = [(a, b)]
+    table[i][j] counts the nodes matched between the first i children of the one and the first j of the other.
+    """
+    tables: dict[tuple[int, int], list[list[int]]] = {}
+    stack = [(a, b, False)] if a.name == b.name else []
+    while stack:
+        x, y, ready = stack.pop()
+        if (id(x), id(y)) in tables:
+            continue
+        if not ready:
+            stack.append((x, y, True))
+            stack += [(c, d, False) for c in x.children for d in y.children if c.name == d.name]
+            continue
+        table = [[0] * (len(y.children) + 1) for _ in range(len(x.children) + 1)]
+        for i, c in enumerate(x.children, 1):
+            for j, d in enumerate(y.children, 1):
+                found = tables[id(c), id(d)][-1][-1] + 1 if c.name == d.name else 0
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + found)
+        tables[id(x), id(y)] = table
+    return tables
+
+
+def align(a: Folded, b: Folded) -> Iterator[tuple[Folded, Folded]]:
+    """The node pairs of the largest match."""
+    tables = match(a, b)
+    stack = [(a, b)] if tables else []
     while stack:
         x, y = stack.pop()
         yield x, y
-        table = memo[id(x), id(y)][1]
+        table = tables[id(x), id(y)]
         i, j = len(x.children), len(y.children)
         while i and j:
             if table[i][j] == table[i - 1][j]:
@@ -225,31 +248,39 @@ def align(a: Folded, b: Folded, memo: dict) -> Iterator[tuple[Folded, Folded]]:
                 i, j = i - 1, j - 1
 
 
-def _text_of(f: Folded) -> str:
-    return "\n".join(t for e in f.elements for _, t in blocks(e, lambda x, e=e: x is e or x.name in _INLINE))
+def _own_text(e: Node) -> str:
+    """Text of an element without that of its blocks."""
+    parts, stack = [], [iter(e.children)]
+    while stack:
+        for c in stack[-1]:
+            if isinstance(c, str):
+                parts.append(c)
+            elif c.name in _INLINE and c.name != "br":
+                stack.append(iter(c.children))
+                break
+            else:
+                parts.append(" ")
+        else:
+            stack.pop()
+    return _SPACES.sub(" ", entities.unescape("".join(parts))).strip()
 
 
-def _walk(f: Folded) -> Iterator[Folded]:
-    yield f
-    for c in f.children:
-        yield from _walk(c)
+def slots(reference: Folded) -> dict[int, int]:
+    """Numbers of the reference's nodes, in page order."""
+    out, stack = {}, [reference]
+    while stack:
+        f = stack.pop()
+        out[id(f)] = len(out)
+        stack += reversed(f.children)
+    return out
 
 
-def wrap(roots: list[Node]) -> set[int]:
-    """Ids of template elements of the different pages of a cohort."""
-    trees = [fold([r], r.name) for r in roots]
-    reference = max(trees, key=lambda t: sum(1 for _ in _walk(t)))
-    slots: dict[int, list[tuple[int, Folded]]] = defaultdict(list)
-    for k, tree in enumerate(trees):
-        for x, y in align(reference, tree, {}):
-            slots[id(x)].append((k, y))
-    template: set[int] = set()
-    for own in slots.values():
-        texts = [_text_of(y) for _, y in own]
-        most, times = Counter(texts).most_common(1)[0]
-        if most and times >= max(LEAST_PAGES, AGREE * len(trees)):
-            template.update(id(e) for (_, y), t in zip(own, texts, strict=True) if t == most for e in y.elements)
-    return template
+def slot_texts(reference: Folded, tree: Folded) -> Iterator[tuple[int, Folded, bytes]]:
+    """(slot, node, digest of its text) of the nodes of a page that match the reference; no digest if there is no text."""
+    number = slots(reference)
+    for x, y in align(reference, tree):
+        text = "\n".join(t for t in map(_own_text, y.elements) if t)
+        yield number[id(x)], y, hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest() if text else b""
 
 
 def _marked(root: Node) -> list[Node]:
@@ -275,37 +306,91 @@ def _elements(root: Node) -> Iterator[Node]:
         stack += [c for c in reversed(e.children) if not isinstance(c, str)]
 
 
+def read(page: str, reference: Folded, template: set[tuple[int, bytes]]) -> tuple[str, int]:
+    """(main text, slots that its blocks came from) of a page, read through a wrapper."""
+    root = parse(page)
+    inside: dict[int, int] = {}  # slot of each aligned element
+    gone: set[int] = set()
+    for slot, node, digest in slot_texts(reference, fold(root)):
+        for e in node.elements:
+            inside[id(e)] = slot
+            if (slot, digest) in template:
+                gone.add(id(e))
+    found = [b for e in _marked(root) or [root] for b in blocks(e, lambda x: not x.outside and id(x) not in gone)]
+    used = set()
+    for e, _ in found:
+        while e is not None and id(e) not in inside:  # inline elements and nodes that match nothing belong to what holds them
+            e = e.parent
+        if e is not None:
+            used.add(inside[id(e)])
+    return "\n".join(t for _, t in found), len(used)
+
+
+def decide(counts: Iterator[tuple[int, bytes, int]]) -> set[tuple[int, bytes]]:
+    """The template of (slot, digest, pages): the texts that AGREE of the pages with the slot have, and LEAST_PAGES at least."""
+    total, most = Counter(), {}
+    for slot, digest, n in counts:
+        total[slot] += n
+        if digest:
+            most[slot] = max(most.get(slot, (0, b"")), (n, digest))
+    return {(slot, digest) for slot, (n, digest) in most.items() if n >= max(LEAST_PAGES, AGREE * total[slot])}
+
+
 def extract(pages: list[str]) -> list[str]:
-    """Main texts of the pages of a cohort."""
-    roots = {page: parse(page) for page in dict.fromkeys(pages)}
-    template = wrap(list(roots.values())) if roots else set()
-    done: dict[str, str] = {}
-    for page, root in roots.items():
-        done[page] = "\n".join(t for e in _marked(root) or [root] for _, t in blocks(e, lambda x: not x.outside and id(x) not in template))
-    return [done[p] for p in pages]
+    """Main texts of the pages of one host, on one machine."""
+    if not pages:
+        return []
+    reference = fold(parse(max(pages, key=lambda p: (len({t.lower() for t in _NAMES.findall(p)}), len(p)))))
+    counts = Counter((slot, digest) for p in dict.fromkeys(pages) for slot, _, digest in slot_texts(reference, fold(parse(p))))
+    template = decide((*k, n) for k, n in counts.items())
+    return [read(p, reference, template)[0] for p in pages]
+
+
+def _induce(key: tuple, pages: pd.DataFrame, wrapper: pd.DataFrame) -> pd.DataFrame:
+    if pages.empty:
+        return pages[["_host"]].assign(slot=pages["_id"], digest=pages["_host"], n=pages["_id"])
+    reference = fold(parse(wrapper["reference"].iloc[0]))
+    counts = Counter((slot, digest) for p in pages["html"].unique() for slot, _, digest in slot_texts(reference, fold(parse(p))))
+    return pd.DataFrame({"_host": key[0], "slot": [s for s, _ in counts], "digest": [d for _, d in counts], "n": [*counts.values()]})
+
+
+def _read(pages: pd.DataFrame, wrapper: pd.DataFrame) -> pd.DataFrame:
+    if pages.empty:
+        return pages[["_id", "url"]].assign(text=pages["url"], n_chars=pages["_id"], n_slots=pages["_id"])  # a cohort of no pages
+    reference, template = fold(parse(wrapper["reference"].iloc[0])), wrapper["template"].iloc[0]
+    template = {(t["slot"], bytes(t["digest"])) for t in template} if template is not None else set()
+    done = {p: read(p, reference, template) for p in pages["html"].unique()}
+    texts = [done[p] for p in pages["html"]]
+    return pd.DataFrame({"_id": pages["_id"].to_numpy(), "url": pages["url"].to_numpy(), "text": [t for t, _ in texts], "n_chars": [len(t) for t, _ in texts], "n_slots": [n for _, n in texts]})
 
 
 def page_texts(pages: DataFrame, cohort: int = COHORT) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row.
+    """(page_id, url, text, n_chars, n_slots) of every row; n_slots counts the wrapper's slots that the text came from.
 
-    A null or empty html has an empty text; a null page_id or url stays null, and pages with no host form the cohorts of an
+    A null or empty html has an empty text; a null page_id or url stays null, and pages with no host are those of an
     empty host.  Repeated rows repeat; equal pages of a cohort are induced from once.  Extra columns are ignored; an
-    empty table gives no rows.  A host with very many pages has very many cohorts, so no task holds more than a cohort.
+    empty table gives no rows.  A host with very many pages has very many cohorts, so no task holds more than a cohort and
+    the host's wrapper, which is as large as one page.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     own = pages.select(id_column("page_id").alias("_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("_host"))
-    sizes = stage_table(own.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / cohort).cast("int").alias("_cohorts")), "hosts")
-    dealt = own.join(sizes, "_host").withColumn("_cohort", F.pmod(F.xxhash64("_id", "url"), F.col("_cohorts")))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        texts = extract(frame["html"].tolist())
-        return pd.DataFrame({"_id": frame["_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    out = dealt.groupBy("_host", "_cohort").applyInPandas(run, "_id long, url string, text string, n_chars long")
-    return out.select(restore_id("_id").alias("page_id"), "url", "text", "n_chars")
+    # the reference of a host is the page with most different elements, the longest of those
+    names = F.size(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(_NAMES.pattern), 1)))
+    hosts = stage_table(own.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / cohort).cast("int").alias("_cohorts"), F.max(F.struct(names.alias("k"), F.length("html").alias("n"), "html")).alias("r")).select("_host", "_cohorts", F.col("r.html").alias("reference")), "hosts")
+    dealt = own.join(hosts.select("_host", F.col("_cohorts").alias("_of")), "_host").select("_id", "url", "html", "_host", F.pmod(F.xxhash64("_id", "url"), F.col("_of")).cast("int").alias("_cohort"))
+    each = hosts.select("_host", F.explode(F.sequence(F.lit(0), F.col("_cohorts") - 1)).alias("_cohort"), "reference")
+    by = ["_host", "_cohort"]
+    counts = dealt.groupBy(*by).cogroup(each.groupBy(*by)).applyInPandas(_induce, "_host string, slot int, digest binary, n long").groupBy("_host", "slot", "digest").agg(F.sum("n").alias("n"))
+    full = F.col("digest") != F.lit(b"")
+    most = counts.groupBy("_host", "slot").agg(F.sum("n").alias("pages"), F.max(F.when(full, F.struct("n", "digest"))).alias("m")).filter(F.col("m.n") >= F.greatest(F.lit(LEAST_PAGES), AGREE * F.col("pages")))
+    template = stage_table(most.groupBy("_host").agg(F.collect_list(F.struct("slot", F.col("m.digest").alias("digest"))).alias("template")), "template")
+    wrappers = each.join(template, "_host", "left")
+    out = dealt.groupBy(*by).cogroup(wrappers.groupBy(*by)).applyInPandas(_read, "_id long, url string, text string, n_chars long, n_slots long")
+    return out.select(restore_id("_id").alias("page_id"), "url", "text", "n_chars", "n_slots")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, text, n_chars, n_slots) of every page, as page_texts gives them: a null or empty html has an empty text."""
     return page_texts(read_table(spark, sf_dir, "pages"))
 
 

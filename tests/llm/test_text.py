@@ -56,6 +56,26 @@ def test_page_query(spark):
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"]) and got[r["page_id"]]["url"] == r["url"]
 
 
+def test_the_wrapper_reads_every_page(spark):
+    got = html_text.op5_html_text(spark, SF).collect()
+    pages = spark.read.parquet(f"{SF}/pages.parquet").count()
+    assert sum(r["n_slots"] > 0 and r["n_chars"] > 0 for r in got) == len(got) == pages
+
+
+def test_deep_pages_give_text(spark):
+    deep = "<div>" * 10_000 + "<p>deep &amp; far</p>" + "</div>" * 10_000
+    wide = "".join(f"<div><p>{k}</p></div></b></i>" for k in range(3000))
+    assert html_text.extract([deep, deep + "<p>x</p>", f"<ul>{wide}</ul>", "<b>" * 10_000 + "y"])[0] == "deep & far"
+    pages = spark.createDataFrame([(1, "http://h.org/a", deep), (2, "http://h.org/b", deep + "<p>x</p>"), (3, "http://h.org/c", "<p>flat</p>")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.page_texts(pages).collect()} == {1: "deep & far", 2: "deep & far\nx", 3: "flat"}
+
+
+def test_a_host_shares_its_template_between_cohorts(spark):
+    page = lambda k: f"<html><body><div><h4>Read us daily</h4></div><div><h2>Title {k}</h2><p>Story {k}</p></div></body></html>"
+    pages = spark.createDataFrame([(k, "http://h.org/a", page(k)) for k in range(9)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.page_texts(pages, cohort=2).collect()} == {k: f"Title {k}\nStory {k}" for k in range(9)}
+
+
 def test_page_odd_rows(spark):
     pages = spark.createDataFrame([(None, None, None, "x"), (1, "no host", "", "y"), (2, "http://h.org/a", PAGE, None), (2, "http://h.org/a", PAGE, None)], "page_id long, url string, html string, text string")
     got = html_text.page_texts(pages).collect()
