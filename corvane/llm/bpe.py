@@ -326,7 +326,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, match_added: bool = Tru
         bpe = load(where, match_added)
         for b in batches(rows, 256):
             texts = [x or "" for x in b.column(columns.index("text")).to_pylist()]
-            ids = [x for own in groups(texts) for x in bpe.encode_batch([texts[k] for k in own])]
+            ids = [x for own in groups(texts) for x in (bpe.encode_batch([texts[k] for k in own]) if len(own) > 1 or len(texts[own[0]]) <= SEGMENT else [np.concatenate([*bpe.encode_parts(texts[own[0]]), np.zeros(0, np.uint32)])])]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, listed], [*columns, "_ids"])
@@ -363,6 +363,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None, match_added: bool = Tr
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, as bpe_digests gives them: a null text counts as empty."""
     return bpe_digests(read_table(spark, sf_dir, "documents"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import id_column, keyed_texts, read_table, restore_id
+from corvane.llm.common import id_column, keyed_texts, read_table, restore_id, stage_table
 
 #: Edits per character of an item that still count as the item.
 ERROR_RATE = 0.1
@@ -221,30 +221,53 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block
 
     Null and empty texts and items match nothing; a null doc_id or item_id stays null; repeated documents repeat
     their rows, items with equal texts all match; extra columns are ignored; an empty table on either side gives
-    no rows.  Texts are searched whole, in overlapping parts.
+    no rows.  Texts are searched whole, in overlapping parts.  The items go over the documents block by block: the driver
+    and each executor hold one block at a time, and the rows of a block are written before the next begins.
     """
     spark, texts = docs.sparkSession, keyed_texts(docs)
-    out = spark.createDataFrame([], _MATCH)
-    for block in _blocks(benchmark, block_chars):
-        out = out.unionByName(texts.mapInArrow(_match(spark.sparkContext.broadcast(PieceIndex(block, rate))), _MATCH))
+    out, blocks = spark.createDataFrame([], _MATCH), _blocks(benchmark, block_chars)
+    block = next(blocks, None)
+    while block is not None:
+        held, block = spark.sparkContext.broadcast(PieceIndex(block, rate)), next(blocks, None)
+        found = texts.mapInArrow(_match(held), _MATCH)
+        if block is not None:
+            found = stage_table(found, "leaks")
+            held.destroy()
+        out = out.unionByName(found)
     return out.select(restore_id("_id").alias("doc_id"), restore_id("item_id").alias("item_id"), "distance", "max_errors")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs without the rows that hold an item; all columns stay.  A row is judged by its own text, whatever its id."""
-    index = [docs.sparkSession.sparkContext.broadcast(PieceIndex(b, rate)) for b in _blocks(benchmark, block_chars)]
-
+def _holds(held):
     def run(rows: Iterator) -> Iterator:
         for s in rows:
-            yield s.map(lambda x: any(i.value.search(normalise(x)) for i in index)).astype(bool)
+            yield s.map(lambda x: bool(held.value.search(normalise(x)))).astype(bool)
 
     import pandas as pd
 
     run.__annotations__ = {"rows": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.filter(~F.pandas_udf(run, "boolean")(F.coalesce(F.col("text").cast("string"), F.lit("")))) if index else docs
+    return F.pandas_udf(run, "boolean")(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the rows that hold an item; all columns stay.
+
+    A row is judged by its own text, whatever its id; null and empty texts hold nothing and stay, repeated rows share the
+    decision, and an empty benchmark takes nothing away.  Blocks of items go one after another, as in leaks: what one
+    leaves is written and is the next one's input.
+    """
+    blocks = _blocks(benchmark, block_chars)
+    block = next(blocks, None)
+    while block is not None:
+        held, block = docs.sparkSession.sparkContext.broadcast(PieceIndex(block, rate)), next(blocks, None)
+        docs = docs.filter(~_holds(held))
+        if block is not None:
+            docs = stage_table(docs, "clean")
+            held.destroy()
+    return docs
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, distance, max_errors) of every document that holds an item, as leaks gives them: null and empty texts hold nothing."""
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 

@@ -126,6 +126,12 @@ def test_leaks_of_the_corpus(spark):
     assert exact and {k for k, v in got.items() if v == 0} == exact
     for (d, i), v in got.items():
         assert distance(items[i], texts[d]) == v
+    # near hits both ways, by dynamic programming over every pair of a text and an item that share a run of characters as long as a piece must be
+    for d, t in list(texts.items())[:60]:
+        for i, x in items.items():
+            if len(t) < 4000 and any(x[a:z] in t for a, z in ((len(x) * k // 10, len(x) * (k + 1) // 10) for k in range(10))):
+                assert ((d, i) in got) == (distance(x, t) <= decontaminate.budget(x))
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.leaks(docs, bench, block_chars=2000).collect()} == got
     kept = {r["doc_id"] for r in decontaminate.decontaminate(docs, bench, block_chars=2000).collect()}
     assert kept == texts.keys() - {d for d, _ in got}
 

@@ -74,6 +74,8 @@ def test_bpe_odd_rows(spark):
     back = bpe.bpe_decode(bpe.bpe_encode(docs)).collect()
     assert all(r["_decoded"] == (r["text"] or "") for r in back)
     assert bpe.bpe_digests(docs.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "ab c " * (bpe.SEGMENT // 4))], "doc_id long, text string")
+    assert bpe.bpe_decode(bpe.bpe_encode(long)).first()["_decoded"] == long.first()["text"]
 
 
 # ---------------------------------------------------------------- files
