@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset (tests), one of our own is set and used."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset on a local master (tests), one of our own is set and used."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back."""
+def stage_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -77,10 +77,13 @@ def swapped(matrix: DataFrame, name: str = "w_back") -> DataFrame:
     return matrix.join(back, [*KEY, "src", "dst"], "left")
 
 
+def symmetric(a: Column, b: Column, method: str = "average") -> Column:
+    """A cell and its mirror as one value."""
+    return {"average": (a + b) / 2, "max": F.greatest(a, b), "min": F.least(a, b)}[method]
+
+
 def symmetrise(matrix: DataFrame, method: str = "average") -> DataFrame:
-    a, b = F.col("w"), F.coalesce("w_back", F.lit(0.0))
-    w = {"average": (a + b) / 2, "max": F.greatest(a, b), "min": F.least(a, b)}[method]
-    return swapped(matrix).withColumn("w", w).drop("w_back")
+    return swapped(matrix).withColumn("w", symmetric(F.col("w"), F.coalesce("w_back", F.lit(0.0)), method)).drop("w_back")
 
 
 def asymmetric_cells(matrix: DataFrame, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:

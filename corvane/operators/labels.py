@@ -16,8 +16,9 @@ def clean_name(c: Column) -> Column:
 
 
 def canonical_name(c: Column) -> Column:
+    """The present name of an older one, matched in its usual case; others as they are."""
     name = clean_name(c)
-    return F.coalesce(F.create_map(*[F.lit(x) for p in RENAMED.items() for x in p])[F.upper(name)], name)
+    return F.coalesce(F.create_map(*[F.lit(x) for p in RENAMED.items() for x in p])[name], name)
 
 
 def side(c: Column) -> Column:
@@ -28,7 +29,8 @@ def side(c: Column) -> Column:
 
 
 def region(c: Column) -> Column:
-    name = F.upper(canonical_name(c))
+    """Scalp region by the prefix of the name as it is written: older names are not renamed first, so T5 is temporal."""
+    name = F.upper(clean_name(c))
     out = F.when(F.lit(False), "")
     for prefix, value in REGIONS:
         out = out.when(name.startswith(prefix), value)

@@ -1,19 +1,59 @@
 """Tests, corrections and intervals over long tables, one plan for all keys.
 
 A `long` table has key columns, grp ('Healthy' or another group) and value; null and NaN values take no part.
-Random draws hash (seed, draw, row), so they do not depend on partitions.
+Random draws are a function of (seed, draw, row), so they do not depend on partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corvane.functions.tails import binomial_tail, chi2_tail, log_choose, normal_two_sided, t_two_sided
 
 HEALTHY = "Healthy"
 
 
+def u_two_sided(small: int, large: int, u: float) -> float:
+    """Exact two-sided p of Mann-Whitney's U without ties, from the numbers of arrangements by U."""
+    top = small * large
+    ways = np.zeros(top + 1)
+    ways[0] = 1
+    for k in range(1, small + 1):  # the Gaussian binomial coefficient: times (1 - q^(large + k)) / (1 - q^k)
+        step = large + k
+        if step <= top:
+            ways[step:] -= ways[:-step].copy()
+        for i in range(k, top + 1):
+            ways[i] += ways[i - k]
+    tail = int(min(u, top - u))
+    return min(1.0, 2 * float(ways[: tail + 1].sum() / ways.sum()))
+
+
+def signed_rank_two_sided(n: int, w: float) -> float:
+    """Exact two-sided p of the smaller signed-rank sum of n pairs without ties or zeros."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for k in range(1, n + 1):
+        ways[k:] += ways[:-k].copy()
+    return min(1.0, 2 * float(ways[: int(w) + 1].sum() / 2.0**n))
+
+
+@F.pandas_udf(DoubleType())
+def exact_u(small: pd.Series, large: pd.Series, u: pd.Series) -> pd.Series:
+    """u_two_sided for each key; null where `small` is."""
+    return pd.Series([None if pd.isna(a) else u_two_sided(int(a), int(b), float(x)) for a, b, x in zip(small, large, u, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def exact_signed_rank(n: pd.Series, w: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) else signed_rank_two_sided(int(a), float(x)) for a, x in zip(n, w, strict=True)], dtype="float64")
+
+
 def finite(df: DataFrame, name: str = "value") -> DataFrame:
     return df.filter(F.col(name).isNotNull() & ~F.isnan(name))
 
@@ -24,9 +64,10 @@ def average_rank(by: list[str], value: str) -> Column:
 
 
 def mann_whitney(long: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n1, n2, u, p): U of the Healthy group and its two-sided p by the tie-corrected normal tail with continuity.
+    """(keys, n1, n2, u, p): U of the Healthy group and its two-sided p.
 
-    p is null where a group is empty and 1 where all values are equal.  Ranks of values come from counts by value, so
+    p is exact where the smaller group has at most 8 values and no value is tied, and otherwise the tie-corrected normal
+    tail with continuity.  p is null where a group is empty and 1 where all values are equal.  Ranks of values come from counts by value, so
     a key with very many rows is first reduced to its distinct values.
     """
     counts = finite(long).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"), F.sum((F.col("grp") == HEALTHY).cast("long")).alias("c1"))
@@ -36,7 +77,8 @@ def mann_whitney(long: DataFrame, keys: list[str]) -> DataFrame:
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((F.col("n") + 1) - F.try_divide(F.col("t"), F.col("n") * (F.col("n") - 1.0))))
     z = F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5, F.lit(0.0)) / F.col("sd")
-    p = F.when((F.col("n1") == 0) | (F.col("n2") == 0), None).when(F.col("sd") == 0, 1.0).otherwise(F.least(normal_two_sided(z), F.lit(1.0)))
+    small = (F.least("n1", "n2") <= 8) & (F.col("t") == 0)
+    p = F.when((F.col("n1") == 0) | (F.col("n2") == 0), None).when(F.col("sd") == 0, 1.0).when(small, exact_u(F.when(small, F.least("n1", "n2")), F.greatest("n1", "n2"), F.col("u"))).otherwise(F.least(normal_two_sided(z), F.lit(1.0)))
     return sums.withColumn("u", u).withColumn("sd", sd).withColumn("p", p).select(*keys, "n1", "n2", "u", "p")
 
 
@@ -77,13 +119,18 @@ def one_sample_t(edges: DataFrame, keys: list[str], popmean: float = 0.0, least:
 
 
 def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, w_plus, w_minus, rank_biserial, p) of (before, after): zeros removed, ties averaged, normal tail; p is 1 without differences."""
+    """(keys, n, w_plus, w_minus, rank_biserial, p) of (before, after): zeros removed, ties averaged; p is 1 without differences.
+
+    p is exact for at most 50 pairs without ties and zeros, and the tie-corrected normal tail otherwise.
+    """
     d = pairs.withColumn("d", F.col("before") - F.col("after"))
     own = d.filter("d <> 0").withColumn("a", F.round(F.abs("d"), 9)).withColumn("rank", average_rank(keys, "a")).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy(*keys, "a")))
     s = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("c") * F.col("c") - 1.0).alias("t"))
+    s = s.join(pairs.groupBy(*keys).agg(F.count(F.col("before") - F.col("after")).alias("all_")), keys)
     mu = F.col("n") * (F.col("n") + 1) / 4
     sd = F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("t") / 48)
-    p = F.least(normal_two_sided(F.abs(F.least("w_plus", "w_minus") - mu) / sd), F.lit(1.0))
+    small = (F.col("n") <= 50) & (F.col("t") == 0) & (F.col("n") == F.col("all_"))
+    p = F.when(small, exact_signed_rank(F.when(small, F.col("n")), F.least("w_plus", "w_minus"))).otherwise(F.least(normal_two_sided(F.abs(F.least("w_plus", "w_minus") - mu) / sd), F.lit(1.0)))
     out = pairs.select(*keys).distinct().join(s, keys, "left")
     total = F.col("w_plus") + F.col("w_minus")
     return out.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce("w_minus", F.lit(0.0)).alias("w_minus"), F.coalesce((F.col("w_plus") - F.col("w_minus")) / total, F.lit(0.0)).alias("rank_biserial"), F.coalesce(p, F.lit(1.0)).alias("p"))
@@ -135,27 +182,69 @@ def selection_superiority(counts: DataFrame, keys: list[str]) -> DataFrame:
     return adjust(others.withColumn("p", binomial_tail(F.col("n_top"), F.col("n_top") + F.col("n_node"))), "p", "fdr_bh", keys, ["node"])
 
 
-def draw(seed: int, *parts) -> Column:
-    """A number in [0, 1) for each row from a hash of the seed and the parts."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) / float(1 << 52)
+#: Modulus of `mixed`, a prime.
+_M = 2**31 - 1
+
+
+def mixed(a: Column, b: Column, seed: int = 42) -> Column:
+    """A whole number below 2**31 - 1 for each pair of whole numbers, by two squarings: the same in Spark, numpy and SQL."""
+    x = F.pmod(a * 69621 + b * 48271 + seed, F.lit(_M).cast("long"))
+    y = F.pmod(x * x + a, F.lit(_M).cast("long"))
+    return F.pmod(y * y + F.pmod(b, F.lit(_M).cast("long")), F.lit(_M).cast("long"))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, seed: int = 42) -> np.ndarray:
+    x = (a * 69621 + b * 48271 + seed) % _M
+    y = (x * x + a) % _M
+    return (y * y + b % _M) % _M
 
 
-def sign_flip(differences: DataFrame, keys: list[str], unit: str = "unit", value: str = "value", permutations: int = 2000, seed: int = 42) -> DataFrame:
-    """(keys, n, mean, p): share of sign flips, itself included, whose mean is no less than the observed one; p is 1 for means <= 0."""
-    agg = differences.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    flips = differences.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    sums = flips.groupBy(*keys, "perm").agg(F.avg(F.when(draw(seed, "perm", unit) < 0.5, F.col(value)).otherwise(-F.col(value))).alias("m"))
-    hits = sums.join(agg, keys).groupBy(*keys, "n", "mean").agg(F.sum((F.col("m") >= F.col("mean") - 1e-12).cast("long")).alias("hits"))
-    return hits.select(*keys, "n", "mean", F.when(F.col("mean") <= 0, 1.0).otherwise((F.col("hits") + 1) / (permutations + 1)).alias("p"))
+def duck_mixed(a: str, b: str, seed: int = 42) -> str:
+    x = f"(({a} * 69621 + {b} * 48271 + {seed}) % {_M})"
+    y = f"(({x} * {x} + {a}) % {_M})"
+    return f"(({y} * {y} + {b} % {_M}) % {_M})"
+
+
+def sign_flip(differences: DataFrame, keys: list[str], unit: str = "unit", value: str = "value", permutations: int = 10_000, seed: int = 42, rows: int = 256) -> DataFrame:
+    """(keys, n, mean, p): one-sided p of mean > 0 under random signs of the differences; 1 for means <= 0 and without differences.
+
+    With few enough differences other than 0 all sign patterns are counted; otherwise `permutations` are drawn, and the
+    observed one counts as one more.  `unit` is a whole number; the sign of draw b for unit u is a bit of mixed(b, u), so
+    draws don't depend on partitions.  Each batch of rows gives the partial sums of all draws, one row for each.
+    """
+    kinds = dict(differences.dtypes)
+    own = differences.select(*keys, F.col(unit).cast("long").alias("u"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    agg = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.sum((F.abs("v") > 1e-12).cast("long")).alias("nz"))
+    few = min(20, permutations.bit_length() - 1)
+    at = np.arange(1, permutations + 1, dtype=np.int64)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for key, part in frame.groupby(keys, dropna=False):
+                total = np.zeros(permutations)
+                for k in range(0, len(part), rows):
+                    u, v = part["u"].to_numpy()[k : k + rows], part["v"].to_numpy()[k : k + rows]
+                    total += np.where(_mixed(at[:, None], u[None, :], seed) % 2 == 0, 1.0, -1.0) @ v
+                yield pd.DataFrame(dict(zip(keys, key, strict=True)) | {"perm": at, "s": total})
+
+    large = own.join(agg.filter(F.col("nz") > few).select(*keys), keys, "left_semi")
+    drawn = large.mapInPandas(sums, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", perm long, s double").groupBy(*keys, "perm").agg(F.sum("s").alias("s"))
+    hits = drawn.join(agg, keys).groupBy(*keys).agg(((F.sum((F.col("s") / F.col("n") >= F.col("mean") - 1e-12).cast("long")) + 1) / (permutations + 1)).alias("p"))
+    # every pattern of the signs of at most 20 numbers
+    patterns = own.filter("abs(v) > 1e-12").join(agg.filter(F.col("nz") <= few), keys).groupBy(*keys, "n", "mean").agg(F.collect_list("v").alias("vs"))
+    flipped = F.aggregate(F.sequence(F.lit(0), F.size("vs") - 1), F.lit(0.0), lambda t, i: t + F.when((F.shiftright("mask", 0).bitwiseAND(F.pow(F.lit(2), i).cast("int"))) == 0, 1.0).otherwise(-1.0) * F.get("vs", i))
+    each = patterns.withColumn("mask", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("vs")).cast("int") - 1))).withColumn("m", flipped / F.col("n"))
+    exact = each.groupBy(*keys).agg(F.avg((F.col("m") >= F.col("mean") - 1e-12).cast("double")).alias("p"))
+    return agg.join(hits.unionByName(exact), keys, "left").select(*keys, "n", "mean", F.when(F.col("mean") <= 0, 1.0).otherwise(F.coalesce("p", F.lit(1.0))).alias("p"))
 
 
 def bootstrap(df: DataFrame, keys: list[str], value: str, statistic=lambda c: F.percentile(c, 0.5), resamples: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
     """(keys, n, low, high): percentile interval of any aggregate over resampled rows of each key.
 
-    Rows of a key are numbered, and draw j of resample b takes row floor(u(b, j) * n); resamples are a join on that number.
+    Rows of a key are numbered by value, and draw j of resample b takes row mixed(b, j) modulo n; resamples are a join on that number.
     """
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1)
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_i", (F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).cast("long"))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("_i", F.floor(draw(seed, "_b", "_j", *keys) * F.col("n")).cast("int"))
+    draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(resamples).cast("long")))).withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("_i", mixed(F.col("_b"), F.col("_j"), seed) % F.col("n"))
     stats = draws.join(rows.select(*keys, "_i", value), [*keys, "_i"]).groupBy(*keys, "n", "_b").agg(statistic(F.col(value)).alias("_s"))
     return stats.groupBy(*keys, "n").agg(F.percentile("_s", (1 - level) / 2).alias("low"), F.percentile("_s", (1 + level) / 2).alias("high"))

@@ -12,6 +12,8 @@ from corvane.plans.network import bh_sql, mann_whitney_sql, r
 from corvane.sources import adapters as A
 
 BANDS = ["de", "en", "es", "fr"]
+#: Resamples and sign flips of the queries.
+RESAMPLES = 10_000
 
 
 def d_rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -48,9 +50,8 @@ def f06_candidate_grid(spark, sf):
 
 def f08_nearest_row(spark, sf):
     f = A.table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    refs = f.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).filter("_r <= 5").select(F.col("vec_id").alias("ref"), F.col("v").alias("u"))  # five reference rows for each of ten labels
-    d = F.sqrt(F.aggregate(F.zip_with("v", "u", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) / F.size("v"))
-    return f.crossJoin(F.broadcast(refs)).filter("vec_id <> ref").withColumn("d", F.round(d, 6)).groupBy("vec_id").agg(F.min(F.struct("d", "ref")).alias("m")).select("vec_id", F.col("m.ref").alias("nearest"), F.col("m.d").alias("distance"))
+    asked = f.filter("vec_id % 100 = 0")  # the query rows; they search all rows
+    return R.nearest(asked.select("vec_id", "v"), f.select(F.col("vec_id").alias("ref"), F.col("v").alias("u")), "vec_id", "ref").select("vec_id", "nearest", "distance")
 
 
 def f10_id_intersection(spark, sf):
@@ -239,12 +240,12 @@ def h24_age_removal(spark, sf):
 
 
 def h09_bootstrap_median(spark, sf):
-    return S.bootstrap(A.measure(spark, sf), ["band", "measure"], "value", resamples=50).select("band", "measure", "n", r("low"), r("high"))
+    return S.bootstrap(A.measure(spark, sf), ["band", "measure"], "value", resamples=RESAMPLES).select("band", "measure", "n", r("low"), r("high"))
 
 
 def h07_sign_flip(spark, sf):
     d = A.selection(spark, sf).filter("rnk <= 2").groupBy("band", "unit").agg((F.max(F.when(F.col("rnk") == 1, F.col("rev"))) - F.max(F.when(F.col("rnk") == 2, F.col("rev"))) - 60000).alias("value")).dropna()
-    return S.sign_flip(d, ["band"], permutations=100).select("band", "n", r("mean", 4), r("p"))
+    return S.sign_flip(d, ["band"], permutations=RESAMPLES).select("band", "n", r("mean", 4), r("p"))
 
 
 def h05_selection_superiority(spark, sf):
@@ -316,8 +317,7 @@ SQL = {
     "f03_semi_join": A.sql("selection participant", "SELECT subject, grp, age FROM participant WHERE subject IN (SELECT unit FROM selection)"),
     "f04_anti_join": A.sql("selection participant", "SELECT subject, grp FROM participant WHERE subject NOT IN (SELECT unit FROM selection)"),
     "f06_candidate_grid": A.sql("selection", "SELECT n_nationkey AS node, band FROM nation, (SELECT DISTINCT band FROM selection)"),
-    "f08_nearest_row": """WITH refs AS (SELECT vec_id AS ref, embedding AS u FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 5),
-        pairs AS (SELECT e.vec_id, f.ref, i, e.embedding[i]::DOUBLE - f.u[i]::DOUBLE AS x FROM embeddings e, refs f, range(1, 65) r(i) WHERE e.vec_id <> f.ref),
+    "f08_nearest_row": """WITH pairs AS (SELECT e.vec_id, f.vec_id AS ref, i, e.embedding[i]::DOUBLE - f.embedding[i]::DOUBLE AS x FROM embeddings e, embeddings f, range(1, 65) r(i) WHERE e.vec_id % 100 = 0 AND e.vec_id <> f.vec_id),
         ds AS (SELECT vec_id, ref, round(sqrt(sum(x * x) / 64), 6) AS d FROM pairs GROUP BY ALL)
         SELECT vec_id, ref AS nearest, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, ref) AS k FROM ds) WHERE k = 1""",
     "f10_id_intersection": "SELECT c_custkey AS subject FROM customer INTERSECT SELECT o_custkey FROM orders INTERSECT SELECT doc_id FROM labels",
@@ -355,6 +355,8 @@ SQL = {
     "h19_mad_iqr": A.sql("measure", "SELECT band, measure, round(med, 6) AS median, round(quantile_cont(abs(value - med), 0.5), 6) AS mad, round(iqr, 6) AS iqr FROM measure JOIN (SELECT band, measure, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM measure GROUP BY ALL) USING (band, measure) GROUP BY band, measure, med, iqr"),
     "h20_cohens_d": A.sql("measure", "SELECT band, measure, round(CASE WHEN sp > 0 THEN (m1 - m2) / sp ELSE 0 END, 6) AS d FROM (SELECT band, measure, avg(value) FILTER (WHERE grp = 'Healthy') AS m1, avg(value) FILTER (WHERE grp <> 'Healthy') AS m2, sqrt(((count(*) FILTER (WHERE grp = 'Healthy') - 1) * var_samp(value) FILTER (WHERE grp = 'Healthy') + (count(*) FILTER (WHERE grp <> 'Healthy') - 1) * var_samp(value) FILTER (WHERE grp <> 'Healthy')) / (count(*) - 2)) AS sp FROM measure GROUP BY ALL)"),
     "h24_age_removal": A.sql("participant", "SELECT subject, round(balance - b * (age - mx), 4) AS residual FROM participant JOIN (SELECT gender, coalesce(regr_slope(balance, age), 0) AS b, avg(age) AS mx FROM participant GROUP BY gender) USING (gender)"),
+    "h07_sign_flip": A.sql("selection", f"SELECT a.band, a.n, round(a.mean, 4) AS mean, round(CASE WHEN a.mean <= 0 THEN 1.0 ELSE (h.hits + 1) / {RESAMPLES + 1}.0 END, 6) AS p FROM tot a JOIN (SELECT band, count(*) AS hits FROM flips JOIN tot USING (band) WHERE m >= mean - 1e-12 GROUP BY band) h USING (band)", "diffs AS (SELECT band, unit, max(rev) FILTER (WHERE rnk = 1) - max(rev) FILTER (WHERE rnk = 2) - 60000 AS value FROM selection WHERE rnk <= 2 GROUP BY ALL HAVING value IS NOT NULL)", "tot AS (SELECT band, count(*) AS n, avg(value) AS mean FROM diffs GROUP BY band)", f"flips AS (SELECT band, b, avg(CASE WHEN {S.duck_mixed('b', 'unit')} % 2 = 0 THEN value ELSE -value END) AS m FROM diffs, range(1, {RESAMPLES + 1}) q(b) GROUP BY ALL)"),
+    "h09_bootstrap_median": A.sql("measure", "SELECT band, measure, n, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM stat GROUP BY ALL", "own AS (SELECT band, measure, value, row_number() OVER (PARTITION BY band, measure ORDER BY value) - 1 AS i FROM measure WHERE value IS NOT NULL)", "sizes AS (SELECT band, measure, count(*) AS n FROM own GROUP BY ALL)", f"drawn AS (SELECT band, measure, n, b, {S.duck_mixed('b', 'j')} % n AS i FROM sizes, range(1, {RESAMPLES + 1}) q(b), LATERAL (SELECT unnest(range(1, n + 1)) AS j))", "stat AS (SELECT band, measure, n, b, quantile_cont(value, 0.5) AS s FROM drawn JOIN own USING (band, measure, i) GROUP BY ALL)"),
     "h05_selection_superiority": A.sql("selection", f"SELECT band, top, node, n_top, n_node, round(p, 6) AS p, round({bh_sql('band')}, 6) AS p_adj FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY p, node) AS rk, count(*) OVER (PARTITION BY band) AS m FROM (SELECT b.band, t.node AS top, b.node, t.n AS n_top, b.n AS n_node, (SELECT least(sum(exp(lgamma(t.n + b.n + 1.0) - lgamma(i + 1.0) - lgamma(t.n + b.n - i + 1.0) - (t.n + b.n) * ln(2))), 1.0) FROM range(t.n, t.n + b.n + 1) q(i)) AS p FROM cn b JOIN cn t ON b.band = t.band AND t.k = 1 AND b.k > 1))", _SEL1, "cn AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY n DESC, node) AS k FROM (SELECT band, node, count(*) AS n FROM first_ GROUP BY ALL))"),
     "i04_stratified_folds": A.sql("feature", "SELECT subject, y, (row_number() OVER (PARTITION BY y ORDER BY subject * 7919 % 10007) - 1) % 5 AS fold FROM feature WHERE ord = 0"),
     "i23_probability_metrics": A.sql("oof", "SELECT band, repeat, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("auc", "ap", "accuracy", "balanced_accuracy", "f1", "sensitivity", "specificity", "brier", "log_loss", "ece")) + " FROM metrics", _CLIP, _metrics_sql("band, repeat")),

@@ -102,8 +102,9 @@ def b19_binarised(spark, sf):
 
 
 def b20_symmetrised(spark, sf):
-    a, b, c = (E.symmetrise(matrix(spark, sf), m).select(*KEY, "src", "dst", F.round("w", 6).alias(m)) for m in ("average", "max", "min"))
-    return a.join(b, [*KEY, "src", "dst"]).join(c, [*KEY, "src", "dst"])
+    m = stage_table(matrix(spark, sf), "matrix")
+    back = m.select(*KEY, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("v"))
+    return m.join(back, [*KEY, "src", "dst"]).select(*KEY, "src", "dst", *[F.round(E.symmetric(F.col("w"), F.col("v"), how), 6).alias(how) for how in ("average", "max", "min")])
 
 
 def b21_edge_vector(spark, sf):
@@ -249,10 +250,17 @@ _MW = """values_ AS ({values}),
     sums AS (SELECT band, measure, count(*) FILTER (WHERE grp = 'Healthy') AS n1, count(*) FILTER (WHERE grp <> 'Healthy') AS n2,
         coalesce(sum(rk) FILTER (WHERE grp = 'Healthy'), 0) AS r1, sum(ties * ties - 1.0) AS t, count(*) AS n FROM ranked GROUP BY ALL),
     us AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u, n1 * n2 / 2.0 AS mu, sqrt(n1 * n2 / 12.0 * ((n + 1) - t / (n * (n - 1.0)))) AS sd FROM sums),
-    tested AS (SELECT band, measure, n1, n2, u, CASE WHEN n1 = 0 OR n2 = 0 THEN NULL WHEN sd = 0 THEN 1.0 ELSE least(1.0, {tail}) END AS p FROM us)"""
+    few AS (SELECT DISTINCT CAST(least(n1, n2) AS INTEGER) AS small, CAST(n1 + n2 AS INTEGER) AS n FROM us WHERE least(n1, n2) BETWEEN 1 AND 8 AND t = 0),
+    ways(small, n, i, k, s, c) AS (
+        SELECT small, n, 0, 0, 0, 1.0::DOUBLE FROM few
+        UNION ALL SELECT small, n, i + 1, k + taken, s + taken * (i + 1), sum(c) FROM ways, (VALUES (0), (1)) v(taken) WHERE i < n AND k + taken <= small GROUP BY ALL),
+    tails AS (SELECT small, n, s - small * (small + 1) // 2 AS v, sum(c) OVER (PARTITION BY small, n ORDER BY s) / sum(c) OVER (PARTITION BY small, n) AS below FROM ways WHERE i = n AND k = small),
+    tested AS (SELECT band, measure, n1, n2, u, CASE WHEN n1 = 0 OR n2 = 0 THEN NULL WHEN sd = 0 THEN 1.0 WHEN below IS NOT NULL THEN least(1.0, 2 * below) ELSE least(1.0, {tail}) END AS p
+        FROM us LEFT JOIN tails ON us.t = 0 AND tails.small = least(n1, n2) AND tails.n = n1 + n2 AND tails.v = least(u, n1 * n2 - u))"""
 
 
 def mann_whitney_sql(values: str) -> str:
+    """`tested`: U and p by the same rules in SQL; `ways` counts the sets of `k` of the first `i` ranks by their sum."""
     from corvane.functions.tails import duck_two_sided
 
     return _MW.format(values=values, tail=duck_two_sided("greatest(abs(u - mu) - 0.5, 0) / sd"))
@@ -276,7 +284,7 @@ SQL = {
     "b18_threshold_percentile": _sql("SELECT grp, subject, src, dst, round(CASE WHEN w > q THEN w ELSE 0 END, 4) AS w FROM grid JOIN (SELECT grp, subject, quantile_cont(w, 0.9) AS q FROM grid GROUP BY ALL) USING (grp, subject)"),
     "b18_threshold_sd": _sql("SELECT grp, subject, src, dst, round(CASE WHEN w > q THEN w ELSE 0 END, 6) AS w FROM matrix JOIN (SELECT grp, subject, avg(w) + 1.5 * stddev_pop(w) AS q FROM matrix GROUP BY ALL) USING (grp, subject)"),
     "b19_binarised": _sql("SELECT grp, subject, src, dst, CAST(w > 0.05 AS INTEGER) AS w FROM matrix"),
-    "b20_symmetrised": _sql("SELECT a.grp, a.subject, a.src, a.dst, round((a.w + b.w) / 2, 6) AS average, round(greatest(a.w, b.w), 6) AS max, round(least(a.w, b.w), 6) AS min FROM matrix a JOIN matrix b ON a.grp = b.grp AND a.subject = b.subject AND a.src = b.dst AND a.dst = b.src"),
+    "b20_symmetrised": _sql("SELECT a.grp, a.subject, a.src, a.dst, round((a.w + b.w) / 2, 6) AS average, round(greatest(a.w, b.w), 6) AS max, round(least(a.w, b.w), 6) AS min FROM cells a JOIN cells b ON a.grp = b.grp AND a.subject = b.subject AND a.src = b.dst AND a.dst = b.src", "cells AS MATERIALIZED (SELECT * FROM matrix)"),
     "b21_edge_vector": _sql("SELECT grp, subject, count(*) AS n, string_agg(CAST(CAST(round(w * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY src, dst) AS vector FROM matrix WHERE src <> dst GROUP BY ALL"),
     "b22_asymmetric_cells": _sql("SELECT a.grp, a.subject, CAST(sum(CAST(abs(a.w - b.w) > 1e-8 + 1e-5 * abs(b.w) AS BIGINT)) AS BIGINT) AS n FROM matrix a JOIN matrix b ON a.grp = b.grp AND a.subject = b.subject AND a.src = b.dst AND a.dst = b.src GROUP BY ALL"),
     "b23_vector_to_edges": _sql("SELECT grp, subject, src, dst, round(w, 6) AS w FROM matrix WHERE src < dst UNION ALL SELECT grp, subject, dst, src, round(w, 6) FROM matrix WHERE src < dst"),

@@ -97,7 +97,7 @@ def c20_split_half(spark, sf):
 
 
 def c21_time_reversal(spark, sf):
-    return S.reversed_time(samples(spark, sf), N).filter("k = 0").select("subject", "channel", "epoch", r("v", 4))
+    return S.reversed_time(samples(spark, sf), N).select("subject", "channel", "epoch", "k", r("v", 4))
 
 
 def c22_lag_design(spark, sf):
@@ -184,7 +184,7 @@ SQL = {
     "c18_baseline_activation": A.sql("signal", "SELECT subject, channel, round((m - min(m) OVER w) / (max(m) OVER w - min(m) OVER w + 1e-10) * 0.9 + 0.1, 6) AS value FROM (SELECT subject, channel, avg(v) AS m FROM signal GROUP BY ALL) WINDOW w AS (PARTITION BY subject)"),
     "c19_quality": A.sql("signal", "SELECT grp, subject, count(*) AS channels, max(n) AS samples, 0::BIGINT AS n_bad, round(avg(m), 6) AS mean_abs, round(max(hi), 6) AS max_abs, round(min(lo), 6) AS min_abs, count(*) FILTER (WHERE sd < 1e-6) AS flat, count(*) FILTER (WHERE noisy) AS noisy FROM (SELECT *, sd > avg(sd) OVER (PARTITION BY subject) + 3 * stddev_pop(sd) OVER (PARTITION BY subject) AS noisy FROM (SELECT grp, subject, channel, count(*) AS n, avg(abs(v)) AS m, max(abs(v)) AS hi, min(abs(v)) AS lo, stddev_pop(v) AS sd FROM signal GROUP BY ALL)) GROUP BY grp, subject"),
     "c20_split_half": _sp("SELECT subject, split, count(*) AS n, round(sum(v), 4) AS total FROM (SELECT subject, 'full' AS split, v FROM epoch_sample UNION ALL SELECT subject, CASE WHEN epoch % 2 = 0 THEN 'odd' ELSE 'even' END, v FROM epoch_sample) GROUP BY ALL"),
-    "c21_time_reversal": _sp(f"SELECT subject, channel, epoch, round(v, 4) AS v FROM epoch_sample WHERE k = {N - 1}"),
+    "c21_time_reversal": _sp(f"SELECT subject, channel, epoch, {N - 1} - k AS k, round(v, 4) AS v FROM epoch_sample"),
     "c22_lag_design": _sp("SELECT subject, channel, count(*) AS n, round(sum(v * l1), 4) AS s1, round(sum(v * l2), 4) AS s2 FROM (SELECT *, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2 FROM epoch_sample WINDOW w AS (PARTITION BY subject, channel, epoch ORDER BY k)) WHERE k >= 2 GROUP BY ALL"),
     "c24_invalid_subjects": _sp("SELECT grp, subject, reason FROM (SELECT grp, subject, CASE WHEN count(DISTINCT epoch) < 6 THEN 'epochs' WHEN count(DISTINCT channel) < 5 THEN 'channels' WHEN count(DISTINCT k) < 16 THEN 'samples' END AS reason FROM epoch_sample WHERE v > 0 GROUP BY ALL) WHERE reason IS NOT NULL"),
     "d01_cross_spectrum": _sp("SELECT subject, src, dst, f, round(CASE WHEN abs(re) < 1e-6 THEN 0 ELSE re END, 3) AS re, round(CASE WHEN abs(im) < 1e-6 THEN 0 ELSE im END, 3) AS im FROM (SELECT subject, src, dst, f, sum(re) AS re, sum(im) AS im FROM crs WHERE src < dst GROUP BY ALL)", _BASIS, _SPEC, _CROSS),

@@ -32,7 +32,7 @@ def j10_candidate_grid(spark, sf):
 def j02_incident_change(spark, sf):
     m = E.normalise(E.dense(E.sanitise(A.edge(spark, sf)), nodes(spark, sf)))
     m = m.withColumn("w", F.col("w") + 0.001)  # every node has some weight
-    c = grid(spark, sf).filter("amount = 0.5")
+    c = grid(spark, sf)
     return W.change_statistics(W.incident_change(m, c)).select(*_T, r("mean_abs"), r("top"), r("bottom"), "up", "down", r("relative"))
 
 
@@ -53,8 +53,7 @@ def j05_activation_ratio(spark, sf):
 
 
 def j06_j09_coactivation(spark, sf):
-    half = W.log_gain(W.propagation(matrix(spark, sf), "none"), grid(spark, sf).filter("amount = 0.5"), baseline(spark, sf))  # one fixed amount
-    c = W.coactivation(matrix(spark, sf).filter("w > 0"), half, 1.0, 0.5)
+    c = W.coactivation(matrix(spark, sf).filter("w > 0"), _gain(spark, sf), 1.0, 0.5)
     return W.change_statistics(c).select(*_T, r("mean_abs"), r("top"), r("bottom"), "up", "down", r("relative"))
 
 
@@ -158,21 +157,21 @@ _SCORED = "scored AS (SELECT grp, subject, cand, amount, round(abs(a - b * 1.05)
 _FRONT = "front AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM scored o WHERE o.grp = s.grp AND o.subject = s.subject AND o.o1 <= s.o1 AND o.o2 <= s.o2 AND (o.o1 < s.o1 OR o.o2 < s.o2)))"
 _STEMS = "['Fp', 'AF', 'F', 'C', 'CP', 'P', 'O', 'T', 'Cz', 'Fz', 'X']"
 _NAMES = f"names AS (SELECT p_partkey, {_STEMS}[p_partkey % 11 + 1] || (p_size % 10)::VARCHAR AS clean FROM part)"
-_CANON = "CASE upper(clean) WHEN 'T3' THEN 'T7' WHEN 'T4' THEN 'T8' WHEN 'T5' THEN 'P7' WHEN 'T6' THEN 'P8' ELSE clean END"
+_CANON = "CASE clean WHEN 'T3' THEN 'T7' WHEN 'T4' THEN 'T8' WHEN 'T5' THEN 'P7' WHEN 'T6' THEN 'P8' ELSE clean END"
 _DIGITS = "regexp_replace(clean, '[^0-9]', '', 'g')"
 SQL = {
     "j10_candidate_grid": _sql("SELECT * FROM cands", _AMT, _CAND),
-    "j02_incident_change": _sql(_STATS + "chg GROUP BY grp, subject, cand", _AMT, _CAND, "chg AS (SELECT grp, subject, cand, w, w + CASE WHEN hit THEN amount * w / sum(CASE WHEN hit THEN w ELSE 0 END) OVER (PARTITION BY grp, subject, cand) ELSE 0 END AS new FROM (SELECT c.*, m.w + 0.001 AS w, m.src = c.node OR m.dst = c.node AS hit FROM cands c JOIN matrix m USING (grp, subject) WHERE m.src <> m.dst AND c.amount = 0.5))"),
+    "j02_incident_change": _sql(_STATS + "chg GROUP BY grp, subject, cand", _AMT, _CAND, "chg AS (SELECT grp, subject, cand, w, w + CASE WHEN hit THEN amount * w / sum(CASE WHEN hit THEN w ELSE 0 END) OVER (PARTITION BY grp, subject, cand) ELSE 0 END AS new FROM (SELECT c.*, m.w + 0.001 AS w, m.src = c.node OR m.dst = c.node AS hit FROM cands c JOIN matrix m USING (grp, subject) WHERE m.src <> m.dst))"),
     "j03_additive_shift": _sql("SELECT grp, subject, cand, round(sum(final_), 5) AS total, round(max(clipped), 6) AS top, round(min(clipped), 6) AS low FROM moved GROUP BY ALL", _AMT, _CAND, _BASE, _PUSH, _shift("(x + amount * push)")),
     "j04_log_gain": _sql("SELECT grp, subject, cand, round(sum(final_), 5) AS total, round(max(clipped), 6) AS top, round(min(clipped), 6) AS low FROM moved GROUP BY ALL", *_GAIN),
     "j05_activation_ratio": _sql('SELECT grp, subject, cand, to_ AS "to", round(ratio, 6) AS ratio, round(clipped, 6) AS clipped FROM moved', *_GAIN),
-    "j06_j09_coactivation": _sql(_STATS + "(SELECT a.grp, a.subject, a.cand, n.w, n.w + 0.5 * (n.w * a.clipped * b.clipped - n.w) AS new FROM net n JOIN moved a ON a.grp = n.grp AND a.subject = n.subject AND a.to_ = n.src JOIN moved b ON b.grp = n.grp AND b.subject = n.subject AND b.to_ = n.dst AND a.cand = b.cand WHERE a.amount = 0.5) GROUP BY grp, subject, cand", *_GAIN),
+    "j06_j09_coactivation": _sql(_STATS + "(SELECT a.grp, a.subject, a.cand, n.w, n.w + 0.5 * (n.w * a.clipped * b.clipped - n.w) AS new FROM net n JOIN moved a ON a.grp = n.grp AND a.subject = n.subject AND a.to_ = n.src JOIN moved b ON b.grp = n.grp AND b.subject = n.subject AND b.to_ = n.dst AND a.cand = b.cand) GROUP BY grp, subject, cand", *_GAIN),
     "j13_constraints": _sql("SELECT grp, subject, cand, round(u, 6) AS under, round(o, 6) AS over, round(greatest(u, 0) + greatest(o, 0), 6) AS violation, greatest(u, 0) + greatest(o, 0) <= 1e-10 AS feasible FROM (SELECT grp, subject, cand, 0.1 - min(ratio) AS u, max(ratio) - 10.0 AS o FROM moved GROUP BY ALL)", *_GAIN),
     "j12_objectives": _sql("SELECT grp, subject, cand, round(o1, 6) AS o1, o2 FROM scored", *_GAIN, _SCORED),
     "j16_pareto_front": _sql("SELECT grp, subject, cand, round(o1, 6) AS o1, o2 FROM front", *_GAIN, _SCORED, _FRONT),
     "j17_g15_ideal_choice": _sql("SELECT grp, subject, CAST(k AS INTEGER) AS rank, cand, round(d, 6) AS distance, round(1.0 / k, 6)::DOUBLE AS strength FROM (SELECT *, row_number() OVER (PARTITION BY grp, subject ORDER BY d, cand) AS k FROM (SELECT *, round(sqrt(o1 * o1 + o2 * o2), 9) AS d FROM front)) WHERE k <= 3", *_GAIN, _SCORED, _FRONT),
     "j18_weighted_choice": _sql("SELECT grp, subject, cand, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY grp, subject ORDER BY s, cand) AS k FROM (SELECT *, round(0.7 * o1 + 0.3 * o2, 9) AS s FROM scored)) WHERE k = 1", *_GAIN, _SCORED),
-    "b01_b05_label_rules": f"WITH {_NAMES} SELECT p_partkey, clean, {_CANON} AS canonical, CASE WHEN {_DIGITS} = '' THEN 'M' WHEN right({_DIGITS}, 1)::INT % 2 = 1 THEN 'L' ELSE 'R' END AS side, CASE WHEN upper(c) LIKE 'FP%' OR upper(c) LIKE 'AF%' OR upper(c) LIKE 'F%' THEN 'frontal' WHEN upper(c) LIKE 'CP%' OR upper(c) LIKE 'P%' THEN 'parietal' WHEN upper(c) LIKE 'O%' THEN 'occipital' WHEN upper(c) LIKE 'T%' THEN 'temporal' WHEN upper(c) LIKE 'C%' THEN 'central' ELSE 'other' END AS region, upper(clean) AS base FROM (SELECT *, {_CANON} AS c FROM names)",
+    "b01_b05_label_rules": f"WITH {_NAMES} SELECT p_partkey, clean, {_CANON} AS canonical, CASE WHEN {_DIGITS} = '' THEN 'M' WHEN right({_DIGITS}, 1)::INT % 2 = 1 THEN 'L' ELSE 'R' END AS side, CASE WHEN upper(clean) LIKE 'FP%' OR upper(clean) LIKE 'AF%' OR upper(clean) LIKE 'F%' THEN 'frontal' WHEN upper(clean) LIKE 'CP%' OR upper(clean) LIKE 'P%' THEN 'parietal' WHEN upper(clean) LIKE 'O%' THEN 'occipital' WHEN upper(clean) LIKE 'T%' THEN 'temporal' WHEN upper(clean) LIKE 'C%' THEN 'central' ELSE 'other' END AS region, upper(clean) AS base FROM names",
     "b06_homologous_pairs": f"WITH {_NAMES}, own AS (SELECT DISTINCT p_partkey % 7 AS list, clean AS channel, upper(regexp_replace(clean, '[0-9]+$', '')) AS stem, regexp_extract(clean, '[0-9]+$')::INT AS num FROM names) SELECT a.list, a.channel, b.channel AS mirror FROM own a JOIN own b ON a.list = b.list AND a.stem = b.stem AND b.num = a.num + CASE WHEN a.num % 2 = 1 THEN 1 ELSE -1 END",
     "b09_b10_display_labels": f"WITH {_NAMES} SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Node' WHEN p_partkey % 2 = 0 THEN clean || '/' || {_CANON} ELSE clean END AS label FROM names",
     "b11_contract_failures": f"WITH {_NAMES} SELECT p_partkey % 50 AS subject, count(*) AS n, count(DISTINCT clean) AS n_distinct FROM names GROUP BY ALL HAVING count(*) <> count(DISTINCT clean)",

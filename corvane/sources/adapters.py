@@ -129,4 +129,4 @@ def sql(names: str, body: str, *more: str) -> str:
     order: list[str] = []
     for n in names.split():
         order += [x for x in [*_NEEDS.get(n, []), n] if x not in order]
-    return "WITH " + ",\n".join([SQL[n] for n in order] + list(more)) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join([SQL[n] for n in order] + list(more)) + "\n" + body
