@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Words, keyed_texts, mix, raw_texts, read_table, restore_id, runs_of, signed, slices, words_of
@@ -35,8 +35,8 @@ K, M = 20, 8
 #: Different paths of one anchor that travel from a batch under the anchor's key.  If it has more, the anchor is known to
 #: branch, and its further paths travel by keys of their own.
 CROWD = 8
-#: Windows of a source after which a path is cut in any case.
-STRETCH = 512
+#: Windows of a source after which a path is cut in any case, and parts into which its copies are dealt.
+STRETCH, SALTS = 512, 4
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -72,7 +72,7 @@ def local_paths(words: Words, k: int = K, m: int = M) -> tuple[np.ndarray, ...]:
     return grams[least[start]], key, text[start], start - words.bounds[text[start]], size
 
 
-_ROWS = "route long, open boolean, a long, b long, _id long, start int, n int, src_id long, src_start int"
+_ROWS = "open boolean, a long, b long, _id long, start int, n int, src_id long, src_start int"
 
 
 def _emit(a: np.ndarray, b: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray, crowd: int) -> pa.RecordBatch:
@@ -94,9 +94,9 @@ def _emit(a: np.ndarray, b: np.ndarray, ids: np.ndarray, start: np.ndarray, n: n
     nth = np.cumsum(first) - 1
     nth -= nth[np.maximum.accumulate(np.where(new_a, at, 0))]
     beyond = ~known & (nth >= crowd)
-    route = np.where(known, mix((ids * 1_000_003 + start).astype(np.uint64)), np.where(beyond, mix(a ^ b), a))
+    a, b = np.where(known, np.uint64(0), a), np.where(known, np.uint64(0), b)
     return pa.record_batch({
-        "route": signed(route), "open": pa.array(beyond), "a": signed(a), "b": signed(b), "_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32()),
+        "open": pa.array(beyond), "a": signed(a), "b": signed(b), "_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32()),
         "src_id": pa.array(ids[source], pa.int64(), mask=~known), "src_start": pa.array(start[source], pa.int32(), mask=~known),
     })
 
@@ -174,7 +174,8 @@ def _later(branches: bool) -> Callable:
 
 
 def _meet(rows: DataFrame, branches: bool) -> DataFrame:
-    return rows.repartition("route").sortWithinPartitions("a", "b", "_id", "start").mapInArrow(_later(branches), _FOUND)
+    route = F.when(F.col("src_id").isNotNull(), F.xxhash64("_id", "start")).when(F.col("open"), F.xxhash64("a", "b")).otherwise(F.col("a"))
+    return rows.repartition(route).sortWithinPartitions("a", "b", "_id", "start").mapInArrow(_later(branches), _FOUND)
 
 
 def _lists(column: pa.ListArray, *fields: str) -> tuple[np.ndarray, ...]:
@@ -219,29 +220,93 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M, crowd: int = CROWD
     return met.filter("src_id IS NOT NULL").unionByName(_meet(windows, branches=False))
 
 
+_LINES = "src_id long, stretch int, salt int, cut boolean, a int, z int, _id long, shift int"
+
+
+def _follow(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over runs in the order of (_id, start): lines of runs that follow each other here and at their source, and cuts.
+
+    A line is the part a to z of its source, found at `shift` places further on in _id; lines are dealt by stretches of the
+    source.  Where a run ends and the next one has another source, the graph branches: one way more leaves the place
+    where the first goes on, and one more enters the place of the second.  Both are cuts.  State: the last line.
+    """
+    kept = [np.zeros(0, np.int64)] * 5
+
+    def rows_of(lines: list[np.ndarray], cuts: np.ndarray) -> pa.RecordBatch:
+        ids, start, n, sid, sst = lines
+        first = sst // STRETCH
+        entry, stretch = _each(first, (sst + n - 1) // STRETCH - first + 1)
+        a, z = np.maximum(sst[entry], stretch * STRETCH), np.minimum((sst + n)[entry], (stretch + 1) * STRETCH)
+        salt = (mix(ids[entry].astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
+        cuts = np.unique(cuts, axis=0)
+        c_id, c_at = (np.repeat(x, SALTS) for x in (cuts[:, 0], cuts[:, 1]))
+        c_salt, none = np.tile(np.arange(SALTS), len(cuts)), np.zeros(len(cuts) * SALTS, np.int64)
+        both = [np.concatenate(x) for x in ((sid[entry], c_id), (stretch, c_at // STRETCH), (salt, c_salt), (np.zeros(len(entry), bool), none == 0), (a, c_at), (z, none), (ids[entry], none), ((start - sst)[entry], none))]
+        return pa.record_batch({c.split()[0]: pa.array(x.astype({"long": np.int64, "int": np.int32, "boolean": bool}[c.split()[1]])) for c, x in zip(_LINES.split(", "), both, strict=True)})
+
+    for batch in rows:
+        ids, start, n, sid, sst = (np.concatenate([k, batch.column(c).to_numpy().astype(np.int64)]) for k, c in zip(kept, ("_id", "start", "n", "src_id", "src_start"), strict=True))
+        if not len(ids):
+            continue
+        level = (ids[1:] == ids[:-1]) & (sid[1:] == sid[:-1]) & ((start - sst)[1:] == (start - sst)[:-1])
+        new = np.ones(len(ids), bool)
+        new[1:] = ~(level & ((start + n)[1:] <= (start + n)[:-1]))  # a run again, of rows that repeat a document
+        ids, start, n, sid, sst = (x[new] for x in (ids, start, n, sid, sst))
+        joins = (ids[1:] == ids[:-1]) & (start[1:] == (start + n)[:-1])
+        straight = joins & (sid[1:] == sid[:-1]) & (sst[1:] == (sst + n)[:-1])
+        jump = np.flatnonzero(joins & ~straight)
+        cuts = np.concatenate([np.stack([sid[jump], (sst + n)[jump]], axis=1), np.stack([sid[jump + 1], sst[jump + 1]], axis=1)])
+        first = np.flatnonzero(np.concatenate([[True], ~straight]))
+        lines = [ids[first], start[first], np.add.reduceat(n, first), sid[first], sst[first]]
+        kept = [x[-1:] for x in lines]
+        yield rows_of([x[:-1] for x in lines], cuts)
+    yield rows_of(kept, np.zeros((0, 2), np.int64))
+
+
+_SPANS = "_id long, start int, n int, src_id long, src_start int"
+
+
+def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over lines and cuts in the order of (src_id, stretch, salt), cuts first: the lines cut into nonbranching paths.
+
+    Each path goes out as a span of its document and, with a null source, once a batch as a span of the source.  State: the
+    cuts of the last stretch.
+    """
+    held, last = np.zeros(0, np.int64), None
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        sid, stretch, salt, cut, a, z, ids, shift = (batch.column(c.split()[0]).to_numpy(zero_copy_only=False) for c in _LINES.split(", "))
+        a, z = a.astype(np.int64), z.astype(np.int64)
+        new = np.ones(len(sid), bool)
+        new[1:] = (sid[1:] != sid[:-1]) | (stretch[1:] != stretch[:-1]) | (salt[1:] != salt[:-1])
+        new[0] = last != (sid[0], stretch[0], salt[0])
+        group = np.cumsum(new)  # 0: the stretch that the last batch left open
+        places = np.concatenate([held, group[cut] << 32 | a[cut]])
+        last, held = (sid[-1], stretch[-1], salt[-1]), places[places >> 32 == group[-1]] & 0xFFFFFFFF
+        a, z, group, sid, ids, shift = (x[~cut] for x in (a, z, group, sid, ids, shift))
+        places = np.unique(places)
+        lo, hi = np.searchsorted(places, group << 32 | a, "right"), np.searchsorted(places, group << 32 | z, "left")
+        entry, nth = _each(np.zeros(len(a), np.int64), hi - lo + 1)
+        begins = np.where(nth == 0, a[entry], places[np.minimum(lo[entry] + nth - 1, max(len(places) - 1, 0))] & 0xFFFFFFFF if len(places) else a[entry])
+        ends = np.append(begins[1:], 0)
+        closing = nth == (hi - lo)[entry]
+        ends[closing] = z[entry[closing]]
+        own = [ids[entry], begins + shift[entry], ends - begins, sid[entry], begins]
+        there = np.unique(np.stack([sid[entry], begins, ends - begins], axis=1), axis=0)
+        none = np.concatenate([np.zeros(len(entry), bool), np.ones(len(there), bool)])
+        both = [np.concatenate(x) for x in ((own[0], there[:, 0]), (own[1], there[:, 1]), (own[2], there[:, 2]), (own[3], there[:, 0]), (own[4], there[:, 1]))]
+        yield pa.record_batch({c.split()[0]: pa.array(x.astype(np.int64 if "long" in c else np.int32), mask=none if k > 2 else None) for k, (c, x) in enumerate(zip(_SPANS.split(", "), both, strict=True))})
+
+
 def compacted(runs: DataFrame) -> DataFrame:
-    """(_id, start, n, src_id, src_start): the runs of each document that follow each other on a nonbranching path, as one span."""
-    place = Window.partitionBy("_id").orderBy("start", "src_id", "src_start", "n")
-    before = {f"b_{c}": F.lag(c).over(place) for c in ("start", "n", "src_id", "src_start")}
-    again = F.coalesce(F.struct(*before) == F.struct("start", "n", "src_id", "src_start"), F.lit(False))  # of rows that repeat a document
-    pairs = runs.withColumns(before).filter(~again).withColumn("joins", F.col("b_start") + F.col("b_n") == F.col("start"))
-    pairs = pairs.withColumn("straight", F.coalesce(F.col("joins") & (F.col("b_src_id") == F.col("src_id")) & (F.col("b_src_start") + F.col("b_n") == F.col("src_start")), F.lit(False)))
-    jumps = pairs.filter("joins AND NOT straight")
-    path = F.sum(F.when(F.col("straight"), 0).otherwise(1)).over(place.rowsBetween(Window.unboundedPreceding, 0))
-    lines = pairs.withColumn("path", path).groupBy("_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src_id").alias("src_id"), F.min("src_start").alias("src_start"))
-    # a line goes on straight from the place before c_at to c_at: it is cut there if a jump leaves the one or enters the other
-    both = F.array(F.struct(F.col("src_id").alias("c_id"), F.col("src_start").alias("c_at")), F.struct(F.col("b_src_id").alias("c_id"), (F.col("b_src_start") + F.col("b_n")).alias("c_at")))
-    cuts = jumps.select(F.explode(both).alias("c")).select("c.*")
-    cuts = cuts.groupBy(F.col("c_id").alias("src_id"), F.floor(F.col("c_at") / STRETCH).alias("stretch")).agg(F.collect_set("c_at").alias("cuts"))
-    # lines meet cuts by stretches of their source, so a source with many of both doesn't pair them all
-    end = F.col("src_start") + F.col("n")
-    dealt = lines.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("src_start") / STRETCH), F.floor((end - 1) / STRETCH))))
-    first, last = F.greatest("src_start", F.col("stretch") * STRETCH).cast("int"), F.least(end, (F.col("stretch") + 1) * STRETCH).cast("int")
-    inside = F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda c: (c > first) & (c < last))
-    ends = F.array_sort(F.concat(F.array(first), inside, F.array(last)))
-    parts = F.transform(F.slice(ends, 2, F.size(ends) - 1), lambda z, k: F.struct(F.get(ends, k).alias("a"), z.alias("z")))
-    cut = dealt.join(cuts, ["src_id", "stretch"], "left").select("_id", "start", "src_id", "src_start", F.explode(parts).alias("p"))
-    return cut.select("_id", (F.col("start") + F.col("p.a") - F.col("src_start")).alias("start"), (F.col("p.z") - F.col("p.a")).alias("n"), "src_id", F.col("p.a").alias("src_start"))
+    """(_id, start, n, src_id, src_start): nonbranching paths of repeated windows as spans; with a null source, the spans of the sources.
+
+    Two joins by sorted shuffles: of the runs of each document with each other, and of the lines with the cuts on their
+    source.  Lines of one stretch of a very frequent source are spread by salts, its cuts go to all of them.
+    """
+    lines = runs.repartition("_id").sortWithinPartitions("_id", "start", "src_id", "src_start", "n").mapInArrow(_follow, _LINES)
+    return lines.repartition("src_id", "stretch", "salt").sortWithinPartitions("src_id", "stretch", "salt", F.col("cut").desc()).mapInArrow(_cut, _SPANS)
 
 
 _DIGESTS = "_id long, start int, n int, src_id long, src_start int, digest binary"
@@ -267,11 +332,11 @@ def _digest(k: int):
 
 
 def verified(spans: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
-    """The spans whose words are those at their source."""
-    sources = spans.select(F.col("src_id").alias("_id"), F.col("src_start").alias("start"), "n").distinct().select("*", F.lit(None).cast("long").alias("src_id"), F.lit(None).cast("int").alias("src_start"))
-    asked = spans.unionByName(sources).groupBy("_id").agg(F.collect_list(F.struct("start", "n", "src_id", "src_start")).alias("asked"))
+    """The spans whose words are those at their source; `spans` also holds the spans of the sources, with a null source."""
+    asked = spans.groupBy("_id").agg(F.collect_set(F.struct("start", "n", "src_id", "src_start")).alias("asked"))
     found = keyed_texts(docs).join(asked.hint("shuffle_hash"), "_id").mapInArrow(_digest(k), _DIGESTS).filter("digest IS NOT NULL")
-    there = found.filter("src_id IS NULL").select(F.col("_id").alias("src_id"), F.col("start").alias("src_start"), "n", "digest").distinct()
+    # rebalanced, so that the join deals both sides itself and Spark can split the copies of a very frequent span
+    there = found.filter("src_id IS NULL").select(F.col("_id").alias("src_id"), F.col("start").alias("src_start"), "n", "digest").distinct().hint("rebalance")
     return found.filter("src_id IS NOT NULL").join(there, ["src_id", "src_start", "n", "digest"], "left_semi").select("_id", "start", "n", "src_id", "src_start")
 
 

@@ -95,15 +95,45 @@ def test_crowded_anchors_open_alike(spark):
 
 def test_nonbranching_paths_are_compacted(spark):
     runs = [(9, 5, 3, 1, 0), (9, 8, 4, 1, 3), (9, 12, 2, 1, 50), (8, 0, 7, 1, 0), (7, 0, 3, 1, 47), (7, 3, 5, 1, 50), (6, 0, 2, 2, 0), (6, 2, 2, 2, 2)]
-    got = sorted(map(tuple, substring_dedup.compacted(spark.createDataFrame(runs, "_id long, start int, n int, src_id long, src_start int")).collect()))
+    spans = [tuple(r) for r in substring_dedup.compacted(spark.createDataFrame(runs * 2, "_id long, start int, n int, src_id long, src_start int")).collect()]
+    got = sorted(r for r in spans if r[3] is not None)
+    assert {r[:3] for r in spans if r[3] is None} == {(r[3], r[4], r[2]) for r in got}
     # the jump from (1, 6) to (1, 50) cuts the path that goes straight through (1, 50), and would cut one through (1, 7)
     assert got == [(6, 0, 4, 2, 0), (7, 0, 3, 1, 47), (7, 3, 5, 1, 50), (8, 0, 7, 1, 0), (9, 5, 7, 1, 0), (9, 12, 2, 1, 50)]
 
 
+def test_paths_do_not_depend_on_batches(spark):
+    rng = random.Random(3)
+    runs = []
+    for i in range(40):
+        at = 0
+        while at < 900:
+            n, src = rng.randrange(1, 60), rng.choice([1, 1, 1, 2])
+            runs.append((100 + i, at, n, src, at if rng.random() < 0.9 else at + rng.randrange(1, 700)))
+            at += n + rng.choice([0, 0, 0, 5])
+    frame = spark.createDataFrame(runs, "_id long, start int, n int, src_id long, src_start int")
+    want = sorted(tuple(r) for r in substring_dedup.compacted(frame).collect() if r[3] is not None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(tuple(r) for r in substring_dedup.compacted(frame).collect() if r[3] is not None) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    places = lambda rows: {(i, s + k, j, t + k) for i, s, n, j, t in rows for k in range(n)}
+    assert places(want) == places(runs)
+    begins, ends = {(j, t) for _, _, _, j, t in want}, {(j, t + n) for _, _, n, j, t in want}
+    by = {}
+    for i, s, n, j, t in sorted(runs):
+        if (i, s) in by and by[i, s] != (j, t):  # a jump: no path goes through either place
+            for c in (by[i, s], (j, t)):
+                assert not any(x == c[0] and a < c[1] < a + m for _, _, m, x, a in want)
+        by[i, s + n] = (j, t + n)
+    assert begins and ends
+
+
 def test_spans_of_other_words_are_not_verified(spark):
     t = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(1, t), (2, t), (3, t + " x")], "doc_id long, text string")
-    spans = [(2, 0, 11, 1, 0), (3, 1, 11, 1, 0), (3, 11, 1, 1, 10), (3, 2, 3, 1, 2)]
+    spans = [(2, 0, 11, 1, 0), (3, 1, 11, 1, 0), (3, 11, 1, 1, 10), (3, 2, 3, 1, 2), (1, 0, 11, None, None), (1, 10, 1, None, None), (1, 2, 3, None, None)]
     got = substring_dedup.verified(spark.createDataFrame(spans, "_id long, start int, n int, src_id long, src_start int"), docs)
     assert sorted(map(tuple, got.collect())) == [(2, 0, 11, 1, 0), (3, 2, 3, 1, 2)]
 
