@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from corvane.llm.common import id_column, keyed_texts, mix, read_table, restore_id, runs_of, slices, split_words, stage_table, words_in
 
 #: Labelled rows that a model may be trained on, at most: those with the smallest hash of their doc_id; and the bucket
-#: counts of those rows together, at most (8 bytes each), which keeps the driver's memory bounded whatever their length.
+#: counts of those rows together, at most (6 bytes each, or 8), which keeps the driver's memory bounded whatever their length.
 SAMPLE, SAMPLE_PAIRS = 4000, 16_000_000
 BITS, DIM, EPOCHS, RATE, SEED = 17, 12, 8, 0.6, 7
 #: Characters of an n-gram, and words of a shape.
-GRAMS, SHAPE = (3, 4, 5), 4
+GRAMS, SHAPE = (3, 4), 4
 FAMILIES = ("words", "grams", "pairs", "shapes")
 #: Added to the number of features of a text when their vectors are averaged.
 PRIOR = 40
@@ -161,7 +161,7 @@ def _bags(bits: int, families: tuple[str, ...]):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             found = [*bags(b.column("text"), bits, families)]
-            packed = {name: pa.array([x.astype(np.int32).tobytes() for x in own], pa.binary()) for name, own in zip(("idx", "cnt"), zip(*found, strict=True), strict=True)} if found else {name: pa.array([], pa.binary()) for name in ("idx", "cnt")}
+            packed = {"idx": pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), "cnt": pa.array([c.astype(np.uint16 if c.max(initial=0) < 1 << 16 else np.uint32).tobytes() for _, c in found], pa.binary())}
             yield pa.record_batch({"_id": b.column("_id"), "_tx": b.column("_tx"), "label": b.column("label"), "pairs": pa.array([len(i) for i, _ in found], pa.int64())} | packed)
 
     return run
@@ -185,7 +185,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs:
     last = held.sparkSession.createDataFrame([(tuple(sizes[fits - 1]["place"]),)], held.select("place").schema) if fits else None
     rows = held.join(F.broadcast(last.withColumnRenamed("place", "last")), F.col("place") <= F.col("last")).select("place", "label", "idx", "cnt").collect() if fits else []
     rows = sorted(rows, key=lambda r: (tuple(r["place"]), bytes(r["idx"])))[:fits]
-    model = train([(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["cnt"], np.int32), r["label"]) for r in rows], bits=bits, **options)
+    model = train([(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["cnt"], f"u{4 * len(r['cnt']) // max(len(r['idx']), 1) or 2}"), r["label"]) for r in rows], bits=bits, **options)
     model.families = families
     return model
 
