@@ -340,7 +340,7 @@ def extract(pages: list[str]) -> list[str]:
     """Main texts of the pages of one host, on one machine."""
     if not pages:
         return []
-    reference = fold(parse(max(pages, key=lambda p: (len({t.lower() for t in _NAMES.findall(p)}), len(p)))))
+    reference = fold(parse(max(pages, key=lambda p: (len({t.lower() for t in _NAMES.findall(p)}), -len(p)))))
     counts = Counter((slot, digest) for p in dict.fromkeys(pages) for slot, _, digest in slot_texts(reference, fold(parse(p))))
     template = decide((*k, n) for k, n in counts.items())
     return [read(p, reference, template)[0] for p in pages]
@@ -374,16 +374,18 @@ def page_texts(pages: DataFrame, cohort: int = COHORT) -> DataFrame:
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     own = pages.select(id_column("page_id").alias("_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("_host"))
-    # the reference of a host is the page with most different elements, the longest of those
+    # the reference of a host is the page with most different elements, the shortest of those
     names = F.size(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(_NAMES.pattern), 1)))
-    hosts = stage_table(own.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / cohort).cast("int").alias("_cohorts"), F.max(F.struct(names.alias("k"), F.length("html").alias("n"), "html")).alias("r")).select("_host", "_cohorts", F.col("r.html").alias("reference")), "hosts")
-    dealt = own.join(hosts.select("_host", F.col("_cohorts").alias("_of")), "_host").select("_id", "url", "html", "_host", F.pmod(F.xxhash64("_id", "url"), F.col("_of")).cast("int").alias("_cohort"))
-    each = hosts.select("_host", F.explode(F.sequence(F.lit(0), F.col("_cohorts") - 1)).alias("_cohort"), "reference")
+    sizes = stage_table(own.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / cohort).cast("int").alias("_of")), "sizes")
+    hosts = stage_table(own.groupBy("_host").agg(F.max(F.struct(names.alias("k"), (-F.length("html")).alias("n"), "html")).alias("r")).select("_host", F.col("r.html").alias("reference")).join(sizes, "_host"), "hosts")
+    dealt = own.join(sizes, "_host").select("_id", "url", "html", "_host", F.pmod(F.xxhash64("_id", "url"), F.col("_of")).cast("int").alias("_cohort"))
+    each = hosts.select("_host", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_cohort"), "reference")
     by = ["_host", "_cohort"]
     counts = dealt.groupBy(*by).cogroup(each.groupBy(*by)).applyInPandas(_induce, "_host string, slot int, digest binary, n long").groupBy("_host", "slot", "digest").agg(F.sum("n").alias("n"))
     full = F.col("digest") != F.lit(b"")
     most = counts.groupBy("_host", "slot").agg(F.sum("n").alias("pages"), F.max(F.when(full, F.struct("n", "digest"))).alias("m")).filter(F.col("m.n") >= F.greatest(F.lit(LEAST_PAGES), AGREE * F.col("pages")))
-    template = stage_table(most.groupBy("_host").agg(F.collect_list(F.struct("slot", F.col("m.digest").alias("digest"))).alias("template")), "template")
+    # in one plan with what follows, so that the pages are dealt to their cohorts once for both passes
+    template = most.groupBy("_host").agg(F.collect_list(F.struct("slot", F.col("m.digest").alias("digest"))).alias("template"))
     wrappers = each.join(template, "_host", "left")
     out = dealt.groupBy(*by).cogroup(wrappers.groupBy(*by)).applyInPandas(_read, "_id long, url string, text string, n_chars long, n_slots long")
     return out.select(restore_id("_id").alias("page_id"), "url", "text", "n_chars", "n_slots")
