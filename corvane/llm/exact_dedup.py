@@ -100,6 +100,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     recipes = stage_table(keyed_texts(docs).mapInArrow(_recipes, "_id long, sha string, recipe array<struct<h:long,n:int>>"), "recipes")
     clashes = chunk_store(docs).groupBy("h", "n").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "n")
     clashing = recipes.select("_id", "sha", F.explode("recipe").alias("r")).select("_id", "sha", "r.h", "r.n").join(clashes, ["h", "n"], "left_semi").select("_id", "sha").distinct().withColumn("clash", F.col("sha"))
+    clashing = stage_table(clashing, "clashing")
     keyed = recipes.join(clashing, ["_id", "sha"], "left").select("_id", "sha", "recipe", F.coalesce("clash", F.lit("")).alias("clash"))
     # texts without a copy need no row; the groups go through a table, so that Spark can split the join of a large group
     groups = stage_table(keyed.groupBy("recipe", "clash").agg(F.max("_id").alias("keep"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "groups")
