@@ -81,6 +81,11 @@ def display_label(name: Column, alias: Column, override: Column | None = None) -
     return plain if override is None else F.coalesce(override, plain)
 
 
+def without_reference(c: Column) -> Column:
+    """The trimmed name without one suffix that names a reference, for display."""
+    return F.regexp_replace(F.trim(c), "(?i)-(LE|REF|AVG)$", "")
+
+
 def contract_failures(channels: DataFrame, key: list[str]) -> DataFrame:
     """Keys whose channel names are not unique, with counts."""
     return channels.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("channel").alias("n_distinct")).filter("n <> n_distinct")
