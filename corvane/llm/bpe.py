@@ -315,8 +315,8 @@ def _digests(path: str, match_added: bool):
     return run
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, match_added: bool = True) -> DataFrame:
-    """docs with _ids, the token ids of the whole text (null counts as empty); every row and column stays.
+def bpe_encode(docs: DataFrame, path: str | None = None, match_added: bool = True, name: str = "_ids") -> DataFrame:
+    """docs with `name`, the token ids of the whole text (null counts as empty); every row and column stays.
 
     Rows leave in batches of 256, with their ids in one flat array, so a task holds the ids of few texts at a time.
     """
@@ -329,9 +329,9 @@ def bpe_encode(docs: DataFrame, path: str | None = None, match_added: bool = Tru
             ids = [x for own in groups(texts) for x in (bpe.encode_batch([texts[k] for k in own]) if len(own) > 1 or len(texts[own[0]]) <= SEGMENT else [np.concatenate([*bpe.encode_parts(texts[own[0]]), np.zeros(0, np.uint32)])])]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, listed], [*columns, "_ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, listed], [*columns, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_ids", ArrayType(IntegerType()))]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]))
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None, ids: str = "_ids") -> DataFrame:

@@ -7,7 +7,6 @@ function of the bytes, so every executor and every rerun of a lost task gets the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,7 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.stages import shared_dir
+from corvane.functions.stages import shared_dir, stage_table
+
+__all__ = ["GROUP", "Words", "batches", "fresh", "id_column", "keyed_texts", "mix", "raw_texts", "read_table", "restore_id", "runs_of", "shared_dir", "signed", "slices", "split_words", "stage_table", "words_in", "words_of"]
 
 #: A null doc_id is ordered before every other id; it is turned back into null in results.
 NULL_ID = -(2**63)
@@ -32,13 +33,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def id_column(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
@@ -48,6 +42,14 @@ def restore_id(name: str) -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(_id, text): only what an operator needs, so extra columns of any name can't clash; a null text counts as empty."""
     return docs.select(id_column().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import id_column, read_table, restore_id, stage_table
+from corvane.llm.common import fresh, id_column, read_table, restore_id, stage_table
 
 #: Lines of the shortest repeated run that is deleted.
 RUN = 3
@@ -66,8 +66,8 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     return found.join(first, ["k1", "k2"]).filter(F.struct("_id", "at") != F.col("first")).select("_id", "_tx", "lines")
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """docs with `text` replaced by its kept lines, and with _n_lines and _n_removed added; no row is dropped.
+def dedup_lines(docs: DataFrame, run: int = RUN, n_lines: str = "_n_lines", n_removed: str = "_n_removed") -> DataFrame:
+    """docs with `text` replaced by its kept lines, and with n_lines and n_removed added; no row is dropped.
 
     Nulls: a null text stays null (no lines); a null doc_id counts as the smallest id.  An empty text has one blank
     line.  Blank lines are never matched and always kept.  Of equal windows the one with the smallest (doc_id,
@@ -75,14 +75,15 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     other.  Other columns pass through; an empty table gives an empty result.
     """
     gone = repeated_runs(docs, run).groupBy("_id", "_tx").agg(F.collect_set("lines").alias("_runs"))
-    gone = gone.select("_id", "_tx", F.array_distinct(F.flatten("_runs")).alias("_gone"))
+    key, tx, lines, cut = (fresh(docs.columns, c) for c in ("_id", "_tx", "_lines", "_gone"))
+    gone = gone.select(F.col("_id").alias(key), F.col("_tx").alias(tx), F.array_distinct(F.flatten("_runs")).alias(cut))
     others = [c for c in docs.columns if c != "text"]
-    keyed = docs.select(*others, id_column().alias("_id"), F.xxhash64("text").alias("_tx"), F.split("text", "\n", -1).alias("_lines"))
-    joined = keyed.join(gone.hint("shuffle_hash"), ["_id", "_tx"], "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.transform(left, lambda i: F.get("_lines", i))
-    text = F.when(F.col("_lines").isNull(), None).when(F.col("_gone").isNull(), F.concat_ws("\n", "_lines")).otherwise(F.concat_ws("\n", kept))
-    counts = {"_n_lines": F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long"), "_n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")}
+    keyed = docs.select(*others, id_column().alias(key), F.xxhash64("text").alias(tx), F.split("text", "\n", -1).alias(lines))
+    joined = keyed.join(gone.hint("shuffle_hash"), [key, tx], "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
+    kept = F.transform(left, lambda i: F.get(lines, i))
+    text = F.when(F.col(lines).isNull(), None).when(F.col(cut).isNull(), F.concat_ws("\n", lines)).otherwise(F.concat_ws("\n", kept))
+    counts = {n_lines: F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("long"), n_removed: F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).cast("long")}
     return joined.withColumns({"text": text} | counts).select(*docs.columns, *counts)
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import id_column, keyed_texts, read_table, restore_id, runs_of, slices, stage_table, words_of
+from corvane.llm.common import fresh, id_column, keyed_texts, read_table, restore_id, runs_of, slices, stage_table, words_of
 
 SHINGLE = 5
 TREES, DEPTH, LEAST_PREFIX, NEIGHBOURS, REGION = 24, 8, 3, 3, 512
@@ -311,7 +311,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, **f
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, **forest) -> DataFrame:
     """docs without the documents that are linked, over any number of steps, to one of a smaller doc_id; all columns stay."""
     kept = near_groups(docs, percent, size, **forest).filter("_id = root").select("_id").distinct()
-    return docs.withColumn("_id", id_column()).join(kept, "_id", "left_semi").select(*docs.columns)
+    key = fresh(docs.columns, "_id")
+    return docs.withColumn(key, id_column()).join(kept.withColumnRenamed("_id", key), key, "left_semi").select(*docs.columns)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
