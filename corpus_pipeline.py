@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import bpe_encode
-from corvane.llm.common import read_table, stage_table
+from corvane.llm.common import fresh, read_table, stage_table
 from corvane.llm.decontaminate import decontaminate
 from corvane.llm.line_dedup import dedup_lines
 from corvane.llm.near_dedup import drop_near_copies
@@ -19,31 +19,44 @@ from corvane.llm.quality import THRESHOLD, add_scores, fit_quality
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return add_scores(docs, model).filter(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    """Documents that the quality classifier rejects go.
+
+    Every row is judged by its own text, so repeated rows share the decision; null and empty texts get the score of no
+    evidence, and a score at the threshold stays.  Other columns, whatever their names, pass through; an empty table stays empty.
+    """
+    model, score = fit_quality(docs, read_table(spark, sf_dir, "labels")), fresh(docs.columns, "_score")
+    return add_scores(docs, model, score).filter(F.col(score) >= THRESHOLD).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; a document of which nothing but blanks is left goes with them; n_chars follows the text."""
-    done = dedup_lines(docs)
-    done = done.filter((F.col("_n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return done.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Later repeats of runs of lines go; a document of which nothing but blanks is left goes with them; n_chars follows the text.
+
+    Nulls, ties, repeated rows and empty tables as dedup_lines says: a null text has no lines and stays, rows that repeat
+    an id with the same text don't delete each other.
+    """
+    n, gone = fresh(docs.columns, "_n_lines"), fresh(docs.columns, "_n_removed")
+    done = dedup_lines(docs, n_lines=n, n_removed=gone)
+    done = done.filter((F.col(gone) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return done.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies the document with the least doc_id stays."""
+    """Of a group of near copies the document with the least doc_id stays.
+
+    Null and empty texts are linked with nothing and stay; rows that repeat an id stay or go together; a null id is the least.
+    """
     return drop_near_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none, repeated rows share the decision, an empty benchmark takes nothing."""
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids)."""
-    return bpe_encode(docs).select("doc_id", "lang", "source", F.size("_ids").cast("long").alias("n_tokens"), F.col("_ids").alias("ids"))
+    """(doc_id, lang, source, n_tokens, ids) of every row; a null text counts as empty and has no tokens, repeated rows repeat."""
+    ids = fresh(docs.columns, "_ids")
+    return bpe_encode(docs, name=ids).select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("ids"))
 
 
 STAGES = [("quality", keep_quality), ("lines", drop_lines), ("near", drop_near), ("leaks", drop_leaks), ("tokens", to_tokens)]
