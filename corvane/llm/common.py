@@ -84,7 +84,7 @@ class Powers:
 
 
 #: Bytes of texts whose words are held at once, about.
-GROUP = 1 << 24
+GROUP = 1 << 23
 
 
 def slices(column: pa.Array, size: int = GROUP) -> Iterator[tuple[int, pa.Array]]:

@@ -33,6 +33,8 @@ FAMILIES = ("words", "grams", "pairs", "shapes")
 #: Added to the number of features of a text when their vectors are averaged.
 PRIOR = 40
 THRESHOLD = 0.3
+#: Bytes of texts whose features are held at once, about.
+HELD = 1 << 22
 _GRAM = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,7 +112,7 @@ class QualityModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Probability of label 1 of every text."""
         out, bits = [np.zeros(0)], int(np.log2(len(self.weights)))
-        for _, part in slices(texts):
+        for _, part in slices(texts, HELD):
             total, n = Features(part, bits, self.families).totals(self.weights)
             out.append(1 / (1 + np.exp(-np.clip(self.bias + total / (n + PRIOR), -60, 60))))
         return np.concatenate(out)
@@ -151,7 +153,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, d
 
 def bags(texts: pa.Array, bits: int = BITS, families: tuple[str, ...] = FAMILIES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, counts) of every text."""
-    for _, part in slices(texts):
+    for _, part in slices(texts, HELD):
         own = Features(part, bits, families)
         for k in range(len(part)):
             yield np.unique(own.bag(k), return_counts=True)
@@ -194,14 +196,12 @@ def add_scores(docs: DataFrame, model: QualityModel, name: str = "_score") -> Da
     """docs with a score between 0 and 1 (higher: label 1 likelier) from the whole text; null and empty texts get the bias alone."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats, whatever the input
 
-    def run(series: Iterator) -> Iterator:
-        for s in series:
-            yield pd.Series(held.value.scores(pa.array(s, pa.string())))
+    def run(texts: Iterator) -> Iterator:
+        for own in texts:
+            yield pa.array(held.value.scores(own.cast(pa.string())))
 
-    import pandas as pd
-
-    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(name, F.pandas_udf(run, "double")(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn(name, F.arrow_udf(run, "double")(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = THRESHOLD, **options) -> DataFrame:
