@@ -111,7 +111,7 @@ def b40_zero_diagonal(spark, sf):
 def c14_feature_rows(spark, sf):
     """Per subject and channel: log power, entropy and mean Hjorth values."""
     p, e, h = (stage_table(x, "feature") for x in (spectral.c11_band_power(spark, sf), spectral.c12_spectral_entropy(spark, sf), spectral.c13_hjorth(spark, sf)))
-    mean = h.groupBy("subject", "channel").agg(*[F.avg(c).alias(c) for c in ("activity", "mobility", "complexity")])
+    mean = h.groupBy("subject", "channel").agg(*[(F.avg(c) + 1e-8).alias(c) for c in ("activity", "mobility", "complexity")])  # means of rounded values: no ties when they are rounded again
     return p.join(e, ["subject", "channel"]).join(mean, ["subject", "channel"]).select("subject", "channel", F.round(F.log10(F.col("power") + 1e-12), 4).alias("log_power"), r("entropy", 5), r("activity", 3), r("mobility", 5), r("complexity", 5))
 
 
@@ -420,7 +420,7 @@ SQL = {
     "b38_rows_of_one_band": A.sql("measure", "SELECT subject, band, measure, round(value, 6) AS value FROM measure WHERE band = 'es'"),
     "b39_detection_matrix": network._sql("SELECT a.grp, a.subject, a.src, a.dst, round((a.w + b.w) / 2, 5) AS w FROM cells a JOIN cells b ON a.grp = b.grp AND a.subject = b.subject AND a.src = b.dst AND a.dst = b.src", "cells AS MATERIALIZED (SELECT * FROM grid)"),
     "b40_zero_diagonal": A.sql("edge", "SELECT grp, subject, src, dst, round(CASE WHEN src = dst THEN 0.0 ELSE w END, 4) AS w FROM edge"),
-    "c14_feature_rows": f"WITH p AS ({spectral.SQL['c11_band_power']}), e AS ({spectral.SQL['c12_spectral_entropy']}), h AS ({spectral.SQL['c13_hjorth']}), m AS (SELECT subject, channel, avg(activity) AS activity, avg(mobility) AS mobility, avg(complexity) AS complexity FROM h GROUP BY ALL) SELECT subject, channel, round(log10(power + 1e-12), 4) AS log_power, round(entropy, 5) AS entropy, round(activity, 3) AS activity, round(mobility, 5) AS mobility, round(complexity, 5) AS complexity FROM p JOIN e USING (subject, channel) JOIN m USING (subject, channel)",
+    "c14_feature_rows": f"WITH p AS ({spectral.SQL['c11_band_power']}), e AS ({spectral.SQL['c12_spectral_entropy']}), h AS ({spectral.SQL['c13_hjorth']}), m AS (SELECT subject, channel, avg(activity) + 1e-8 AS activity, avg(mobility) + 1e-8 AS mobility, avg(complexity) + 1e-8 AS complexity FROM h GROUP BY ALL) SELECT subject, channel, round(log10(power + 1e-12), 4) AS log_power, round(entropy, 5) AS entropy, round(activity, 3) AS activity, round(mobility, 5) AS mobility, round(complexity, 5) AS complexity FROM p JOIN e USING (subject, channel) JOIN m USING (subject, channel)",
     "c23_held_out_epochs": A.sql("epoch_sample", "SELECT subject, channel, part, count(DISTINCT epoch) AS epochs, count(*) AS n, round(avg((v - m) / greatest(s, 1e-12)), 5) AS mean FROM (SELECT *, avg(v) FILTER (WHERE part = 'train') OVER w AS m, stddev_pop(v) FILTER (WHERE part = 'train') OVER w AS s FROM (SELECT *, CASE WHEN epoch >= 4 THEN 'validate' ELSE 'train' END AS part FROM epoch_sample) WINDOW w AS (PARTITION BY subject, channel)) GROUP BY ALL"),
     "c26_baseline_vector": A.sql("epoch_sample", "SELECT subject, channel, round(coalesce(a.value, b.value, c.value), 6) AS value, CASE WHEN a.value IS NOT NULL THEN 0 WHEN b.value IS NOT NULL THEN 1 ELSE 2 END AS source FROM c LEFT JOIN a USING (subject, channel) LEFT JOIN b USING (subject, channel)", f"a AS (SELECT * FROM ({_RMS}) WHERE subject % 3 = 0)", "b AS (SELECT user_id AS subject, event_type AS channel, round(avg(value), 6) AS value FROM events WHERE user_id % 3 = 1 GROUP BY ALL)", "c AS (SELECT subject, channel, (m - min(m) OVER w) / (max(m) OVER w - min(m) OVER w + 1e-10) * 0.9 + 0.1 AS value FROM (SELECT subject, channel, avg(v) AS m FROM signal GROUP BY ALL) WINDOW w AS (PARTITION BY subject))"),
     "d33_upper_vector": network._sql("SELECT grp, subject, src, dst, round(CASE WHEN src = dst THEN w ELSE w * sqrt(2.0) END, 6) AS w FROM sym_ WHERE src <= dst", "cells AS MATERIALIZED (SELECT * FROM matrix)", _SYM),
