@@ -110,7 +110,7 @@ def test_tails_have_textbook_values(spark):
 
 
 def test_label_rules(spark):
-    rows = spark.createDataFrame([("Fp1-REF", "Fp1", "L", "frontal"), ("T5", "P7", "L", "parietal"), (" Cz ", "Cz", "M", "central"), ("O2", "O2", "R", "occipital"), ("CP4", "CP4", "R", "parietal"), ("EKG", "EKG", "M", "other")], "name string, canonical string, side string, region string")
+    rows = spark.createDataFrame([("Fp1-REF", "Fp1", "L", "frontal"), ("T5", "P7", "L", "temporal"), (" Cz ", "Cz", "M", "central"), ("O2", "O2", "R", "occipital"), ("CP4", "CP4", "R", "parietal"), ("EKG", "EKG", "M", "other")], "name string, canonical string, side string, region string")
     c = F.col("name")
     for r in rows.select("canonical", "side", "region", L.canonical_name(c).alias("a"), L.side(c).alias("b"), L.region(c).alias("d")).collect():
         assert (r["a"], r["b"], r["d"]) == (r["canonical"], r["side"], r["region"])
