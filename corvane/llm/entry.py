@@ -18,6 +18,7 @@ _OPERATORS = {
     "op8_quality_classifier": "quality",
     "op9_token_counts": "token_counts",
     "op10_exact_dedup": "exact_dedup",
+    "op11_vector_codes": "vector_codes",
     "op13_simhash_dedup": "simhash",
 }
 
