@@ -19,6 +19,7 @@ _OPERATORS = {
     "op9_token_counts": "token_counts",
     "op10_exact_dedup": "exact_dedup",
     "op11_vector_codes": "vector_codes",
+    "op12_embedding_whitening": "whitening",
     "op13_simhash_dedup": "simhash",
 }
 

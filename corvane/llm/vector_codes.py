@@ -214,13 +214,14 @@ def _component(c: Column, scale: int) -> Column:
     return F.floor(c.cast("double") * scale).cast("long")
 
 
-def _finite(vector: str) -> Column:
+def finite(vector: str) -> Column:
+    """Whether a vector is there and all its components are numbers."""
     return F.col(vector).isNotNull() & ~F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
 
 
 def integer_vectors(embeddings: DataFrame, parts: int = PARTS, scale: int = SCALE) -> tuple[DataFrame, int]:
     """((vec_id, label, x), length of x): vectors without null or non-finite components as integers, filled with zeros to one length that `parts` divides."""
-    kept = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("e")).filter(_finite("e"))
+    kept = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("e")).filter(finite("e"))
     most, least, n = kept.agg(F.max(F.size("e")), F.min(F.size("e")), F.count(F.lit(1))).first()
     if not n:
         return kept.select("vec_id", "label", F.lit(None).cast("array<long>").alias("x")), 0
