@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import cohort, further, models, network, reports, spectral, sweeps
+from corvane.plans import cohort, fits, further, models, network, reports, spectral, sweeps
 
-MODULES = [network, cohort, spectral, sweeps, reports, models, further]
+MODULES = [network, cohort, spectral, sweeps, reports, models, further, fits]
 
 
 def queries() -> dict:
