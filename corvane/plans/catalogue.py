@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import cohort, estimators, fits, further, models, network, reports, spectral, sweeps
+from corvane.plans import cohort, estimators, fits, further, models, network, reports, selections, spectral, sweeps
 
-MODULES = [network, cohort, spectral, sweeps, reports, models, further, fits, estimators]
+MODULES = [network, cohort, spectral, sweeps, reports, models, further, fits, estimators, selections]
 
 
 def queries() -> dict:
