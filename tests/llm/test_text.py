@@ -212,3 +212,77 @@ def np_zeros():
     import numpy as np
 
     return np.zeros(1 << quality.BITS, np.float32)
+
+
+# ---------------------------------------------------------------- wrappers
+
+
+def story(k, n=4):
+    return "".join(f"<p>Story {k} part {j} {'word ' * 20}</p>" for j in range(n))
+
+
+def told(k, n=4):
+    return "\n".join(f"Story {k} part {j} {'word ' * 20}".strip() for j in range(n))
+
+
+def test_an_article_that_many_pages_share_stays():
+    menu = lambda k: f"<nav><ul><li><a href=/{k}>Menu {k}</a></li></ul></nav><div class=side><a href=/x{k}>Hot story {k}</a></div>"
+    for tag in ("article", "div"):
+        for extra in ("", "<div>Sponsored text {k}</div>"):
+            pages = [f"<html><body>{menu(k)}<{tag}><h1>One title</h1>{story(0)}</{tag}>{extra.format(k=k)}<footer>me</footer></body></html>" for k in range(6)]
+            assert html_text.extract(pages) == [f"One title\n{told(0)}"] * 6
+
+
+def test_headings_and_opening_paragraphs_that_a_series_shares_stay():
+    for tag in ("article", "div"):
+        pages = [f"<html><body><nav><a href=/>Home</a></nav><{tag}><h1>Title {k}</h1><p>This is our weekly series.</p><h2>Summary</h2>{story(k)}<h2>Details</h2>{story(k + 50, 2)}</{tag}><div><p>About this site</p></div></body></html>" for k in range(8)]
+        assert html_text.extract(pages) == [f"Title {k}\nThis is our weekly series.\nSummary\n{told(k)}\nDetails\n{told(k + 50, 2)}" for k in range(8)]
+
+
+def test_words_in_classes_do_not_cut_the_article():
+    inner = '<p class="share-price">Up 3</p><div class="notice-board"><p>On the board</p></div><section id="search-engines"><h3>Engines</h3><p>They search</p></section>'
+    pages = [f"<html><body><article><h1>Title {k}</h1>{inner}{story(k)}</article></body></html>" for k in range(6)]
+    want = [f"Title {k}\nUp 3\nOn the board\nEngines\nThey search\n{told(k)}" for k in range(6)]
+    assert html_text.extract(pages) == want and html_text.extract(pages[:1]) == want[:1]
+
+
+def test_boxes_that_a_host_marks_on_most_pages_go():
+    pages = [f"<html><body><article><h1>Title {k}</h1>{story(k)}<div class='ad'>Buy {k}</div><section class='post-comments'><p>Reader {k} says</p></section></article></body></html>" for k in range(6)]
+    pages.append(f"<html><body><article><h1>Title 9</h1><aside class=x>gone</aside><div class='notice'><section><p>Once only</p></section></div>{story(9)}</article></body></html>")
+    assert html_text.extract(pages) == [f"Title {k}\n{told(k)}" for k in range(6)] + [f"Title 9\nOnce only\n{told(9)}"]
+
+
+def test_boxes_beside_the_main_region():
+    """Unmarked: a bare advert, a menu without its element and recommendations of links go, a lead and a large second part stay."""
+    def page(k):
+        return f"<html><body><div><ul><li><a href=/a{k}>Section {k}</a></li><li><a href=/b>More</a></li></ul></div><div>Buy this now {k}</div><div class=lead>In short, {k}</div><div><h1>Title {k}</h1>{story(k)}</div><section><div><p>Second part {k} {'word ' * 30}</p></div></section><div class=recommended><a href=/r{k}>Read on {k}</a></div><div>&copy; me</div></body></html>"
+
+    assert html_text.extract([page(k) for k in range(6)]) == [f"In short, {k}\nTitle {k}\n{told(k)}\nSecond part {k} {'word ' * 30}".strip() for k in range(6)]
+
+
+def test_the_wrapper_decides_without_marks(spark, monkeypatch):
+    """Article elements renamed and all mark words emptied, the texts of the table are the same."""
+    from collections import defaultdict
+
+    monkeypatch.setattr(html_text, "_MARKS", set())
+    monkeypatch.setattr(html_text, "_ROLES", set())
+    hosts = defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        hosts[r["url"].split("/")[2]].append(r["html"])
+    renamed = lambda p: p.replace("<article>", "<div>").replace("</article>", "</div>").replace("<main>", "<div>").replace("</main>", "</div>")
+    right = total = 0
+    for own in hosts.values():
+        for page, got in zip(own, html_text.extract([renamed(p) for p in own])):
+            alone = html_text.extract(["<html><body><article>" + page.split("<article>")[1].split("</article>")[0] + "</article></body></html>"])[0]
+            right, total = right + (got == alone), total + 1
+    assert right == total == 250
+
+
+def test_long_pages_take_little_time():
+    import time
+
+    pages = ["<html><body><article>" + "".join(f"<h2>Head {k} {j}</h2><p>Part {k} {j}</p>" for j in range(1000)) + "</article></body></html>" for k in range(2)]
+    pages += ["<html><body>" + "".join(f"<div><p>{k} {j}</p></div><section><p>{j}</p></section>" for j in range(1000)) + "</body></html>" for k in range(2)]
+    began = time.process_time()
+    got = html_text.extract(pages)
+    assert time.process_time() - began < 4 and [t.count("\n") for t in got] == [1999] * 4
