@@ -61,7 +61,6 @@ _TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
-_SPACES = re.compile(r"[\s]+")
 _NAMES = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)")
 
 
@@ -155,13 +154,18 @@ def parse(text: str) -> Node:
     return root
 
 
+def _spaced(text: str) -> str:
+    """text, trimmed, with one space for any white space inside."""
+    return " ".join(text.split())
+
+
 def blocks(node: Node, keep) -> Iterator[tuple[Node, str]]:
     """(element, text) of every block in page order; keep(element) tells whether its own text counts."""
     own: list[str] = []
     holder = [node]
 
     def flush() -> Iterator[tuple[Node, str]]:
-        text = _SPACES.sub(" ", entities.unescape("".join(own))).strip()
+        text = _spaced(entities.unescape("".join(own)))
         own.clear()
         if text:
             yield holder[0], text
@@ -314,7 +318,7 @@ def _own_text(e: Node) -> tuple[str, int]:
         for c in rest:
             if isinstance(c, str):
                 parts.append(c)
-                links += linked and len(_SPACES.sub(" ", entities.unescape(c)).strip())
+                links += linked and len(_spaced(entities.unescape(c)))
             elif c.name in _INLINE and c.name != "br":
                 stack.append((iter(c.children), linked or c.name == "a"))
                 break
@@ -322,7 +326,7 @@ def _own_text(e: Node) -> tuple[str, int]:
                 parts.append(" ")
         else:
             stack.pop()
-    return _SPACES.sub(" ", entities.unescape("".join(parts))).strip(), links
+    return _spaced(entities.unescape("".join(parts))), links
 
 
 def slots(reference: Folded) -> dict[int, int]:
@@ -470,10 +474,10 @@ def read(page: str, reference: Folded, seen: dict[int, Slot], chosen: dict[int,
     """(main text, slots that its blocks came from) of a page, read through a wrapper."""
     chosen, root = choose(reference, seen) if chosen is None else chosen, parse(page)
     hosted = seen[0].pages if 0 in seen else 0
-    inside: dict[int, Seen] = {}  # what each aligned element was matched to
-    for x in slot_texts(reference, fold(root)):
-        for e in x.node.elements:
-            inside[id(e)] = x
+    number, inside = slots(reference), {}  # the slot of each aligned element
+    for x, y in align(reference, fold(root)):
+        for e in y.elements:
+            inside[id(e)] = number[id(x)]
     region = any(e.region and not e.outside and not e.mark for e in _elements(root))
     state: dict[int, str] = {}
     for e in _elements(root):
@@ -485,8 +489,8 @@ def read(page: str, reference: Folded, seen: dict[int, Slot], chosen: dict[int,
             now = OUT if e.mark and (hosted < LEAST_PAGES or _mark_slot(e.mark) in seen and seen[_mark_slot(e.mark)].pages >= STRUCTURAL * hosted) else up
         elif e.name in _INLINE:
             now = up
-        elif x is not None and x.slot in chosen:
-            now = chosen[x.slot]
+        elif x in chosen:
+            now = chosen[x]
         elif e.name in _TEXT or e.name in ("html", "body"):  # on the way to the region, and on no other page of the host
             now = PATH if e.name in ("html", "body") else OUT if region and not e.region else TEXT
         else:
@@ -499,17 +503,17 @@ def read(page: str, reference: Folded, seen: dict[int, Slot], chosen: dict[int,
         now = state[id(e)]
         while now == PATH and e.name in _INLINE and e.parent is not None:
             e = e.parent
-        return now in (REGION, TEXT) or now == PATH and not region and (id(e) not in inside or inside[id(e)].slot in bare)
+        return now in (REGION, TEXT) or now == PATH and not region and (id(e) not in inside or inside[id(e)] in bare)
 
-    def holder(e: Node) -> Seen | None:
+    def holder(e: Node) -> int | None:
         while e is not None and id(e) not in inside:  # inline elements and nodes that match nothing belong to what holds them
             e = e.parent
         return inside.get(id(e)) if e is not None else None
 
     found = [(holder(e), t) for e, t in blocks(root, keeps)]
-    while len(found) > 1 and (x := found[-1][0]) is not None and seen[x.slot].template and _digest(found[-1][1]) == seen[x.slot].template:
+    while len(found) > 1 and found[-1][0] in seen and seen[found[-1][0]].template == _digest(found[-1][1]):
         found.pop()  # what ends nearly all articles of the host
-    return "\n".join(t for _, t in found), len({x.slot for x, _ in found if x is not None})
+    return "\n".join(t for _, t in found), len({x for x, _ in found if x is not None})
 
 
 def extract(pages: list[str]) -> list[str]:
