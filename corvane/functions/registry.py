@@ -41,25 +41,27 @@ def register_statistic(name: str, fn: Callable[[Column], Column]) -> Callable:
 
 
 def all_measures(edges: DataFrame, nodes: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(grp, subject, measure, value) of every registered or named measure, in one plan."""
-    out = None
+    """(grp, subject, measure, value) of every registered or named measure, in one plan; what several built-in ones need is found once."""
+    from corvane.operators import measures
+
+    shared, out = measures.Shared(edges, nodes), None
     for name in names or sorted(MEASURES):
-        one = MEASURES[name](edges, nodes).select("grp", "subject", F.lit(name).alias("measure"), F.col("value").cast("double").alias("value"))
+        built_in = name in measures.MEASURES and MEASURES[name] is _BUILT_IN[name]
+        one = (measures.MEASURES[name](shared) if built_in else MEASURES[name](edges, nodes)).select("grp", "subject", F.lit(name).alias("measure"), F.col("value").cast("double").alias("value"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+#: The measures that are registered from the start, each by itself.
+_BUILT_IN: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+
+
 def _builtin() -> None:
     from corvane.operators import connectivity as C
-    from corvane.operators import graph as G
-
-    for name, fn in {
-        "clustering": G.clustering, "transitivity": G.transitivity, "assortativity": lambda e, n: G.assortativity(e), "rich_club": lambda e, n: G.rich_club(e), "spectral_radius": lambda e, n: G.spectral_radius(e),
-        "mean_strength": lambda e, n: G.mean_strength(e, n.count()), "global_efficiency": lambda e, n: G.global_efficiency(e, G.distances(e, n.count()), n.count()), "local_efficiency": lambda e, n: G.local_efficiency(e),
-        "path_length": lambda e, n: G.path_length(e, G.distances(e, n.count())), "diameter": lambda e, n: G.diameter(e, G.distances(e, n.count())),
-        **{c: (lambda e, n, c=c: G.weight_statistics(e, n).select("grp", "subject", F.col(c).alias("value"))) for c in ("density", "mean", "sd", "median", "max", "min", "cv")},
-    }.items():
-        register_measure(name, fn)
+    from corvane.operators import measures
+
+    for name, fn in measures.MEASURES.items():
+        _BUILT_IN[name] = register_measure(name, lambda e, n, fn=fn: fn(measures.Shared(e, n)))
     for c in ("coherence", "imcoh", "plv", "ciplv", "ppc", "pli", "dwpli2"):
         register_estimator(c, lambda x, c=c: C.undirected(x).select(*C.PAIR, F.col(c).alias("w")))
     for c in ("dpli", "dwpli", "psi"):

@@ -117,8 +117,11 @@ def best_partition(edges: DataFrame, n: int, restarts: int = 20) -> DataFrame:
     return best.select(*KEY, F.posexplode("labels").alias("node", "module"), "q")
 
 
-def small_worldness(edges: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """(KEY, value): (C / C_random) / (L / L_random), against one seeded random graph of equal density for each graph; null where undefined."""
+def small_worldness(edges: DataFrame, nodes: DataFrame, seed: int, clustering: DataFrame | None = None, path_length: DataFrame | None = None) -> DataFrame:
+    """(KEY, value): (C / C_random) / (L / L_random), against one seeded random graph of equal density for each graph; null where undefined.
+
+    clustering and path_length (KEY, value) of the graphs themselves are worked out unless they are given.
+    """
     n = nodes.count()
     size = edges.filter("src <> dst AND w > 0").groupBy(*KEY).agg(F.count(F.lit(1)).alias("m"))
     pairs = nodes.select(F.col("node").alias("src")).crossJoin(nodes.select(F.col("node").alias("dst"))).filter("src <> dst")
@@ -126,8 +129,9 @@ def small_worldness(edges: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
     noise = size.crossJoin(F.broadcast(pairs)).withColumn("w", draw)
     ranked = noise.withColumn("_r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("w").desc(), "src", "dst"))).filter("_r <= m").select(*KEY, "src", "dst", "w")
 
-    def both(e: DataFrame, tag: str) -> DataFrame:
-        return G.clustering(e, nodes).withColumnRenamed("value", "c" + tag).join(G.path_length(e, G.distances(e, n)).withColumnRenamed("value", "l" + tag), KEY)
+    def both(e: DataFrame, tag: str, c: DataFrame | None, p: DataFrame | None) -> DataFrame:
+        c, p = G.clustering(e, nodes) if c is None else c, G.path_length(e, G.distances(e, n)) if p is None else p
+        return c.withColumnRenamed("value", "c" + tag).join(p.withColumnRenamed("value", "l" + tag), KEY)
 
-    j = both(edges, "").join(both(ranked, "_random"), KEY)
+    j = both(edges, "", clustering, path_length).join(both(ranked, "_random", None, None), KEY)
     return j.select(*KEY, F.try_divide(F.try_divide("c", "c_random"), F.try_divide("l", "l_random")).alias("value"))

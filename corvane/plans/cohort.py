@@ -43,6 +43,12 @@ def f04_anti_join(spark, sf):
     return A.participant(spark, sf).join(A.selection(spark, sf).select(F.col("unit").alias("subject")), "subject", "left_anti").select("subject", "grp")
 
 
+def f04_without_urgent_orders(spark, sf):
+    """Participants of whom no order of the first priority has a selection."""
+    urgent = A.selection(spark, sf).filter("band = '1-URGENT' AND rnk = 5").select(F.col("unit").alias("subject"))
+    return A.participant(spark, sf).join(urgent, "subject", "left_anti").select("subject", "grp")
+
+
 def f06_candidate_grid(spark, sf):
     n = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"))
     return n.crossJoin(F.broadcast(A.selection(spark, sf).select("band").distinct())).select("node", "band")
@@ -315,6 +321,7 @@ SQL = {
     "f01_inner_join": A.sql("participant", "SELECT subject, c_name, grp, age, gender FROM participant JOIN customer ON subject = c_custkey"),
     "f02_left_to_grid": A.sql("selection participant", "SELECT * FROM status", _SEL1, _GRID, _STATUS),
     "f03_semi_join": A.sql("selection participant", "SELECT subject, grp, age FROM participant WHERE subject IN (SELECT unit FROM selection)"),
+    "f04_without_urgent_orders": A.sql("selection participant", "SELECT subject, grp FROM participant WHERE subject NOT IN (SELECT unit FROM selection WHERE band = '1-URGENT' AND rnk = 5)"),
     "f04_anti_join": A.sql("selection participant", "SELECT subject, grp FROM participant WHERE subject NOT IN (SELECT unit FROM selection)"),
     "f06_candidate_grid": A.sql("selection", "SELECT n_nationkey AS node, band FROM nation, (SELECT DISTINCT band FROM selection)"),
     "f08_nearest_row": """WITH pairs AS (SELECT e.vec_id, f.vec_id AS ref, i, e.embedding[i]::DOUBLE - f.embedding[i]::DOUBLE AS x FROM embeddings e, embeddings f, range(1, 65) r(i) WHERE e.vec_id % 100 = 0 AND e.vec_id <> f.vec_id),

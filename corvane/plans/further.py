@@ -262,13 +262,32 @@ def e23_all_measures(spark, sf):
 
 def e24_measures_of_connectivity(spark, sf):
     """Measures of every subject, estimator and band in one long table."""
+    e, n = _connectivity(spark, sf)
+    return _by_method(registry.all_measures(e, n, ["clustering", "density", "mean", "mean_strength", "transitivity"]))
+
+
+def _by_method(m: DataFrame) -> DataFrame:
+    part = F.split("subject", "[|]")
+    return m.select(part[0].alias("subject"), part[1].alias("method"), part[2].alias("band"), "measure", r("value", 4))
+
+
+def _connectivity(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of every subject, estimator and band as graphs of their own."""
     x = d39_all_estimators(spark, sf).filter("w > 0").select(F.lit("all").alias("grp"), F.concat_ws("|", "subject", "method", "band").alias("subject"), "src", "dst", "w")
     both = x.filter("NOT (subject LIKE '%dpli|%' OR subject LIKE '%psi|%' OR subject LIKE '%|dwpli|%')").select("grp", "subject", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     e = stage_table(x.unionByName(both), "net")  # undirected estimators count both ways
     n = A.table(spark, sf, "events").select(F.col("event_type").alias("node")).distinct()
-    part = F.split("subject", "[|]")
-    m = registry.all_measures(e, n, ["clustering", "density", "mean", "mean_strength", "transitivity"])
-    return m.select(part[0].alias("subject"), part[1].alias("method"), part[2].alias("band"), "measure", r("value", 4))
+    return e, n
+
+
+def e23_twenty_measures(spark, sf):
+    """All built-in measures of every trade graph, those of partitions and random graphs among them."""
+    return registry.all_measures(net(spark, sf), nodes(spark, sf)).select(*KEY, "measure", r("value", 4))
+
+
+def e24_twenty_measures_of_connectivity(spark, sf):
+    """All built-in measures of every subject, estimator and band."""
+    return _by_method(registry.all_measures(*_connectivity(spark, sf)))
 
 
 def g14_rank_lookup(spark, sf):

@@ -108,6 +108,13 @@ def c24_invalid_subjects(spark, sf):
     return S.invalid_subjects(samples(spark, sf).filter("v > 0"), 6, 5, 16)
 
 
+def c24_invalid_recordings(spark, sf):
+    """All samples of recordings that end early for some users, lack a channel for others, and hold a value that is not finite for others again."""
+    s = samples(spark, sf).filter("(subject % 5 <> 1 OR epoch < subject % 3) AND (subject % 5 <> 2 OR channel = 'view') AND (subject % 5 <> 4 OR k < subject % 20)")
+    bad = (F.col("subject") % 5 == 3) & (F.col("epoch") == 2) & (F.col("k") == F.col("subject") % 20)
+    return S.invalid_subjects(s.withColumn("v", F.when(bad, float("inf")).otherwise(F.col("v"))))
+
+
 def _cross(spark, sf, ordered=False):
     return banded(C.cross(spectrum(spark, sf), ordered))
 
@@ -187,6 +194,7 @@ SQL = {
     "c21_time_reversal": _sp(f"SELECT subject, channel, epoch, {N - 1} - k AS k, round(v, 4) AS v FROM epoch_sample"),
     "c22_lag_design": _sp("SELECT subject, channel, count(*) AS n, round(sum(v * l1), 4) AS s1, round(sum(v * l2), 4) AS s2 FROM (SELECT *, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2 FROM epoch_sample WINDOW w AS (PARTITION BY subject, channel, epoch ORDER BY k)) WHERE k >= 2 GROUP BY ALL"),
     "c24_invalid_subjects": _sp("SELECT grp, subject, reason FROM (SELECT grp, subject, CASE WHEN count(DISTINCT epoch) < 6 THEN 'epochs' WHEN count(DISTINCT channel) < 5 THEN 'channels' WHEN count(DISTINCT k) < 16 THEN 'samples' END AS reason FROM epoch_sample WHERE v > 0 GROUP BY ALL) WHERE reason IS NOT NULL"),
+    "c24_invalid_recordings": _sp("SELECT grp, subject, reason FROM (SELECT grp, subject, CASE WHEN count(DISTINCT epoch) < 2 THEN 'epochs' WHEN count(DISTINCT channel) < 2 THEN 'channels' WHEN count(DISTINCT k) < 16 THEN 'samples' WHEN bool_or(subject % 5 = 3 AND epoch = 2 AND k = subject % 20) THEN 'values' END AS reason FROM epoch_sample WHERE (subject % 5 <> 1 OR epoch < subject % 3) AND (subject % 5 <> 2 OR channel = 'view') AND (subject % 5 <> 4 OR k < subject % 20) GROUP BY ALL) WHERE reason IS NOT NULL"),
     "d01_cross_spectrum": _sp("SELECT subject, src, dst, f, round(CASE WHEN abs(re) < 1e-6 THEN 0 ELSE re END, 3) AS re, round(CASE WHEN abs(im) < 1e-6 THEN 0 ELSE im END, 3) AS im FROM (SELECT subject, src, dst, f, sum(re) AS re, sum(im) AS im FROM crs WHERE src < dst GROUP BY ALL)", _BASIS, _SPEC, _CROSS),
     "d02_d08_undirected": _sp(
         "SELECT band, subject, src, dst, round(coherence, 5) AS coherence, round(imcoh, 5) AS imcoh, round(plv, 5) AS plv, round(ciplv, 5) AS ciplv, round(ppc, 5) AS ppc, round(pli, 5) AS pli, round(dwpli2, 5) AS dwpli2 FROM fr JOIN po USING (band, subject, src, dst)",

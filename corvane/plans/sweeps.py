@@ -119,6 +119,12 @@ def a05_consistency(spark, sf):
     return L.inconsistent_subjects(c)
 
 
+def a05_lacking_channels(spark, sf):
+    """Users whose events on some days lack a type that those of the first user have."""
+    e = A.table(spark, sf, "events").filter("event_id % 11 < 1 + user_id % 3")
+    return L.inconsistent_subjects(e.select(F.col("user_id").alias("subject"), F.col("event_type").alias("channel")).distinct())
+
+
 def b29_relative_gap(spark, sf):
     c = A.table(spark, sf, "customer")
     return c.select("c_custkey", F.round(E.relative_gap(F.col("c_acctbal"), F.lit(5000.0)), 6).alias("gap"), F.round(F.abs(E.relative_gap(F.col("c_acctbal"), F.lit(0.0))), 6).alias("normalised"))
@@ -175,6 +181,7 @@ SQL = {
     "b06_homologous_pairs": f"WITH {_NAMES}, own AS (SELECT DISTINCT p_partkey % 7 AS list, clean AS channel, upper(regexp_replace(clean, '[0-9]+$', '')) AS stem, regexp_extract(clean, '[0-9]+$')::INT AS num FROM names) SELECT a.list, a.channel, b.channel AS mirror FROM own a JOIN own b ON a.list = b.list AND a.stem = b.stem AND b.num = a.num + CASE WHEN a.num % 2 = 1 THEN 1 ELSE -1 END",
     "b09_b10_display_labels": f"WITH {_NAMES} SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Node' WHEN p_partkey % 2 = 0 THEN clean || '/' || {_CANON} ELSE clean END AS label FROM names",
     "b11_contract_failures": f"WITH {_NAMES} SELECT p_partkey % 50 AS subject, count(*) AS n, count(DISTINCT clean) AS n_distinct FROM names GROUP BY ALL HAVING count(*) <> count(DISTINCT clean)",
+    "a05_lacking_channels": "WITH l AS (SELECT user_id AS subject, string_agg(event_type, ',' ORDER BY event_type) AS names, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 11 < 1 + user_id % 3) GROUP BY user_id) SELECT subject, n FROM l WHERE names <> (SELECT arg_min(names, subject) FROM l)",
     "a05_consistency": "WITH l AS (SELECT user_id AS subject, string_agg(event_type, ',' ORDER BY event_type) AS names, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id) SELECT subject, n FROM l WHERE names <> (SELECT arg_min(names, subject) FROM l)",
     "b29_relative_gap": "SELECT c_custkey, round((c_acctbal - 5000) / 5000, 6) AS gap, round(abs(c_acctbal), 6) AS normalised FROM customer",
     "b31_b33_polarity": _sql("SELECT grp, subject, count(*) FILTER (WHERE amount < -1e-10) AS suppression, count(*) FILTER (WHERE amount > 1e-10) AS enhancement, count(*) FILTER (WHERE abs(amount) <= 1e-10) AS zero, round(sqrt(avg(amount * amount)), 6) AS rms FROM cands GROUP BY ALL", _AMT, _CAND),
