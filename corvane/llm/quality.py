@@ -185,8 +185,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs:
     sizes = held.select("place", "pairs").orderBy("place").limit(sample).collect()  # two small columns of `sample` rows
     fits = int(np.searchsorted(np.cumsum([r["pairs"] for r in sizes]), pairs, "right")) if sizes else 0
     last = held.sparkSession.createDataFrame([(tuple(sizes[fits - 1]["place"]),)], held.select("place").schema) if fits else None
-    rows = held.join(F.broadcast(last.withColumnRenamed("place", "last")), F.col("place") <= F.col("last")).select("place", "label", "idx", "cnt").collect() if fits else []
-    rows = sorted(rows, key=lambda r: (tuple(r["place"]), bytes(r["idx"])))[:fits]
+    rows = held.join(F.broadcast(last.withColumnRenamed("place", "last")), F.col("place") <= F.col("last")).select("place", "label", "idx", "cnt") if fits else []
+    # rows of one place are equal, so any `fits` first ones are the same; however often one repeats, no more reach the driver
+    rows = rows.orderBy("place").limit(fits).collect() if fits else []
     model = train([(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["cnt"], f"u{4 * len(r['cnt']) // max(len(r['idx']), 1) or 2}"), r["label"]) for r in rows], bits=bits, **options)
     model.families = families
     return model

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import keyed_texts, read_table, restore_id
+from corvane.llm.common import keyed_texts, read_table, restore_id, stage_table
 
 RULE = "start"
 
@@ -114,23 +114,28 @@ def section_tokens(docs: DataFrame, path: str | None = None, rule: str = RULE) -
 
 
 def field_tokens(df: DataFrame, fields: list[str], key: str, path: str | None = None, rule: str = RULE) -> DataFrame:
-    """(key, field, tokens): the fields of a row, joined by line ends, are encoded as one document; tokens by field.
+    """(key, field, tokens) of every row and field: the fields of a row, joined by line ends, are encoded as one document; tokens by field.
 
     A null field counts as empty.  Line ends inside a field are sections of that field, so a field's tokens are the sum
-    over its sections.
+    over its sections.  Rows have numbers of their own: rows that repeat a key have rows of their own in the result, a null
+    key stays null, and the key keeps its type.  Other columns are ignored; an empty table gives no rows.
     """
     text = F.concat_ws("\n", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
     ends = [F.size(F.split(F.coalesce(F.col(f).cast("string"), F.lit("")), "\n", -1)) for f in fields]
-    joined = df.select(F.col(key).cast("long").alias("doc_id"), text.alias("text"), F.array(*ends).alias("lines"))
+    joined = stage_table(df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), text.alias("text"), F.array(*ends).alias("lines")), "fields")
     lines = F.transform(F.sequence(F.lit(0), F.lit(len(fields) - 1)), lambda i: F.aggregate(F.slice("lines", 1, i + 1), F.lit(0), lambda a, x: a + x))
-    spans = joined.select("doc_id", F.posexplode(lines).alias("f", "until"), F.col("lines").alias("l")).select("doc_id", F.element_at(F.array(*map(F.lit, fields)), F.col("f") + 1).alias("field"), "until", (F.col("until") - F.element_at("l", F.col("f") + 1)).alias("since"))
-    counts = section_tokens(joined, path, rule)
-    on = (spans.doc_id == counts.doc_id) & (counts.section >= spans.since) & (counts.section < spans.until)
-    return spans.join(counts, on, "left").groupBy(spans.doc_id.alias(key), "field").agg(F.coalesce(F.sum("tokens"), F.lit(0.0)).alias("tokens"))
+    spans = joined.select("row", "key", F.posexplode(lines).alias("f", "until"), F.col("lines").alias("l")).select("row", "key", "f", "until", (F.col("until") - F.element_at("l", F.col("f") + 1)).alias("since"))
+    counts = section_tokens(joined.select(F.col("row").alias("doc_id"), "text"), path, rule)
+    on = (spans.row == counts.doc_id) & (counts.section >= spans.since) & (counts.section < spans.until)
+    found = spans.join(counts, on, "left").groupBy("row", "f").agg(F.first("key").alias("key"), F.coalesce(F.sum("tokens"), F.lit(0.0)).alias("tokens"))
+    return found.select(F.col("key").alias(key), F.element_at(F.array(*map(F.lit, fields)), F.col("f") + 1).alias("field"), "tokens")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, section, n_chars, n_tokens) for every line of every document, crossing tokens to the line of their first character."""
+    """(doc_id, section, n_chars, n_tokens) for every line of every document, crossing tokens to the line of their first character.
+
+    As section_tokens gives them: a null or empty text has one empty line, repeated rows repeat, an empty table gives no rows.
+    """
     return section_tokens(read_table(spark, sf_dir, "documents")).select("doc_id", "section", "n_chars", F.col("tokens").cast("long").alias("n_tokens"))
 
 

@@ -286,3 +286,24 @@ def test_long_pages_take_little_time():
     began = time.process_time()
     got = html_text.extract(pages)
     assert time.process_time() - began < 4 and [t.count("\n") for t in got] == [1999] * 4
+
+
+def test_the_driver_gets_no_more_than_the_sample_of_a_row_that_repeats(spark, monkeypatch):
+    """A labelled row with 10,000 copies: what reaches the driver keeps its bound, and the copies are samples like others."""
+    from corvane.llm import quality
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = [(k, f"good word{k} fine text of {k}" if k % 2 else f"bad junk{k} junk {k}", None) for k in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    many = docs.unionByName(spark.range(10_000).selectExpr("31L AS doc_id", "'good copies of one text' AS text", "null AS x"))
+    labels = spark.createDataFrame([(r[0], r[0] % 2, 0) for r in rows], "doc_id long, quality int, toxic int")
+    most, collect = [], DataFrame.collect
+
+    def counted(self):
+        out = collect(self)
+        most.append(len(out))
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    model = quality.fit_quality(many, labels, sample=50, epochs=2)
+    assert max(most) <= 50 and 0 <= model.score("good") <= 1

@@ -187,3 +187,16 @@ def test_field_tokens_add_up(spark):
         assert sum(r["tokens"] for r in rows if r["k"] == k) == len(BYTE.encode(text, add_special_tokens=False).ids)
     assert len(rows) == 6
     assert hashlib.sha256(b"").hexdigest() == sha("")
+
+
+def test_field_tokens_of_repeated_null_and_text_keys(spark):
+    count = lambda t: len(BYTE.encode(t, add_special_tokens=False).ids)
+    rows = [("x", "one two three", "four"), ("x", "one two three", "four"), (None, "null key here", ""), ("7", "five", None)]
+    df = spark.createDataFrame([(*r, 5, "f") for r in rows], "k string, title string, body string, row int, key string")
+    got = [tuple(r) for rule in ("start", "end", "share") for r in token_counts.field_tokens(df, ["title", "body"], "k", rule=rule).collect()]
+    for k, n in (("x", 6), (None, 3), ("7", 3)):
+        own = [r for r in got if r[0] == k]
+        assert len(own) == 2 * n and {r[1] for r in own} == {"title", "body"}
+        text = next(f"{t}\n{b or ''}" for key, t, b in rows if key == k)
+        assert sum(r[2] for r in own) == pytest.approx(n * count(text))
+    assert token_counts.field_tokens(df.limit(0), ["title", "body"], "k").collect() == []
