@@ -106,9 +106,16 @@ def objective(value: Column, baseline: Column) -> Column:
 def pareto_front(df: DataFrame, by: list[str], objectives: list[str], ident: str = "cand") -> DataFrame:
     """Feasible rows that no other feasible row of the key dominates (no worse in all objectives, better in one).
 
-    Rows of a key are candidates of one unit: at most nodes times amounts.
+    Rows of a key are candidates of one unit: at most nodes times amounts.  Two objectives take a running minimum of the second
+    over values of the first; of more, all pairs of a key's candidates are compared.  A null objective neither dominates nor is dominated.
     """
     own = df.filter("feasible") if "feasible" in df.columns else df
+    if len(objectives) == 2:
+        a, b = objectives
+        before = F.min("_least").over(Window.partitionBy(*by).orderBy(a).rowsBetween(Window.unboundedPreceding, -1))
+        least = own.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a).agg(F.min(b).alias("_least")).withColumn("_before", before)
+        beaten = (F.col("_before") <= F.col(b)) | (F.col("_least") < F.col(b))
+        return own.join(least, [*by, a], "left").filter(~F.coalesce(beaten, F.lit(False))).select(*df.columns)
     other = own.select(*by, F.col(ident).alias("_id"), *[F.col(o).alias("_" + o) for o in objectives])
     worse = [F.col("_" + o) <= F.col(o) for o in objectives]
     better = [F.col("_" + o) < F.col(o) for o in objectives]

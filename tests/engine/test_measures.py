@@ -43,3 +43,15 @@ def test_a_measure_of_ones_own_takes_part(spark, graphs):
         assert got == {r["subject"]: float(r["count"]) for r in e.groupBy("subject").count().collect()}
     finally:
         registry.MEASURES.pop("edges")
+
+
+def test_fronts_of_two_objectives_equal_all_pairs(spark):
+    from corvane.operators import whatif as W
+
+    rng = np.random.default_rng(9)
+    value = lambda: [None, float(rng.integers(0, 8))][int(rng.random() < 0.95)]
+    rows = [(k, i, value(), value(), bool(rng.random() < 0.9)) for k in ("x", "y") for i in range(60)]
+    got = {(r["k"], r["cand"]) for r in W.pareto_front(spark.createDataFrame(rows, "k string, cand int, a double, b double, feasible boolean"), ["k"], ["a", "b"]).collect()}
+    able = [r for r in rows if r[4]]
+    beats = lambda p, q: None not in (*p[2:4], *q[2:4]) and p[2] <= q[2] and p[3] <= q[3] and (p[2] < q[2] or p[3] < q[3])
+    assert got == {r[:2] for r in able if not any(o[0] == r[0] and beats(o, r) for o in able)}
