@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.tails import binomial_tail, duck_chi2_tail, duck_two_sided
 from corvane.operators import rollups as R
 from corvane.operators import stats as S
+from corvane.operators.ranks import numbered
 from corvane.plans.network import bh_sql, mann_whitney_sql, r
 from corvane.sources import adapters as A
 
@@ -124,7 +125,7 @@ def g10_rank_across_bands(spark, sf):
     sel = A.selection(spark, sf).filter("rnk = 1")
     ranked = R.stable_percent_rank(sel, ["band"], ["rev", "unit"])
     agg = ranked.groupBy("unit").agg(F.avg("pct").alias("pct"), F.min("rev").alias("least"), F.count(F.lit(1)).alias("bands")).withColumn("pct", F.round("pct", 9))
-    return agg.select("unit", r("pct"), r("least", 4), "bands", F.row_number().over(Window.orderBy("pct", "unit")).alias("place"))
+    return numbered(agg, [], ["pct", "unit"], "place").select("unit", r("pct"), r("least", 4), "bands", F.col("place").cast("int").alias("place"))
 
 
 def g11_g12_rejection_sweep(spark, sf):
