@@ -66,20 +66,28 @@ def near(rows, percent=85, size=5):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def lines(rows, run=3):
+def lines(rows, run=3, long=50):
     """{doc_id: kept text} of line dedup."""
     first, numbered, out = {}, {}, {}
+
+    def runs(own):
+        for s in range(len(own)):
+            for n in range(1, min(run, len(own) - s) + 1):
+                text = tuple(x for _, x in own[s : s + n])
+                if n == run or sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in text) >= long:
+                    yield s, n, text
+
     for i, t in sorted(rows):
         if t is None:
             continue
         numbered[i] = [(n, x) for n, x in enumerate(t.split("\n")) if x.strip(" \t\r\f\v")]
-        for s in range(len(numbered[i]) - run + 1):
-            first.setdefault(tuple(x for _, x in numbered[i][s : s + run]), (i, s))
+        for s, _, text in runs(numbered[i]):
+            first.setdefault(text, (i, s))
     for i, t in rows:
         if t is None:
             out[i] = None
             continue
-        gone = {n for s in range(len(numbered[i]) - run + 1) if first[tuple(x for _, x in numbered[i][s : s + run])] != (i, s) for n, _ in numbered[i][s : s + run]}
+        gone = {k for s, n, text in runs(numbered[i]) if first[text] != (i, s) for k, _ in numbered[i][s : s + n]}
         out[i] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
     return out
 

@@ -152,10 +152,32 @@ def test_line_dedup_equals_brute_force(spark):
 def test_fewer_lines_travel_than_runs(spark):
     docs = corpus(spark)
     places = line_dedup.fingerprints(docs).selectExpr("_id", "pos", "runs").collect()
-    runs = {(r["_id"], at): r["pos"] for r in places for at in r["runs"]}
+    runs = {(r["_id"], x["at"]): r["pos"] for r in places for x in r["runs"] if x["n"] == 3}
     sizes = {i: len([x for x in (t or "").split("\n") if x.strip(" \t\r\f\v")]) for i, t in rows_of(docs)}
     assert runs.keys() == {(i, at) for i, n in sizes.items() for at in range(n - 2)}
-    assert all(at <= pos < at + 3 for (_, at), pos in runs.items()) and len(places) < 0.7 * len(runs)
+    assert all(at <= pos < at + 3 for (_, at), pos in runs.items())
+    short = line_dedup.fingerprints(docs, long=10**6).count()
+    assert short < 0.7 * len(runs) and len(places) <= sum(sizes.values())
+
+
+def test_repeats_of_one_or_two_long_lines_go(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(10**6)) for _ in range(n))
+    passage, left, right, almost = words(50), words(30), words(20), words(49)
+    rows = [(1, f"one\n{passage}\ntwo"), (2, passage), (3, f"x\n{left}\n{right}\ny"), (4, f"{left}\n\n{right}"), (5, f"p\n{almost}"), (6, f"{almost}\nq"), (7, f"{left}\nz\n{right}"), (8, passage + "\u00a0more"), (9, f"\t{passage}"), (10, f"{passage}\n{passage}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == lines(rows)
+    assert [i for i, t in rows if got[i] != t] == [2, 4, 10] and got[2] == got[10] == got[4] == ""
+
+
+def test_line_dedup_of_random_line_lengths_equals_brute_force(spark):
+    rng = random.Random(12)
+    pool = [" ".join(f"{k}w{j}" for j in range(n)) for k, n in enumerate((1, 5, 24, 25, 26, 49, 50, 51, 80))] + ["", " \t"]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.4 else f"own {i} {k} " + "v " * rng.choice((1, 20, 60)) for k in range(rng.randrange(0, 12)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for long in (50, 30):
+        assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, long=long).collect()} == lines(rows, long=long)
 
 
 def test_line_dedup_odd_rows(spark):
