@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame
 
 def repeated_runs(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
     """(_id, _tx, lines): runs that also start earlier, at a smaller doc_id or earlier in the same document."""
-    places = fingerprints(docs, run, long)
+    places = stage_table(fingerprints(docs, run, long), "places")
     # rebalanced, so that the join deals both sides itself and Spark can split the places of a very common line
     shared = places.groupBy("fp").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("fp").hint("rebalance")
     met = places.join(shared, "fp", "left_semi").withColumn("_run", F.explode("runs")).withColumn("at", F.col("_run.at"))
