@@ -350,7 +350,7 @@ def h21_fisher(spark, sf):
 
 def h23_auc_difference(spark, sf):
     s = A.oof(spark, sf).groupBy("band", "subject", F.col("y_true").alias("y")).agg(F.max(F.when(F.col("repeat") == 0, F.col("p"))).alias("a"), F.max(F.when(F.col("repeat") == 1, F.col("p"))).alias("b"))
-    return B.auc_difference(s, ["band"], RESAMPLES // 10).select("band", r("low"), r("high"))
+    return B.auc_difference(s, ["band"], RESAMPLES).select("band", r("low"), r("high"))
 
 
 # ---------------------------------------------------------------- I, J, L
@@ -455,7 +455,7 @@ SQL = {
     "h13_metric_tests": f"WITH t AS ({cohort.SQL['h11_h12_wilcoxon'].replace('round(least(1.0, ', '(least(1.0, ', 1).replace(', 6) AS p FROM', ') AS p FROM', 1)}), m AS ({A.sql('selection', 'SELECT band, quantile_cont(before, 0.5) AS m1, quantile_cont(after, 0.5) AS m2 FROM pair GROUP BY band', cohort._PAIR)}) SELECT band, round(m1, 4) AS m1, round(m2, 4) AS m2, rank_biserial, round(p, 6) AS p, round(least(max((k - rk + 1) * p) OVER (ORDER BY rk ROWS UNBOUNDED PRECEDING), 1.0), 6) AS p_adj FROM (SELECT *, row_number() OVER (ORDER BY p, band) AS rk, count(*) OVER () AS k FROM t) JOIN m USING (band)",
     "h16_rank_probabilities": A.sql("selection", " UNION ALL ".join(f"SELECT '{c}' AS name, round(avg(CASE WHEN {c} = greatest(urgent, high, low) THEN 1.0 / (CAST(urgent = greatest(urgent, high, low) AS INTEGER) + CAST(high = greatest(urgent, high, low) AS INTEGER) + CAST(low = greatest(urgent, high, low) AS INTEGER)) ELSE 0 END), 6)::DOUBLE AS p FROM medians" for c in ("urgent", "high", "low")), cohort._SEL1, cohort._WIDE, "rows_ AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS i, round(urgent, 4) AS urgent, round(high, 4) AS high, round(low, 4) AS low FROM wide)", f"medians AS MATERIALIZED (SELECT b, quantile_cont(urgent, 0.5) AS urgent, quantile_cont(high, 0.5) AS high, quantile_cont(low, 0.5) AS low FROM (SELECT b, {T.duck_mixed('b', 'j')} % n AS i FROM (SELECT count(*) AS n FROM rows_), range(1, {RESAMPLES + 1}) q(b), LATERAL (SELECT unnest(range(1, n + 1)) AS j)) JOIN rows_ USING (i) GROUP BY b)"),
     "h21_fisher": A.sql("selection participant", "SELECT band, a, b, c, d, round(least((SELECT sum(CASE WHEN l <= l0 + 1e-7 THEN exp(l) ELSE 0 END) FROM (SELECT lgamma(a + b + 1.0) - lgamma(x + 1.0) - lgamma(a + b - x + 1.0) + lgamma(c + d + 1.0) - lgamma(a + c - x + 1.0) - lgamma(d - a + x + 1.0) - lgamma(a + b + c + d + 1.0) + lgamma(a + c + 1.0) + lgamma(b + d + 1.0) AS l, lgamma(a + b + 1.0) - lgamma(a + 1.0) - lgamma(b + 1.0) + lgamma(c + d + 1.0) - lgamma(c + 1.0) - lgamma(d + 1.0) - lgamma(a + b + c + d + 1.0) + lgamma(a + c + 1.0) + lgamma(b + d + 1.0) AS l0 FROM range(greatest(0, a - d), least(a + b, a + c) + 1) q(x))), 1.0), 6) AS p FROM cells", "cells AS (SELECT band, count(*) FILTER (WHERE grp = 'Healthy' AND gender = 0) AS a, count(*) FILTER (WHERE grp = 'Healthy' AND gender = 1) AS b, count(*) FILTER (WHERE grp = 'Patient' AND gender = 0) AS c, count(*) FILTER (WHERE grp = 'Patient' AND gender = 1) AS d FROM selection JOIN participant ON unit = subject WHERE rnk = 1 GROUP BY band)"),
-    "h23_auc_difference": A.sql("oof", "SELECT band, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM (SELECT band, bb, (sum(rb) FILTER (WHERE y = 1) - sum(ra) FILTER (WHERE y = 1)) / nullif((sum(y) * (count(*) - sum(y)))::DOUBLE, 0) AS d FROM ranked_ GROUP BY ALL) GROUP BY band", "sc AS (SELECT band, subject, y_true AS y, max(p) FILTER (WHERE repeat = 0) AS a, max(p) FILTER (WHERE repeat = 1) AS b FROM oof GROUP BY ALL)", "rws AS (SELECT *, row_number() OVER (PARTITION BY band, y ORDER BY subject) - 1 AS i FROM sc)", f"drawn AS (SELECT band, y, bb, {T.duck_mixed('bb', 'j', 7)} % n AS i FROM (SELECT band, y, count(*) AS n FROM rws GROUP BY ALL), range(1, {RESAMPLES // 10 + 1}) q(bb), LATERAL (SELECT unnest(range(1, n + 1)) AS j))", "ranked_ AS (SELECT band, bb, y, rank() OVER (PARTITION BY band, bb ORDER BY a) + (count(*) OVER (PARTITION BY band, bb, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY band, bb ORDER BY b) + (count(*) OVER (PARTITION BY band, bb, b) - 1) / 2.0 AS rb FROM drawn JOIN rws USING (band, y, i))"),
+    "h23_auc_difference": A.sql("oof", "SELECT band, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM (SELECT band, bb, (sum(rb) FILTER (WHERE y = 1) - sum(ra) FILTER (WHERE y = 1)) / nullif((sum(y) * (count(*) - sum(y)))::DOUBLE, 0) AS d FROM ranked_ GROUP BY ALL) GROUP BY band", "sc AS (SELECT band, subject, y_true AS y, max(p) FILTER (WHERE repeat = 0) AS a, max(p) FILTER (WHERE repeat = 1) AS b FROM oof GROUP BY ALL)", "rws AS (SELECT *, row_number() OVER (PARTITION BY band, y ORDER BY subject) - 1 AS i FROM sc)", f"drawn AS (SELECT band, y, bb, {T.duck_mixed('bb', 'j', 7)} % n AS i FROM (SELECT band, y, count(*) AS n FROM rws GROUP BY ALL), range(1, {RESAMPLES + 1}) q(bb), LATERAL (SELECT unnest(range(1, n + 1)) AS j))", "ranked_ AS (SELECT band, bb, y, rank() OVER (PARTITION BY band, bb ORDER BY a) + (count(*) OVER (PARTITION BY band, bb, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY band, bb ORDER BY b) + (count(*) OVER (PARTITION BY band, bb, b) - 1) / 2.0 AS rb FROM drawn JOIN rws USING (band, y, i))"),
     "i05_repeated_folds": A.sql("feature", "SELECT subject, y, CAST(repeat AS INTEGER) AS repeat, CAST((row_number() OVER (PARTITION BY repeat, y ORDER BY (subject * 7919 + repeat * 104729) % 10007, subject) - 1) % 5 AS INTEGER) AS fold FROM feature, range(0, 3) q(repeat) WHERE ord = 0"),
     "i33_manifold_distance": A.sql("feature", "SELECT subject, ref AS nearest, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY d, ref) AS k FROM (SELECT a.subject, b.subject AS ref, round(sqrt(avg((a.z - b.z) ** 2)), 6) AS d FROM zs a JOIN zs b ON a.ord = b.ord AND a.subject <> b.subject WHERE a.subject % 100 = 0 AND b.y = 1 GROUP BY ALL)) WHERE k = 1", "zs AS MATERIALIZED (SELECT subject, y, ord, (value - m) / sd AS z FROM feature JOIN (SELECT ord, avg(value) AS m, stddev_samp(value) AS sd FROM feature WHERE y = 1 GROUP BY ord) USING (ord))"),
     "j08_renormalised_update": network._sql("SELECT grp, subject, cand, round(CASE WHEN hi > lo THEN (m - lo) / (hi - lo) ELSE 0 END, 6) AS mean, round(CASE WHEN hi > lo THEN s / (hi - lo) ELSE 0 END, 6) AS sd FROM (SELECT grp, subject, cand, min(new) AS lo, max(new) AS hi, avg(new) AS m, stddev_pop(new) AS s FROM (SELECT a.grp, a.subject, a.cand, n.w * a.clipped * b.clipped AS new FROM matrix n JOIN moved a ON a.grp = n.grp AND a.subject = n.subject AND a.to_ = n.src JOIN moved b ON b.grp = n.grp AND b.subject = n.subject AND b.to_ = n.dst AND a.cand = b.cand) GROUP BY grp, subject, cand)", *sweeps._GAIN),
