@@ -66,6 +66,39 @@ def near(rows, percent=85, size=5):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def near_by_prefixes(rows, percent=85, size=5):
+    """({doc_id: component}, links between different sets) by an exact join of all rows: linked sets share one of their rarest shingles."""
+    alike, seen = {}, {}
+    for i, t in rows:
+        s = frozenset(hash(g) for g in shingle_set(t, size))
+        alike.setdefault(s, []).append(i)
+        for g in s:
+            seen[g] = seen.get(g, 0) + 1
+    root = {i: min(own) for s, own in alike.items() for i in own} | {i: i for i in alike.get(frozenset(), [])}
+    links, holders, own_sets = 0, {}, {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for s in sorted((s for s in alike if s), key=len):
+        a, candidates = min(alike[s]), set()
+        least = -(-percent * len(s) // 100)
+        for g in sorted(s, key=lambda g: (seen[g], g))[: len(s) - least + 1]:
+            candidates.update(holders.get(g, ()))
+            holders.setdefault(g, []).append(a)
+        own_sets[a] = s
+        for b in candidates:
+            t = own_sets[b]
+            if 100 * len(t) >= percent * len(s):
+                both = len(s & t)
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    x, y = sorted((find(a), find(b)))
+                    root[y], links = x, links + 1
+    return {i: find(i) for i in root}, links
+
+
 def lines(rows, run=3, long=50):
     """{doc_id: kept text} of line dedup."""
     first, numbered, out = {}, {}, {}

@@ -3,7 +3,7 @@ import random
 
 import pyarrow as pa
 import pytest
-from brute import SF, lines, near, shingle_set, substring
+from brute import SF, lines, near, near_by_prefixes, shingle_set, substring
 from corvane.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 
 
@@ -193,6 +193,22 @@ def test_line_dedup_odd_rows(spark):
 # ---------------------------------------------------------------- near copies
 
 
+def test_near_dedup_finds_every_link_among_ten_thousand_documents(spark):
+    rng = random.Random(13)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    for i, text in [(i, t) for i, t in rows if t and i % 10 == 3]:  # variants on both sides of the threshold
+        words = text.split()
+        for at in rng.sample(range(len(words)), int(rng.uniform(0.005, 0.018) * len(words))):
+            words[at] = f"changed{rng.randrange(10**9)}"
+        rows.append((10**6 + i, " ".join(words)))
+    want, links = near_by_prefixes(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs, percent=85).collect()}
+    lost = {i: (got[i], want[i]) for i in want if got[i] != want[i]}
+    print("links", links, "lost", len(lost))
+    assert not lost and got.keys() == want.keys() and links > 300, (len(lost), links)
+
+
 def family(rng, n, words=80, changes=2):
     base = text(rng, words, 5000).split()
     out = []
