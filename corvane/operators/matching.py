@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.stages import stage_table
@@ -88,21 +88,22 @@ def greedy_unique(sources: DataFrame, targets: DataFrame, keys: list[str], most:
 
     sources: (keys, name, x, y, z), targets: (keys, ord, name, x, y, z).  Distances are between directions, times the median
     length of the key's targets; of equal distances the lesser name is nearer.  Points at the origin have no direction and
-    take no part; targets for which no source is left have no row.  A key has up to `most` sources and targets,
-    as electrodes have; more are an error.
+    take no part; targets for which no source is left have no row.  A key has up to `most` targets, as electrodes have; more are an
+    error.  Of sources there may be any number: a target finds one that is left among as many nearest names as its key has targets.
     """
 
     def unit(df: DataFrame, p: str, *more: str) -> DataFrame:
         r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
         return df.filter(r > 0).select(*keys, *more, F.col("name").alias(p), *[(F.col(a) / r).alias(p + a) for a in "xyz"], r.alias(p + "r"))
 
-    for df in (sources, targets):
-        if df.groupBy(*keys).count().filter(F.col("count") > most).limit(1).count():
-            raise ValueError(f"a key has more than {most} points")
+    if targets.groupBy(*keys).count().filter(F.col("count") > most).limit(1).count():
+        raise ValueError(f"a key has more than {most} targets")
     t = unit(targets, "t", "ord")
     scale = t.groupBy(*keys).agg(F.percentile("tr", 0.5).alias("scale"))
     d = F.round(F.sqrt(sum((F.col("s" + a) - F.col("t" + a)) ** 2 for a in "xyz")) * F.col("scale"), 9)
-    near = unit(sources, "s").join(t, keys).join(scale, keys).groupBy(*keys, "ord", "t").agg(F.array_sort(F.collect_list(F.struct(d.alias("distance"), F.col("s").alias("source")))).alias("near"))
+    named = unit(sources, "s").filter("s IS NOT NULL").join(F.broadcast(t.join(scale, keys)), keys).groupBy(*keys, "ord", "t", "s").agg(F.min(d).alias("distance"))
+    close = named.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "ord", "t").orderBy("distance", "s"))).filter(F.col("_n") <= most)
+    near = close.groupBy(*keys, "ord", "t").agg(F.array_sort(F.collect_list(F.struct("distance", F.col("s").alias("source")))).alias("near"))
     lists = near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("t").alias("target"), "near"))).alias("asked"))
     kind = dict(lists.dtypes)["asked"]
     ordinal, name = kind.split("ord:")[1].split(",")[0], dict(sources.dtypes)["name"]
