@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from corvane.functions.tails import binomial_tail, chi2_tail, log_choose, normal_two_sided, t_two_sided
+from corvane.functions.tails import binomial_tail, chi2_tail, normal_two_sided, t_two_sided
 
 HEALTHY = "Healthy"
 
@@ -164,13 +164,20 @@ def mad_iqr(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided p of a 2x2 table: the share of tables with the same margins that are no likelier."""
-    n, row, col = a + b + c + d, a + b, a + c
-    lo, hi = F.greatest(F.lit(0), row + col - n).cast("long"), F.least(row, col).cast("long")
+    zero = F.struct(*[F.lit(0.0).alias(x) for x in ("ln", "tail", "all")])
 
-    def ln(x: Column) -> Column:
-        return log_choose(row, x) + log_choose(n - row, col - x) - log_choose(n, col)
+    def side(p: Column, q: Column, r: Column, s: Column) -> Column:
+        """Tables on one side of the given one, whose cells p and q shrink: each from its neighbour, relative to the given one."""
+        steps = F.when(F.least(p, q) >= 1, F.sequence(F.lit(1).cast("long"), F.greatest(F.least(p, q), F.lit(1)).cast("long"))).otherwise(F.array().cast("array<long>"))
 
-    return F.aggregate(F.sequence(lo, hi), F.lit(0.0), lambda s, x: s + F.when(ln(x) <= ln(a) + 1e-7, F.exp(ln(x))).otherwise(0.0), lambda s: F.least(s, F.lit(1.0)))
+        def add(t: Column, i: Column) -> Column:
+            ln = t["ln"] + F.log((p - i + 1).cast("double") * (q - i + 1)) - F.log((r + i).cast("double") * (s + i))
+            return F.struct(ln.alias("ln"), (t["tail"] + F.when(ln <= 1e-7, F.exp(ln)).otherwise(0.0)).alias("tail"), (t["all"] + F.exp(ln)).alias("all"))
+
+        return F.aggregate(steps, zero, add)
+
+    up, down = side(b, c, a, d), side(a, d, b, c)
+    return F.least((1 + up["tail"] + down["tail"]) / (1 + up["all"] + down["all"]), F.lit(1.0))
 
 
 def selection_superiority(counts: DataFrame, keys: list[str]) -> DataFrame:
