@@ -6,6 +6,11 @@ have src < dst.  EPS floors powers and denominators; imaginary parts below TINY
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,14 +87,58 @@ def gram(samples: DataFrame, order: int) -> DataFrame:
     """(grp, subject, i, li, j, lj, s): sums of products of lagged channels, the only pass over samples that a VAR fit needs.
 
     Lag 0 is the target; lags 1..order are predictors; rows before `order` in an epoch take no part.
+    Channels of an epoch meet in one row, whose products are summed there, so sums of epochs are shuffled and not products of samples.
+    Missing values take no part; repeated rows count as often as they are there.
     """
-    own = ["grp", "subject", "channel", "epoch"]
-    w = Window.partitionBy(*own).orderBy("k")
-    lags = samples.withColumn("_l", F.array(*[F.struct(F.lit(i).alias("l"), F.lag("v", i).over(w).alias("x")) for i in range(order + 1)])).filter(F.col("k") >= order)
-    flat = lags.select("grp", "subject", "epoch", "k", "channel", F.explode("_l").alias("z")).select("grp", "subject", "epoch", "k", "channel", "z.l", "z.x")
-    a = flat.withColumnsRenamed({"channel": "i", "l": "li", "x": "xa"})
-    b = flat.withColumnsRenamed({"channel": "j", "l": "lj", "x": "xb"})
-    return a.join(b, ["grp", "subject", "epoch", "k"]).groupBy("grp", "subject", "i", "li", "j", "lj").agg(F.sum(F.col("xa") * F.col("xb")).alias("s"))
+    w = Window.partitionBy("grp", "subject", "channel", "epoch").orderBy("k")
+    lags = samples.withColumn("_x", F.array(*[F.lag("v", i).over(w).cast("double") for i in range(order + 1)])).filter(F.col("k") >= order)
+    rows = lags.groupBy("grp", "subject", "epoch").agg(F.collect_list(F.struct("channel", "k", "_x")).alias("_r"))
+    packed = rows.select("grp", "subject", F.col("_r.channel").alias("c"), F.transform("_r.k", lambda k: k.cast("long")).alias("k"), F.flatten("_r._x").alias("x"))
+    m, kinds = order + 1, dict(samples.dtypes)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            grp, subject, c, k, x = batch.columns
+            at = np.concatenate([[0], np.cumsum(pc.list_value_length(c).to_numpy(zero_copy_only=False))]).astype(int)
+            coded = c.flatten().dictionary_encode()
+            codes, times = coded.indices.to_numpy(zero_copy_only=False), k.flatten().to_numpy(zero_copy_only=False)
+            flat = x.flatten()
+            valid, values = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, m), flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, m)
+            out = []
+            for i in range(batch.num_rows):
+                own = slice(at[i], at[i + 1])
+                out.append((i, *_products(codes[own], times[own], values[own], valid[own])))
+            row = np.repeat([o[0] for o in out], [len(o[5]) for o in out])
+            a, la, b_, lb, s, known = (np.concatenate([o[n] for o in out]) for n in range(1, 7))
+            names = coded.dictionary
+            yield pa.RecordBatch.from_arrays(
+                [grp.take(pa.array(row)), subject.take(pa.array(row)), names.take(pa.array(a)), pa.array(la, pa.int32()), names.take(pa.array(b_)), pa.array(lb, pa.int32()), pa.array(s, mask=~known)],
+                names=["grp", "subject", "i", "li", "j", "lj", "s"],
+            )
+
+    one = packed.mapInArrow(sums, f"grp {kinds['grp']}, subject {kinds['subject']}, i {kinds['channel']}, li int, j {kinds['channel']}, lj int, s double")
+    return one.groupBy("grp", "subject", "i", "li", "j", "lj").agg(F.sum("s").alias("s"))
+
+
+def _products(codes: np.ndarray, times: np.ndarray, values: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(i, li, j, lj, s, known) of one epoch: sums over times of products of the lagged channels that are there at the same time; unknown without a value."""
+    names, c = np.unique(codes, return_inverse=True)
+    ks, t = np.unique(times, return_inverse=True)
+    n, m = len(names), values.shape[1]
+    x, have, there = np.zeros((len(ks), n, m)), np.zeros((len(ks), n, m)), np.zeros((len(ks), n))
+    np.add.at(x, (t, c), values)
+    np.add.at(have, (t, c), valid)
+    there[t, c] = 1
+    x, have = x.reshape(len(ks), -1), have.reshape(len(ks), -1)
+    known = have.T @ have > 0
+    if np.isfinite(x).all():
+        s = x.T @ x
+    else:  # a value that is not finite belongs to its own pairs only
+        s = np.array([np.where((have[:, [p]] > 0) & (have > 0), x[:, [p]] * x, 0.0).sum(axis=0) for p in range(n * m)])
+    a, la, b, lb = (g.ravel() for g in np.meshgrid(np.arange(n), np.arange(m), np.arange(n), np.arange(m), indexing="ij"))
+    met = (there.T @ there > 0)[a, b]
+    p, q = a * m + la, b * m + lb
+    return names[a[met]], la[met], names[b[met]], lb[met], s[p, q][met], known[p, q][met]
 
 
 def split_half_reliability(edges: DataFrame, value: str, top: float = 0.1) -> DataFrame:

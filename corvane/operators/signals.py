@@ -38,9 +38,10 @@ def packed(samples: DataFrame) -> DataFrame:
 
 def standardised(samples: DataFrame, key: list[str] = UNIT) -> DataFrame:
     """v minus the channel's mean over its population sd; a constant channel is an error."""
-    s = samples.groupBy(*key).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_sd"))
+    w = Window.partitionBy(*key)  # not a join: samples and their own sums come from one pass
+    s = samples.withColumns({"_m": F.avg("v").over(w), "_sd": F.stddev_pop("v").over(w)})
     z = F.when(F.col("_sd") > 0, (F.col("v") - F.col("_m")) / F.col("_sd")).otherwise(F.raise_error(F.lit("a channel is constant")))
-    return samples.join(s, key).withColumn("v", z).drop("_m", "_sd")
+    return s.withColumn("v", z).drop("_m", "_sd")
 
 
 def apply_standardisation(samples: DataFrame, stats: DataFrame, key: list[str]) -> DataFrame:
