@@ -1,5 +1,13 @@
 """Small cases of what went wrong on larger tables: bins at half seconds, sums of products, residuals, many sources, large margins."""
 
+import math
+
+import numpy as np
+import pytest
+from corvane.operators import connectivity as C
+from corvane.operators import matching as H
+from corvane.operators import stats as T
+from corvane.operators import var as V
 from corvane.sources import adapters as A
 from pyspark.sql import functions as F
 
@@ -10,3 +18,72 @@ def test_signal_takes_the_nearest_second(spark, tmp_path):
     got = A.signal(spark, str(tmp_path)).collect()
     assert len(got) == 3 * 2 * A.BINS
     assert {(r["subject"], r["channel"], r["t"]): r["v"] for r in got if r["v"]} == {(1, "a", 0): 1.0, (1, "a", 1): 2.0, (1, "b", 0): 4.0}
+
+
+def test_greedy_choice_among_many_sources(spark):
+    """More sources than the bound on targets, with repeated names: each target takes the nearest name that is left."""
+    rng = np.random.default_rng(3)
+    p, q = rng.normal(size=(600, 3)), rng.normal(size=(4, 3))
+    names = [f"s{i % 450}" for i in range(600)]
+    sources = spark.createDataFrame([("u", names[i], *map(float, p[i])) for i in range(600)], "k string, name string, x double, y double, z double")
+    targets = spark.createDataFrame([("u", i, f"t{i}", *map(float, q[i])) for i in range(4)], "k string, ord int, name string, x double, y double, z double")
+    unit, scale, used, want = p / np.linalg.norm(p, axis=1)[:, None], np.median(np.linalg.norm(q, axis=1)), set(), []
+    for i, t in enumerate(q):
+        d = np.round(np.linalg.norm(unit - t / np.linalg.norm(t), axis=1) * scale, 9)
+        best = min((d[j], names[j]) for j in range(600) if names[j] not in used)
+        used.add(best[1])
+        want.append((i, best[1], pytest.approx(best[0], abs=1e-8)))
+    assert sorted((r["ord"], r["source"], r["distance"]) for r in H.greedy_unique(sources, targets, ["k"]).collect()) == want
+
+
+def test_fisher_of_large_and_small_tables(spark):
+    """Against all tables by lgamma; work follows the margins, not their square."""
+    tables = [(3, 1, 1, 3), (0, 0, 4, 5), (0, 7, 9, 0), (20_400, 20_100, 19_900, 20_300), (60_000, 60_000, 60_000, 60_000)]
+
+    def exact(a, b, c, d):
+        lf = lambda n: math.lgamma(n + 1.0)
+        ln = lambda x: -lf(x) - lf(a + b - x) - lf(a + c - x) - lf(d - a + x)
+        all_ = [ln(x) - ln(a) for x in range(max(0, a - d), min(a + b, a + c) + 1)]
+        return min(1.0, sum(math.exp(x) for x in all_ if x <= 1e-7) / sum(math.exp(min(x, 700)) for x in all_))
+
+    got = spark.createDataFrame([(i, *t) for i, t in enumerate(tables)], "i int, a long, b long, c long, d long").withColumn("p", T.fisher(*map(F.col, "abcd"))).orderBy("i").collect()
+    assert [r["p"] for r in got] == pytest.approx([exact(*t) for t in tables], abs=1e-7)
+
+
+def test_gram_of_gaps_repeats_and_values_that_are_not_finite(spark):
+    """Against a loop over pairs of samples at the same time."""
+    rows = [("g", 1, c, e, k, float(3 * k + ord(c) - 96 + e)) for e in range(2) for c in "abc" for k in range(5) if (c, e, k) != ("b", 0, 3)]
+    rows[0], rows[-1] = (*rows[0][:5], None), (*rows[-1][:5], float("inf"))
+    rows.append(("g", 1, "d", 1, 7, 2.0))
+    got = {(r["i"], r["li"], r["j"], r["lj"]): r["s"] for r in C.gram(spark.createDataFrame(rows, "grp string, subject long, channel string, epoch int, k int, v double"), 1).collect()}
+    lags = {}
+    for c in "abcd":
+        for e in range(2):
+            own = sorted((k, v) for _, _, c_, e_, k, v in rows if (c_, e_) == (c, e))
+            for at, (k, v) in enumerate(own):
+                if k >= 1:
+                    lags[c, e, k] = (v, own[at - 1][1] if at else None)
+    want = {}
+    for (c, e, k), x in lags.items():
+        for (d, e_, k_), y in lags.items():
+            if (e, k) == (e_, k_):
+                for li in (0, 1):
+                    for lj in (0, 1):
+                        old = want.get((c, li, d, lj))
+                        product = None if x[li] is None or y[lj] is None else x[li] * y[lj]
+                        want[c, li, d, lj] = product if old is None else old if product is None else old + product
+    assert got == want
+
+
+def test_residuals_need_the_sample_before(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2, 2, 6))
+    rows = [("g", 1, f"c{c}", e, k, float(x[e, c, k])) for e in range(2) for c in range(2) for k in range(6) if (e, c, k) != (1, 1, 2) and not (e == 0 and k == 3)]
+    a = {("c0", "c0"): 0.5, ("c0", "c1"): -0.2, ("c1", "c0"): 0.1, ("c1", "c1"): 0.7}
+    coef = spark.createDataFrame([("g", 1, 1, t, s, v) for (t, s), v in a.items()], "grp string, subject long, lag int, target string, source string, a double")
+    frame = spark.createDataFrame(rows, "grp string, subject long, channel string, epoch int, k int, v double")
+    found = V.residuals(frame, coef)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+    v = {r[2:5]: r[5] for r in rows}
+    want = {(c, e, k): y - sum(a[c, s] * v[s, e, k - 1] for s in ("c0", "c1") if (s, e, k - 1) in v) for (c, e, k), y in v.items() if any((s, e, k - 1) in v for s in ("c0", "c1"))}
+    assert {(r["channel"], r["epoch"], r["k"]): r["e"] for r in found.collect()} == pytest.approx(want)
