@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from corvane.functions.tails import binomial_tail, chi2_tail, normal_two_sided, t_two_sided
+from corvane.operators.ranks import numbered
+from corvane.operators.resampling import median_draws
 
 HEALTHY = "Healthy"
 
@@ -245,11 +247,17 @@ def sign_flip(differences: DataFrame, keys: list[str], unit: str = "unit", value
     return agg.join(hits.unionByName(exact), keys, "left").select(*keys, "n", "mean", F.when(F.col("mean") <= 0, 1.0).otherwise(F.coalesce("p", F.lit(1.0))).alias("p"))
 
 
-def bootstrap(df: DataFrame, keys: list[str], value: str, statistic=lambda c: F.percentile(c, 0.5), resamples: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(keys, n, low, high): percentile interval of any aggregate over resampled rows of each key.
+def bootstrap(df: DataFrame, keys: list[str], value: str, statistic=None, resamples: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(keys, n, low, high): percentile interval of any aggregate over resampled rows of each key; of the median unless `statistic` is given.
 
-    Rows of a key are numbered by value, and draw j of resample b takes row mixed(b, j) modulo n; resamples are a join on that number.
+    Rows of a key are numbered by value, and draw j of resample b takes row mixed(b, j) modulo n.  A median is found by the
+    numbers alone, so its draws are no rows; for other aggregates resamples are a join on that number.
     """
+    if statistic is None:
+        rows = numbered(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value], "_i").withColumn("_i", F.col("_i") - 1)
+        found = median_draws(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, resamples, seed).select(*keys, "n", "_b", F.explode(F.array("_lo", "_hi")).alias("_i"))
+        stats = found.join(rows, [*keys, "_i"]).groupBy(*keys, "n", "_b").agg(F.avg(value).alias("_s"))
+        return stats.groupBy(*keys, "n").agg(F.percentile("_s", (1 - level) / 2).alias("low"), F.percentile("_s", (1 + level) / 2).alias("high"))
     rows = df.filter(F.col(value).isNotNull()).withColumn("_i", (F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).cast("long"))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(resamples).cast("long")))).withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("_i", mixed(F.col("_b"), F.col("_j"), seed) % F.col("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.stages import shared_dir
-from corvane.operators.stats import mixed
+from corvane.operators.resampling import auc_draws, joint_medians
 from corvane.sources.runs import required
 
 
@@ -104,10 +104,7 @@ def points(measures: DataFrame, keys: list[str], names: list[str], target: DataF
 
 def rank_probabilities(wide: DataFrame, unit: str, columns: list[str], resamples: int) -> DataFrame:
     """(name, p): how often each column has the largest median over units resampled together; ties share."""
-    rows = wide.dropna(subset=columns).withColumn("_i", (F.row_number().over(Window.orderBy(unit)) - 1).cast("long"))  # complete units of a report
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    draws = n.withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(resamples).cast("long")))).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("b", (mixed(F.col("b"), F.col("j")) % F.col("n")).alias("_i"))
-    medians = draws.join(rows, "_i").groupBy("b").agg(*[F.percentile(c, 0.5).alias(c) for c in columns])
+    medians = joint_medians(wide.dropna(subset=columns), unit, columns, resamples, 42)
     best = F.greatest(*columns)
     ties = sum((F.col(c) == best).cast("int") for c in columns)
     shares = medians.select(*[F.when(F.col(c) == best, 1 / ties).otherwise(0.0).alias(c) for c in columns]).agg(*[F.avg(c).alias(c) for c in columns])
@@ -116,15 +113,5 @@ def rank_probabilities(wide: DataFrame, unit: str, columns: list[str], resamples
 
 def auc_difference(scores: DataFrame, keys: list[str], resamples: int, level: float = 0.95) -> DataFrame:
     """(keys, low, high): interval of AUC(b) - AUC(a) of (y, subject, a, b) over subjects resampled within each class; null without both classes."""
-    rows = scores.withColumn("_i", (F.row_number().over(Window.partitionBy(*keys, "y").orderBy("subject")) - 1).cast("long"))
-    sizes = rows.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"))
-    drawn = sizes.withColumn("_b", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(resamples).cast("long")))).withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("_i", mixed(F.col("_b"), F.col("_j"), 7) % F.col("n"))
-    own = drawn.join(rows, [*keys, "y", "_i"]).select(*keys, "_b", "y", "a", "b")
-
-    def rank_sum(c: str) -> Column:
-        rank = F.rank().over(Window.partitionBy(*keys, "_b").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "_b", c)) - 1) / 2
-        return F.when(F.col("y") == 1, rank).otherwise(0.0)
-
-    sums = own.withColumns({"ra": rank_sum("a"), "rb": rank_sum("b")}).groupBy(*keys, "_b").agg(F.sum("ra").alias("ra"), F.sum("rb").alias("rb"), F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    d = sums.withColumn("d", F.try_divide(F.col("rb") - F.col("ra"), (F.col("p") * (F.col("n") - F.col("p"))).cast("double")))
+    d = auc_draws(scores, keys, resamples, 7)
     return d.groupBy(*keys).agg(F.percentile("d", (1 - level) / 2).alias("low"), F.percentile("d", (1 + level) / 2).alias("high"))

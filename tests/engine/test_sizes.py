@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from corvane.operators import connectivity as C
 from corvane.operators import matching as H
+from corvane.operators import resampling as X
 from corvane.operators import stats as T
 from corvane.operators import var as V
 from corvane.sources import adapters as A
@@ -87,3 +88,26 @@ def test_residuals_need_the_sample_before(spark):
     v = {r[2:5]: r[5] for r in rows}
     want = {(c, e, k): y - sum(a[c, s] * v[s, e, k - 1] for s in ("c0", "c1") if (s, e, k - 1) in v) for (c, e, k), y in v.items() if any((s, e, k - 1) in v for s in ("c0", "c1"))}
     assert {(r["channel"], r["epoch"], r["k"]): r["e"] for r in found.collect()} == pytest.approx(want)
+
+
+def test_resamples_by_rank_agree_with_drawn_rows(spark):
+    """Medians and differences of AUC of every resample against rows drawn one by one; the windows of ranks are exact where they miss, too."""
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 70_000):
+        for b in (1, 9_999):
+            rows = np.concatenate(list(X.drawn(b, n, 42)))
+            assert rows.tolist() == (T._mixed(np.int64(b), np.arange(1, n + 1)) % n).tolist()
+            assert X.middle(lambda: iter([rows]), n) == (np.sort(rows)[(n - 1) // 2], np.sort(rows)[n // 2])
+    low = np.zeros(100_000, np.int64)
+    assert X.middle(lambda: iter([low]), len(low)) == (0, 0)
+    values = rng.integers(0, 9, (11, 2)).astype(float)
+    got = {r["_b"]: (r["p"], r["q"]) for r in X.joint_medians(spark.createDataFrame([(i * 3, *map(float, v)) for i, v in enumerate(values)], "unit int, p double, q double"), "unit", ["p", "q"], 230, 42).collect()}
+    assert got == {b: tuple(np.median(values[T._mixed(np.int64(b), np.arange(1, 12)) % 11], axis=0)) for b in range(1, 231)}
+    scores = [("k", i, i % 3 == 0, float(rng.integers(0, 6)), float(rng.integers(0, 6))) for i in range(20)] + [("none", 1, True, 0.5, 0.5)]
+    found = X.auc_draws(spark.createDataFrame([(k, i, int(y), a, b) for k, i, y, a, b in scores], "k string, subject int, y int, a double, b double"), ["k"], 210, 7).collect()
+    parts = [np.array([s[3:] for s in scores[:20] if s[2] == y]) for y in (False, True)]
+    for b in range(1, 211):
+        no, yes = (x[T._mixed(np.int64(b), np.arange(1, len(x) + 1), 7) % len(x)] for x in parts)
+        auc = [np.mean((yes[:, None, s] > no[None, :, s]) + 0.5 * (yes[:, None, s] == no[None, :, s])) for s in (0, 1)]
+        assert [r["d"] for r in found if (r["k"], r["_b"]) == ("k", b)] == pytest.approx([auc[1] - auc[0]])
+    assert all(r["d"] is None for r in found if r["k"] == "none")
