@@ -19,7 +19,7 @@ from corvane.operators.ranks import numbered
 BLOCKS, CHUNK, _M = 200, 1 << 16, 2**31 - 1
 
 
-def _fold(x: np.ndarray) -> np.ndarray:
+def fold(x: np.ndarray) -> np.ndarray:
     """x modulo 2**31 - 1 for x below 2**62 + 2**31."""
     x = (x & _M) + (x >> 31)
     x = (x & _M) + (x >> 31)
@@ -31,8 +31,8 @@ def drawn(b: int, n: int, seed: int) -> Iterator[np.ndarray]:
     for at in range(1, n + 1, CHUNK):
         j = np.arange(at, min(at + CHUNK, n + 1), dtype=np.int64)
         x = (b * 69621 + j * 48271 + seed) % _M
-        y = _fold(x * x + b)
-        yield _fold(y * y + j % _M) % n
+        y = fold(x * x + b)
+        yield fold(y * y + j % _M) % n
 
 
 def middle(parts: Callable[[], Iterator[np.ndarray]], n: int) -> tuple[int, int]:

@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from corvane.functions.tails import binomial_tail, chi2_tail, normal_two_sided, t_two_sided
 from corvane.operators.ranks import numbered
-from corvane.operators.resampling import median_draws
+from corvane.operators.resampling import fold, median_draws
 
 HEALTHY = "Healthy"
 
@@ -208,6 +208,17 @@ def _mixed(a: np.ndarray, b: np.ndarray, seed: int = 42) -> np.ndarray:
     return (y * y + b % _M) % _M
 
 
+def _signed_sums(at: np.ndarray, u: np.ndarray, v: np.ndarray, seed: int, draws: int = 256) -> np.ndarray:
+    """For each draw the sum of v, negative where _mixed(draw, u) is odd; some draws at a time, so that a step stays in the cache."""
+    out, add, low = np.empty(len(at)), u * 48271 + seed, u % _M
+    for k in range(0, len(at), draws):
+        a = at[k : k + draws, None]
+        x = (a * 69621 + add) % _M
+        y = fold(x * x + a)
+        out[k : k + draws] = v.sum() - 2.0 * ((fold(y * y + low) & 1).astype(float) @ v)
+    return out
+
+
 def duck_mixed(a: str, b: str, seed: int = 42) -> str:
     x = f"(({a} * 69621 + {b} * 48271 + {seed}) % {_M})"
     y = f"(({x} * {x} + {a}) % {_M})"
@@ -233,7 +244,7 @@ def sign_flip(differences: DataFrame, keys: list[str], unit: str = "unit", value
                 total = np.zeros(permutations)
                 for k in range(0, len(part), rows):
                     u, v = part["u"].to_numpy()[k : k + rows], part["v"].to_numpy()[k : k + rows]
-                    total += np.where(_mixed(at[:, None], u[None, :], seed) % 2 == 0, 1.0, -1.0) @ v
+                    total += _signed_sums(at, u, v, seed)
                 yield pd.DataFrame(dict(zip(keys, key, strict=True)) | {"perm": at, "s": total})
 
     large = own.join(agg.filter(F.col("nz") > few).select(*keys), keys, "left_semi")

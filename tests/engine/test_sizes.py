@@ -111,3 +111,10 @@ def test_resamples_by_rank_agree_with_drawn_rows(spark):
         auc = [np.mean((yes[:, None, s] > no[None, :, s]) + 0.5 * (yes[:, None, s] == no[None, :, s])) for s in (0, 1)]
         assert [r["d"] for r in found if (r["k"], r["_b"]) == ("k", b)] == pytest.approx([auc[1] - auc[0]])
     assert all(r["d"] is None for r in found if r["k"] == "none")
+
+
+def test_signed_sums_take_the_drawn_signs():
+    rng = np.random.default_rng(2)
+    at, u, v = np.arange(1, 601), rng.integers(-50, 3_000_000_000, 70), rng.normal(size=70)
+    signs = np.where(T._mixed(at[:, None], u[None, :]) % 2 == 0, 1.0, -1.0)
+    assert T._signed_sums(at, u, v, 42) == pytest.approx(signs @ v, abs=1e-9)
