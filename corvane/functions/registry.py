@@ -41,13 +41,23 @@ def register_statistic(name: str, fn: Callable[[Column], Column]) -> Callable:
 
 
 def all_measures(edges: DataFrame, nodes: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(grp, subject, measure, value) of every registered or named measure, in one plan; what several built-in ones need is found once."""
-    from corvane.operators import measures
+    """(grp, subject, measure, value) of every registered or named measure, in one plan; what several built-in ones need is found once.
+
+    Built-in ones of graphs of few nodes come from one pass over packed graphs (`stacks`), of larger ones from joins.
+    """
+    from corvane.operators import measures, stacks
 
     shared, out = measures.Shared(edges, nodes), None
-    for name in names or sorted(MEASURES):
-        built_in = name in measures.MEASURES and MEASURES[name] is _BUILT_IN[name]
-        one = (measures.MEASURES[name](shared) if built_in else MEASURES[name](edges, nodes)).select("grp", "subject", F.lit(name).alias("measure"), F.col("value").cast("double").alias("value"))
+    names = names or sorted(MEASURES)
+    built_in = [name for name in names if name in measures.MEASURES and MEASURES[name] is _BUILT_IN[name]]
+    listed = [r["node"] for r in shared.nodes.distinct().limit(stacks.MOST_NODES + 1).collect()] if built_in else []
+    few = 2 <= len(listed) <= stacks.MOST_NODES
+    if few:
+        out = stacks.measures(edges, sorted(listed), built_in, measures.SEED)
+    for name in names:
+        if few and name in built_in:
+            continue
+        one = (measures.MEASURES[name](shared) if name in built_in else MEASURES[name](edges, nodes)).select("grp", "subject", F.lit(name).alias("measure"), F.col("value").cast("double").alias("value"))
         out = one if out is None else out.unionByName(one)
     return out
 
