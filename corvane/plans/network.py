@@ -193,19 +193,20 @@ def e26_node_summary(spark, sf):
     return s.groupBy(*KEY).agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("sd"), F.round(F.percentile(v, 0.5), 6).alias("median"), F.round(F.max(v), 6).alias("max"), F.round(F.min(v), 6).alias("min"))
 
 
-def _regions(spark, sf):
+def _regions(spark, sf, e):
     n = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("module"))
-    return n.crossJoin(G.graphs(net(spark, sf)))
+    return n.crossJoin(G.graphs(e))
 
 
 def e07_modularity_of_regions(spark, sf):
-    return G.modularity(net(spark, sf), _regions(spark, sf)).select(*KEY, r("value"))
+    e = net(spark, sf)
+    return G.modularity(e, _regions(spark, sf, e)).select(*KEY, r("value"))
 
 
 def e31_module_order(spark, sf):
     e = net(spark, sf)
     s = G.node_strength(e, nodes(spark, sf)).withColumn("s_total", F.round("s_total", 9))
-    return G.module_order(s, _regions(spark, sf)).select(*KEY, "node", "module", "place", "starts")
+    return G.module_order(s, _regions(spark, sf, e)).select(*KEY, "node", "module", "place", "starts")
 
 
 def f07_swapped_join(spark, sf):

@@ -118,3 +118,15 @@ def test_signed_sums_take_the_drawn_signs():
     at, u, v = np.arange(1, 601), rng.integers(-50, 3_000_000_000, 70), rng.normal(size=70)
     signs = np.where(T._mixed(at[:, None], u[None, :]) % 2 == 0, 1.0, -1.0)
     assert T._signed_sums(at, u, v, 42) == pytest.approx(signs @ v, abs=1e-9)
+
+
+def test_regions_read_the_net_once(spark, monkeypatch):
+    """Trade is joined and written once for a query, not once more for the list of its graphs."""
+    from corvane.plans import network
+
+    made, stage = [], network.stage_table
+    monkeypatch.setattr(network, "stage_table", lambda df, name: made.append(name) or stage(df, name))
+    for query in (network.e07_modularity_of_regions, network.e31_module_order):
+        made.clear()
+        query(spark, "/root/testdata/sf0.001")
+        assert made == ["net"]
