@@ -170,35 +170,48 @@ def butterworth(order: int, low: float, high: float) -> tuple[np.ndarray, np.nda
 
 
 def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    z, out = state.copy(), np.empty(len(x))
-    for k, v in enumerate(x):
-        y = b[0] * v + z[0]
-        z[:-1] = z[1:] + b[1:-1] * v - a[1:-1] * y
-        z[-1] = b[-1] * v - a[-1] * y
-        out[k] = y
+    z, out = state.copy(), np.empty(x.shape)
+    for k in range(x.shape[-1]):
+        v = x[..., k]
+        y = b[0] * v + z[..., 0]
+        z[..., :-1] = z[..., 1:] + b[1:-1] * v[..., None] - a[1:-1] * y[..., None]
+        z[..., -1] = b[-1] * v - a[-1] * y
+        out[..., k] = y
     return out
 
 
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward, with odd padding of three times the filter length and the steady state as start."""
-    pad = min(3 * max(len(a), len(b)), len(x) - 1)
+    """Rows of x forward and backward, with odd padding of three times the filter length and the steady state as start."""
+    pad = min(3 * max(len(a), len(b)), x.shape[-1] - 1)
     m = len(a) - 1
     companion = np.zeros((m, m))
     companion[:, 0], companion[:-1, 1:] = -a[1:], np.eye(m - 1)
     start = np.linalg.solve(np.eye(m) - companion, b[1:] - a[1:] * b[0])
-    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x
-    y = _filter(b, a, y, start * y[0])[::-1]
-    y = _filter(b, a, y, start * y[0])[::-1]
-    return y[pad : len(y) - pad] if pad > 0 else y
+    y = np.concatenate([2 * x[..., :1] - x[..., pad:0:-1], x, 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1]], axis=-1) if pad > 0 else x
+    y = _filter(b, a, y, start * y[..., :1])[..., ::-1]
+    y = _filter(b, a, y, start * y[..., :1])[..., ::-1]
+    return y[..., pad : y.shape[-1] - pad] if pad > 0 else y
 
 
-def _arrow(kernel):
+def _arrow(kernel, nested: bool = False):
+    """A column function of arrays, or of arrays of them; the kernel takes those of one length in a batch as rows of a matrix."""
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda x: kernel(np.asarray(x, float)).tolist())
+            rows = [np.asarray(x, float) for x in ((x for own in s for x in own) if nested else s)]
+            out = np.empty(len(rows), object)
+            sizes = np.array([len(x) for x in rows])
+            for n in np.unique(sizes):
+                own = np.flatnonzero(sizes == n)
+                for i, y in zip(own, kernel(np.stack([rows[i] for i in own])), strict=True):
+                    out[i] = y
+            if nested:
+                ends = np.cumsum([len(own) for own in s])
+                out = [out[end - len(own) : end].tolist() for own, end in zip(s, ends, strict=True)]
+            yield pd.Series(out, dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<double>")
+    return F.pandas_udf(run, "array<array<double>>" if nested else "array<double>")
 
 
 def band_pass(epochs: DataFrame, low: float, high: float, fs: float, order: int = 4) -> DataFrame:
@@ -211,7 +224,7 @@ def band_pass(epochs: DataFrame, low: float, high: float, fs: float, order: int
 
 def envelope(x: np.ndarray, eps: float = 1e-12) -> np.ndarray:
     """ln of the analytic signal's magnitude plus eps."""
-    n = len(x)
+    n = x.shape[-1]
     h = np.zeros(n)
     h[0] = 1
     h[1 : (n + 1) // 2] = 2
@@ -235,17 +248,20 @@ def resample(epochs: DataFrame, up: int, down: int) -> DataFrame:
     taps = np.sinc(t / max(up, down)) / max(up, down) * np.hanning(2 * half + 3)[1:-1] * up
 
     def kernel(x: np.ndarray) -> np.ndarray:
-        wide = np.zeros(len(x) * up)
-        wide[::up] = x
-        return np.convolve(wide, taps)[half : half + len(wide) : down]
+        wide = np.zeros((len(x), x.shape[1] * up))
+        wide[:, ::up] = x
+        return np.stack([np.convolve(row, taps)[half : half + len(row) : down] for row in wide])
 
     return epochs.withColumn("x", _arrow(kernel)("x"))
 
 
 def envelope_correlation(epochs: DataFrame) -> DataFrame:
-    """(SUBJECT, src, dst, w): |correlation| of log envelopes over all epochs and samples."""
+    """(SUBJECT, src, dst, w): |correlation| of log envelopes over all epochs and samples; channels of an epoch meet in one row."""
     from corvane.operators.connectivity import corr
 
-    flat = log_envelopes(epochs).select(*SUBJECT, "channel", "epoch", F.posexplode("x").alias("k", "v"))
-    a, b = flat.withColumnsRenamed({"channel": "src", "v": "va"}), flat.withColumnsRenamed({"channel": "dst", "v": "vb"})
-    return a.join(b, [*SUBJECT, "epoch", "k"]).filter("src < dst").groupBy(*SUBJECT, "src", "dst").agg(F.coalesce(F.abs(corr("va", "vb")), F.lit(0.0)).alias("w"))
+    rows = epochs.groupBy(*SUBJECT, "epoch").agg(F.collect_list(F.struct("channel", "x")).alias("_c"))
+    own = rows.select(*SUBJECT, F.zip_with("_c.channel", _arrow(envelope, nested=True)("_c.x"), lambda c, x: F.struct(c.alias("channel"), x.alias("x"))).alias("_c"))
+    pairs = own.select(*SUBJECT, "_c", F.explode("_c").alias("a")).select(*SUBJECT, "a", F.explode("_c").alias("b")).filter("a.channel < b.channel")
+    flat = pairs.select(*SUBJECT, F.col("a.channel").alias("src"), F.col("b.channel").alias("dst"), F.explode(F.zip_with("a.x", "b.x", lambda p, q: F.struct(p.alias("va"), q.alias("vb")))).alias("z"))
+    both = flat.select(*SUBJECT, "src", "dst", "z.va", "z.vb").filter("va IS NOT NULL AND vb IS NOT NULL")
+    return both.groupBy(*SUBJECT, "src", "dst").agg(F.coalesce(F.abs(corr("va", "vb")), F.lit(0.0)).alias("w"))

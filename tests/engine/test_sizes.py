@@ -130,3 +130,25 @@ def test_regions_read_the_net_once(spark, monkeypatch):
         made.clear()
         query(spark, "/root/testdata/sf0.001")
         assert made == ["net"]
+
+
+def test_kernels_take_arrays_of_one_length_together(spark):
+    """Lengths mixed in a batch, each against the kernel of its array alone."""
+    rng = np.random.default_rng(12)
+    rows = [("g", i, "c", 0, rng.normal(size=n).tolist()) for i, n in enumerate([20, 7, 20, 1, 7, 20, 33])]
+    frame = spark.createDataFrame(rows, "grp string, subject long, channel string, epoch int, x array<double>").coalesce(1)
+    b, a = V.butterworth(4, 0.2, 0.6)
+    for table, alone in ((V.band_pass(frame, 2.0, 6.0, 20.0), lambda x: V.zero_phase(b, a, x)), (V.log_envelopes(frame), V.envelope), (V.resample(frame, 3, 2), None)):
+        got = {r["subject"]: r["x"] for r in table.collect()}
+        assert len(got) == 7
+        for _, i, _, _, x in rows:
+            assert len(got[i]) == (len(x) if alone else math.ceil(len(x) * 3 / 2))
+            assert alone is None or got[i] == pytest.approx(alone(np.array(x)).tolist(), abs=1e-12)
+    flat, stacked = rng.normal(size=(5, 40)), []
+    for x in flat:  # sample by sample, as one array was filtered before
+        z, y = np.zeros(len(a) - 1), []
+        for v in x:
+            y.append(b[0] * v + z[0])
+            z = np.append(z[1:], 0.0) + b[1:] * v - a[1:] * y[-1]
+        stacked.append(y)
+    assert V._filter(b, a, flat, np.zeros((5, len(a) - 1))) == pytest.approx(np.array(stacked), abs=1e-12)
