@@ -144,8 +144,8 @@ def c05_broadband(spark, sf):
     """Filtered, resampled to half the rate and standardised."""
     x = V.resample(V.band_pass(_packed(spark, sf), 1.0, 8.0, 20.0), 1, 2)
     flat = x.select("grp", "subject", "channel", "epoch", F.posexplode("x").alias("k", "v"))
-    s = flat.groupBy("grp", "subject", "channel").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    return flat.join(s, ["grp", "subject", "channel"]).select("subject", "channel", "epoch", "k", F.round((F.col("v") - F.col("m")) / F.greatest("s", F.lit(1e-12)), 4).alias("v"))
+    w = Window.partitionBy("grp", "subject", "channel")  # not a join, which would filter twice
+    return flat.withColumns({"m": F.avg("v").over(w), "s": F.stddev_pop("v").over(w)}).select("subject", "channel", "epoch", "k", F.round((F.col("v") - F.col("m")) / F.greatest("s", F.lit(1e-12)), 4).alias("v"))
 
 
 def c06_resampled(spark, sf):
