@@ -55,3 +55,23 @@ def test_fronts_of_two_objectives_equal_all_pairs(spark):
     able = [r for r in rows if r[4]]
     beats = lambda p, q: None not in (*p[2:4], *q[2:4]) and p[2] <= q[2] and p[3] <= q[3] and (p[2] < q[2] or p[3] < q[3])
     assert got == {r[:2] for r in able if not any(o[0] == r[0] and beats(o, r) for o in able)}
+
+
+def test_small_graphs_need_one_pass(spark, monkeypatch):
+    """No joins, stage tables or groups of Python a measure; sparse graphs, single edges and self edges agree with the joins."""
+    from corvane.operators import stacks
+
+    rng = np.random.default_rng(7)
+    rows = [("g", f"s{s}", i, j, float(np.round(rng.random() + 0.05, 2))) for s in range(12) for i in range(5) for j in range(5) if i != j and rng.random() < 0.1 + 0.07 * s] + [("g", "one", 1, 3, 0.5), ("g", "self", 2, 2, 0.5)]
+    e, n = spark.createDataFrame(rows, "grp string, subject string, src int, dst int, w double").cache(), spark.createDataFrame([(i,) for i in range(5)], "node int")
+    with monkeypatch.context() as m:
+        m.setattr(M, "stage_table", lambda *_: pytest.fail("a stage table"))
+        found = registry.all_measures(e, n)
+        plan = found._jdf.queryExecution().toString()
+        assert plan.count("Join") <= 4 and "FlatMapGroupsInPandas" not in plan  # the join is that of the pairs to be drawn, in each of four plans
+        got = {tuple(r[:3]): r["value"] for r in found.collect()}
+    monkeypatch.setattr(stacks, "MOST_NODES", 1)
+    want = {tuple(r[:3]): r["value"] for r in registry.all_measures(e, n).collect()}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == (pytest.approx(v, abs=1e-9) if v is not None else None), k
