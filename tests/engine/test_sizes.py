@@ -1,6 +1,8 @@
 """Small cases of what went wrong on larger tables: bins at half seconds, sums of products, residuals, many sources, large margins."""
 
+import glob
 import math
+import os
 
 import numpy as np
 import pytest
@@ -9,7 +11,9 @@ from corvane.operators import matching as H
 from corvane.operators import resampling as X
 from corvane.operators import stats as T
 from corvane.operators import var as V
+from corvane.plans import selections
 from corvane.sources import adapters as A
+from corvane.sources import cohort_files as K
 from pyspark.sql import functions as F
 
 
@@ -152,3 +156,44 @@ def test_kernels_take_arrays_of_one_length_together(spark):
             z = np.append(z[1:], 0.0) + b[1:] * v - a[1:] * y[-1]
         stacked.append(y)
     assert V._filter(b, a, flat, np.zeros((5, len(a) - 1))) == pytest.approx(np.array(stacked), abs=1e-12)
+
+
+def test_cohort_scan_has_fewer_files_than_subjects(spark, tmp_path, monkeypatch):
+    """200 users in at most a file for each group and shuffle partition, with the subjects that a folder for each of them gives."""
+    rows = [(i, i % 200, "ab"[i // 200 % 2], float(i)) for i in range(1700)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(selections, "_root", lambda spark, name: f"file://{tmp_path}/cohort")
+    got = {r["subject"]: (r["status"], r["samples"], r["channels"]) for r in selections.a01_cohort_scan(spark, str(tmp_path)).collect()}
+    assert 0 < len(glob.glob(f"{tmp_path}/cohort/**/*.parquet", recursive=True)) <= 8
+    own = {u: [i for i in range(1700) if i % 200 == u] for u in range(200)}
+    assert got == {u: ("values", None, None) if u % 7 == 3 and any(i % 3 == 0 for i in x) else ("read", len(x), 2) for u, x in own.items()}
+
+
+def test_broken_packed_files_set_their_subjects_aside(spark, tmp_path):
+    """A file that can't be read, one that is gone and one that lost rows: each subject of theirs is named, and no other."""
+    root = f"file://{tmp_path}/cohort"
+    rows = [("g", str(s) if s else None, "x", t, float(s + t)) for s in range(40) for t in range(5)]
+    samples = spark.createDataFrame(rows, "grp string, subject string, channel string, t long, v double")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        index = K.write_packed(samples, root)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sorted((r["grp"], r["subject"] or "", r["n"]) for r in index.collect()) == sorted(("g", str(s) if s else "", 5) for s in range(40))
+    good, aside = K.scan_cohort(spark, root, 2, index=index)
+    assert aside.count() == 0 and sorted(map(str, good.collect())) == sorted(map(str, samples.collect()))
+    files = sorted(glob.glob(f"{tmp_path}/cohort/grp=g/*.parquet"))
+    assert len(files) == 4
+    lost = {r["subject"] for r in index.filter(F.col("file").isin([os.path.basename(f) for f in files[:3]])).collect()}
+    short = spark.read.parquet(f"file://{files[2]}").filter("t < 4").coalesce(1)
+    short.write.parquet(f"file://{tmp_path}/short")
+    for f in files[:3]:
+        os.remove(f)
+        os.remove(f"{os.path.dirname(f)}/.{os.path.basename(f)}.crc")
+    with open(files[0], "wb") as f:
+        f.write(b"not a table")
+    os.rename(glob.glob(f"{tmp_path}/short/*.parquet")[0], files[2])
+    good, aside = K.scan_cohort(spark, root, 2, index=index)
+    assert sorted((r["subject"] or "", r["reason"]) for r in aside.collect()) == sorted((s or "", "unreadable") for s in lost)
+    assert {r["subject"] for r in good.select("subject").distinct().collect()} == {str(s) if s else None for s in range(40)} - lost
