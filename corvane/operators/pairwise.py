@@ -9,13 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.connectivity import EPS, PAIR, TINY, by_frequency, corr
 from corvane.operators.signals import EPOCH
-from corvane.operators.var import SUBJECT, _types, lag_matrices
+from corvane.operators.var import SUBJECT, by_subject, lag_matrices
 
 COEFFICIENTS = ("aa", "ab", "ba", "bb")  # of a pair (a, b): from a to a, from b to a, from a to b, from b to b
 
@@ -24,12 +23,8 @@ def bivariate(gram: DataFrame, order: int, ridge: float = 0.0) -> DataFrame:
     """(PAIR, aa, ab, ba, bb, va, vab, vb): for src < dst the lag coefficients, as arrays, and the residual sums of products of an autoregression of those two channels alone."""
     kind = dict(gram.dtypes)["i"]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(frame["i"].unique())
-        n, at = len(names), {c: k for k, c in enumerate(names)}
-        full = np.zeros(((order + 1) * n, (order + 1) * n))
-        full[frame["li"].to_numpy() * n + frame["i"].map(at).to_numpy(), frame["lj"].to_numpy() * n + frame["j"].map(at).to_numpy()] = frame["s"]
-        out = []
+    def kernel(names: list[str], full: np.ndarray) -> list[tuple]:
+        n, out = len(names), []
         for i in range(n):
             for j in range(i + 1, n):
                 own = np.array([lag * n + c for lag in range(order + 1) for c in (i, j)])
@@ -39,11 +34,10 @@ def bivariate(gram: DataFrame, order: int, ridge: float = 0.0) -> DataFrame:
                 left = g[:2, :2] - coef.T @ xy - xy.T @ coef + coef.T @ xx @ coef
                 a = lag_matrices(coef, 2)
                 out.append((names[i], names[j], *[a[:, t, s].tolist() for t, s in ((0, 0), (0, 1), (1, 0), (1, 1))], left[0, 0], left[0, 1], left[1, 1]))
-        columns = ["src", "dst", *COEFFICIENTS, "va", "vab", "vb"]
-        return pd.DataFrame(out, columns=columns).assign(**{k: frame[k].iloc[0] for k in SUBJECT})[[*SUBJECT, *columns]]
+        return out
 
     arrays = ", ".join(f"{c} array<double>" for c in COEFFICIENTS)
-    return gram.groupBy(*SUBJECT).applyInPandas(run, f"{_types(gram)}, src {kind}, dst {kind}, {arrays}, va double, vab double, vb double")
+    return by_subject(gram, kernel, order, f"src {kind}, dst {kind}, {arrays}, va double, vab double, vb double")
 
 
 def _transfer(name: str, order: int, own: bool) -> tuple[Column, Column]:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from corvane.operators import connectivity as C
 from corvane.operators import matching as H
+from corvane.operators import pairwise as W
 from corvane.operators import resampling as X
 from corvane.operators import stats as T
 from corvane.operators import var as V
@@ -197,3 +198,22 @@ def test_broken_packed_files_set_their_subjects_aside(spark, tmp_path):
     good, aside = K.scan_cohort(spark, root, 2, index=index)
     assert sorted((r["subject"] or "", r["reason"]) for r in aside.collect()) == sorted((s or "", "unreadable") for s in lost)
     assert {r["subject"] for r in good.select("subject").distinct().collect()} == {str(s) if s else None for s in range(40)} - lost
+
+
+def test_fits_of_many_subjects_are_rows_and_not_groups(spark):
+    """Against numpy for 300 subjects of two to four channels, some without a group; no subject is a Python group of its own."""
+    rng = np.random.default_rng(7)
+    data = {(("g", None)[s % 2], s): rng.normal(size=(2 + s % 3, 12)) for s in range(300)}
+    rows = [(g, s, "wxyz"[c], 0, k, float(x[c, k])) for (g, s), x in data.items() for c in range(len(x)) for k in range(12)]
+    gram = C.gram(spark.createDataFrame(rows, "grp string, subject long, channel string, epoch int, k int, v double"), 1).cache()
+    fits = V.coefficients(gram, 1, 0.5)
+    for one in (fits, V.diagnostics(gram, 1), V.conditional_wald(gram, 1), V.spectral_directed(gram, 1, {"all": (0.1, 0.4)}), W.bivariate(gram, 1)):
+        assert "FlatMapGroupsInPandas" not in one._jdf.queryExecution().toString()
+    got = {(r["grp"], r["subject"], r["target"], r["source"]): r["a"] for r in fits.collect()}
+    want = {}
+    for (g, s), x in data.items():
+        now, past = x[:, 1:], x[:, :-1]
+        a = np.linalg.solve(past @ past.T + 0.5 * np.eye(len(x)), past @ now.T)
+        want |= {(g, s, "wxyz"[t], "wxyz"[c]): a[c, t] for t in range(len(x)) for c in range(len(x))}
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+    gram.unpersist()
