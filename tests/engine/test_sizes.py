@@ -45,6 +45,12 @@ def test_sliding_windows_take_the_nearest_second(spark, tmp_path):
     assert got == _sql_rows(path, models.SQL["k01_event_epochs"]) and len(got) == 5
 
 
+def test_daily_quality_takes_the_nearest_second(spark, tmp_path):
+    path = _late_events(spark, tmp_path)
+    got = sorted(tuple(r) for r in models.k02_epoch_quality(spark, path).collect())
+    assert got == _sql_rows(path, models.SQL["k02_epoch_quality"]) and [r[0] for r in got] == [1704067200, 1704240000]
+
+
 def test_greedy_choice_among_many_sources(spark):
     """More sources than the bound on targets, with repeated names: each target takes the nearest name that is left."""
     rng = np.random.default_rng(3)
