@@ -19,8 +19,9 @@ PAIR = ["grp", "subject", "src", "dst"]
 
 
 def corr(a: str, b: str) -> Column:
-    """Pearson correlation; null where a side does not vary."""
-    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+    """Pearson correlation of values that are there in pairs; null where a side does not vary, by its ends: merged variances of equal values are not exactly 0."""
+    varies = (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b))))
 
 
 def cross(spectrum: DataFrame, ordered: bool = False) -> DataFrame:

@@ -51,6 +51,14 @@ def test_daily_quality_takes_the_nearest_second(spark, tmp_path):
     assert got == _sql_rows(path, models.SQL["k02_epoch_quality"]) and [r[0] for r in got] == [1704067200, 1704240000]
 
 
+def test_correlation_with_equal_values_is_none(spark):
+    """Sums of tasks with uneven numbers of rows are merged, one of them empty at first; equal values do not vary for all that."""
+    x = spark.range(0, 60, 1, 3).select("id", F.explode(F.sequence(F.lit(1), 3 + F.col("id"))).alias("n")).select((F.col("id") % 17 + F.col("n") % 5).cast("double").alias("a"), F.lit(math.log(1e-12)).alias("b"), F.col("id") % 7 > 2, F.col("n") % 3)
+    x = x.toDF("a", "b", "u", "w")
+    found = x.groupBy("u", "w").agg(C.corr("a", "b").alias("c"), C.corr("b", "a").alias("d"), C.corr("a", "a").alias("e")).collect()
+    assert [r[2:] for r in found] == [(None, None, pytest.approx(1.0))] * 6
+
+
 def test_greedy_choice_among_many_sources(spark):
     """More sources than the bound on targets, with repeated names: each target takes the nearest name that is left."""
     rng = np.random.default_rng(3)
