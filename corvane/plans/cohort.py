@@ -265,7 +265,7 @@ def h05_selection_superiority(spark, sf):
 
 def i04_stratified_folds(spark, sf):
     f = A.feature(spark, sf).filter("ord = 0").select("subject", "y")
-    return R.folds(f, "y", (F.col("subject") * 7919) % 10007, 5).select("subject", "y", F.col("fold").cast("long").alias("fold"))
+    return R.folds(f, "y", (F.col("subject") * 7919) % 10007, 5, ["subject"]).select("subject", "y", F.col("fold").cast("long").alias("fold"))
 
 
 def i23_probability_metrics(spark, sf):

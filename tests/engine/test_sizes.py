@@ -11,6 +11,7 @@ from corvane.operators import connectivity as C
 from corvane.operators import matching as H
 from corvane.operators import pairwise as W
 from corvane.operators import resampling as X
+from corvane.operators import rollups as R
 from corvane.operators import stats as T
 from corvane.operators import var as V
 from corvane.plans import models, selections
@@ -59,6 +60,17 @@ def test_correlation_with_equal_values_is_none(spark):
     assert [r[2:] for r in found] == [(None, None, pytest.approx(1.0))] * 6
 
 
+def test_folds_of_equal_orders_follow_the_ties(spark):
+    """Orders that repeat, in tasks of any number: rows of equal order are dealt by subject, so folds do not hang on who arrives first."""
+    rows = [(i, i % 2) for i in range(2000)]
+    seen = {y: sorted((i % 7, i) for i, z in rows if z == y) for y in (0, 1)}
+    want = {i: k % 5 for own in seen.values() for k, (_, i) in enumerate(own)}
+    frame = spark.createDataFrame(rows, "subject long, y int").orderBy(F.rand(3))
+    for parts in (1, 5):
+        found = R.folds(frame.repartition(parts), "y", F.col("subject") % 7, 5, ["subject"])
+        assert {r["subject"]: r["fold"] for r in found.collect()} == want
+
+
 def test_greedy_choice_among_many_sources(spark):
     """More sources than the bound on targets, with repeated names: each target takes the nearest name that is left."""
     rng = np.random.default_rng(3)
