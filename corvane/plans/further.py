@@ -162,18 +162,11 @@ def c16_envelopes(spark, sf):
 # ---------------------------------------------------------------- D
 
 
-def _cross(spark, sf, ordered: bool) -> DataFrame:
-    return stage_table(spectral.banded(C.cross(spectral.spectrum(spark, sf), ordered)), "cross")
-
-
 def d39_all_estimators(spark, sf):
     """Every estimator of every band in one long table."""
-    u, d = spectral._per_band(_cross(spark, sf, False), C.undirected), spectral._per_band(_cross(spark, sf, True), C.directed)
-    out = None
-    for x, names in ((u, ("coherence", "imcoh", "plv", "ciplv", "ppc", "pli", "dwpli2")), (d, ("dpli", "dwpli", "psi"))):
-        one = x.select("band", "subject", "src", "dst", F.explode(F.create_map(*[v for n in names for v in (F.lit(n), F.round(n, 5))])).alias("method", "w"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    kernel = X.estimator_rows(spectral.HANN, spectral.BINS, spectral.BANDS)
+    x = X.apply(A.recordings(spark, sf), A.BINS, spectral.N, kernel, ["band", "src", "dst", "method"], ["w"])
+    return x.select("band", "subject", "src", "dst", "method", r("w", 5))
 
 
 def d18_envelope_correlation(spark, sf):
