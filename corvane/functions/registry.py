@@ -40,6 +40,11 @@ def register_statistic(name: str, fn: Callable[[Column], Column]) -> Callable:
     return _register(STATISTICS, name, fn)
 
 
+def built_in(names: list[str]) -> bool:
+    """Whether all names are those of measures that are registered from the start."""
+    return all(name in _BUILT_IN and MEASURES.get(name) is _BUILT_IN[name] for name in names)
+
+
 def all_measures(edges: DataFrame, nodes: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(grp, subject, measure, value) of every registered or named measure, in one plan; what several built-in ones need is found once.
 

@@ -244,8 +244,29 @@ def e23_all_measures(spark, sf):
 
 def e24_measures_of_connectivity(spark, sf):
     """Measures of every subject, estimator and band in one long table."""
-    e, n = _connectivity(spark, sf)
-    return _by_method(registry.all_measures(e, n, ["clustering", "density", "mean", "mean_strength", "transitivity"]))
+    return _measures_of_connectivity(spark, sf, ["clustering", "density", "mean", "mean_strength", "transitivity"])
+
+
+def _measures_of_connectivity(spark, sf, names: list[str]) -> DataFrame:
+    """Measures of the rounded estimators of `d39_all_estimators`: in one pass over recordings where there are few channels, else by joins."""
+    listed = sorted(x["node"] for x in A.table(spark, sf, "events").select(F.col("event_type").alias("node")).filter("node IS NOT NULL").distinct().limit(stacks.MOST_NODES + 1).collect())
+    if not 2 <= len(listed) <= stacks.MOST_NODES or not registry.built_in(names):
+        m = registry.all_measures(*_connectivity(spark, sf), names)
+        part = F.split("subject", "[|]")
+        return m.select(part[0].alias("subject"), part[1].alias("method"), part[2].alias("band"), "measure", r("value", 4))
+    rows, kernel = A.recordings(spark, sf), X.graph_rows(spectral.HANN, spectral.BINS, spectral.BANDS, names)
+    if "small_worldness" in names:
+        rows = rows.withColumn("draws", _draws(len(listed)))
+    m = X.apply(rows, A.BINS, spectral.N, kernel, ["method", "band", "measure"], ["value"], 5)
+    return m.select(F.col("subject").cast("string").alias("subject"), "method", "band", "measure", F.round(F.when(~F.isnan("value"), F.col("value")), 4).alias("value"))
+
+
+def _draws(n: int) -> Column:
+    """The draws of `stacks.measures` for the graph of every method and band, in order: a number for each ordered pair of different channels."""
+    keys = F.array(*[F.concat_ws("|", "subject", F.lit(m), F.lit(b)) for m in X.UNDIRECTED + X.DIRECTED for b in spectral.BANDS])
+    ordered = F.array(*[F.struct(F.col("channels")[i].alias("src"), F.col("channels")[j].alias("dst")) for i in range(n) for j in range(n) if i != j])
+    one = lambda k, p: F.pmod(F.xxhash64(F.lit(measures.SEED), F.lit("all"), k, p["src"], p["dst"]), F.lit(1 << 40)) / float(1 << 40)
+    return F.flatten(F.transform(keys, lambda k: F.transform(ordered, lambda p: one(k, p))))
 
 
 def _by_method(m: DataFrame) -> DataFrame:
