@@ -269,11 +269,6 @@ def _draws(n: int) -> Column:
     return F.flatten(F.transform(keys, lambda k: F.transform(ordered, lambda p: one(k, p))))
 
 
-def _by_method(m: DataFrame) -> DataFrame:
-    part = F.split("subject", "[|]")
-    return m.select(part[0].alias("subject"), part[1].alias("method"), part[2].alias("band"), "measure", r("value", 4))
-
-
 def _connectivity(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) of every subject, estimator and band as graphs of their own."""
     x = d39_all_estimators(spark, sf).filter("w > 0").select(F.lit("all").alias("grp"), F.concat_ws("|", "subject", "method", "band").alias("subject"), "src", "dst", "w")
@@ -290,7 +285,7 @@ def e23_twenty_measures(spark, sf):
 
 def e24_twenty_measures_of_connectivity(spark, sf):
     """All built-in measures of every subject, estimator and band."""
-    return _by_method(registry.all_measures(*_connectivity(spark, sf)))
+    return _measures_of_connectivity(spark, sf, sorted(registry.MEASURES))
 
 
 def g14_rank_lookup(spark, sf):
