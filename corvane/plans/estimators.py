@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.stages import stage_table
 from corvane.operators import connectivity as C
 from corvane.operators import pairwise as P
+from corvane.operators import recordings as X
 from corvane.operators import signals as S
 from corvane.plans import spectral
 from corvane.plans.network import r
 from corvane.plans.spectral import N, _sp
+from corvane.sources import adapters as A
 
 TAPERS, RIDGE, POINTS = 3, 1.0, 24
 BANDS = {"delta": (0.05, 0.15), "alpha": (0.2, 0.3), "beta": (0.35, 0.5)}
@@ -47,8 +50,14 @@ def _cross(spark, sf) -> DataFrame:
     return stage_table(spectral.banded(P.taper_cross(P.multitaper(spectral.samples(spark, sf), P.sine_tapers(N, TAPERS), 0.05, 0.5))), "cross")
 
 
+def _tapered(spark, sf, rows, values: list[str]) -> DataFrame:
+    kernel = rows(np.array(P.sine_tapers(N, TAPERS)), spectral.BINS, spectral.BANDS)
+    return X.apply(A.recordings(spark, sf), A.BINS, N, kernel, ["src", "dst", "band"], values, TAPERS)
+
+
 def d12_d14_multitaper(spark, sf):
-    return P.taper_measures(_cross(spark, sf)).select("subject", "src", "dst", "band", *[r(c, 4) for c in ("coherence", "imcoh", "plv", "ciplv", "dwpli2")])
+    names = ["coherence", "imcoh", "plv", "ciplv", "dwpli2"]
+    return _tapered(spark, sf, X.taper_rows, names).select("subject", "src", "dst", "band", *[r(c, 4) for c in names])
 
 
 def d13_multitaper_slope(spark, sf):
