@@ -46,10 +46,6 @@ def d19_orthogonalised_envelopes(spark, sf):
     return P.orthogonalised_envelopes(parts).select("subject", "src", "dst", r("w", 4))
 
 
-def _cross(spark, sf) -> DataFrame:
-    return stage_table(spectral.banded(P.taper_cross(P.multitaper(spectral.samples(spark, sf), P.sine_tapers(N, TAPERS), 0.05, 0.5))), "cross")
-
-
 def _tapered(spark, sf, rows, values: list[str]) -> DataFrame:
     kernel = rows(np.array(P.sine_tapers(N, TAPERS)), spectral.BINS, spectral.BANDS)
     return X.apply(A.recordings(spark, sf), A.BINS, N, kernel, ["src", "dst", "band"], values, TAPERS)
@@ -61,7 +57,7 @@ def d12_d14_multitaper(spark, sf):
 
 
 def d13_multitaper_slope(spark, sf):
-    return P.split_slope(_cross(spark, sf)).select("subject", "src", "dst", "band", r("psi", 4))
+    return _tapered(spark, sf, X.slope_rows, ["psi"]).select("subject", "src", "dst", "band", r("psi", 4))
 
 
 def _granger_sql(name: str, reverse: bool) -> list[str]:
