@@ -20,25 +20,31 @@ TAPERS, RIDGE, POINTS = 3, 1.0, 24
 BANDS = {"delta": (0.05, 0.15), "alpha": (0.2, 0.3), "beta": (0.35, 0.5)}
 
 
-def _granger(samples: DataFrame, order: int) -> DataFrame:
+def _long_granger(samples: DataFrame, order: int) -> DataFrame:
     centred = samples.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("grp", "subject", "channel")))
     pairs = stage_table(P.bivariate(C.gram(centred, order), order, RIDGE), "pairs")
     return P.spectral_granger(pairs, order, BANDS, POINTS)
 
 
+def _granger(spark, sf, order: int, back: bool = False) -> DataFrame:
+    """(SUBJECT, src, dst, band, gc), and `reversed` of reversed epochs."""
+    kernel = X.granger_rows(order, RIDGE, BANDS, POINTS, back)
+    return X.apply(A.recordings(spark, sf), A.BINS, N, kernel, ["src", "dst", "band"], ["gc", "reversed"] if back else ["gc"])
+
+
 def d15_spectral_granger(spark, sf):
-    return _granger(spectral.samples(spark, sf), 1).select("subject", "src", "dst", "band", r("gc", 4))
+    return _granger(spark, sf, 1).select("subject", "src", "dst", "band", r("gc", 4))
 
 
 def d16_reversed_granger(spark, sf):
     """The same of reversed epochs, beside the flow of the epochs as they are: a true flow turns round."""
-    back = _granger(S.reversed_time(spectral.samples(spark, sf), N), 1).withColumnRenamed("gc", "reversed")
-    both = _granger(spectral.samples(spark, sf), 1).join(back, [*C.PAIR, "band"])
+    back = _long_granger(S.reversed_time(spectral.samples(spark, sf), N), 1).withColumnRenamed("gc", "reversed")
+    both = _long_granger(spectral.samples(spark, sf), 1).join(back, [*C.PAIR, "band"])
     return both.select("subject", "src", "dst", "band", r("gc", 4), r("reversed", 4))
 
 
 def d15_granger_of_three_lags(spark, sf):
-    return _granger(spectral.samples(spark, sf), 3).select("subject", "src", "dst", "band", r("gc", 3))
+    return _granger(spark, sf, 3).select("subject", "src", "dst", "band", r("gc", 3))
 
 
 def d19_orthogonalised_envelopes(spark, sf):
