@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from corvane.functions.stages import stage_table
-from corvane.operators import connectivity as C
 from corvane.operators import pairwise as P
 from corvane.operators import recordings as X
-from corvane.operators import signals as S
 from corvane.plans import spectral
 from corvane.plans.network import r
 from corvane.plans.spectral import N, _sp
@@ -20,12 +17,6 @@ TAPERS, RIDGE, POINTS = 3, 1.0, 24
 BANDS = {"delta": (0.05, 0.15), "alpha": (0.2, 0.3), "beta": (0.35, 0.5)}
 
 
-def _long_granger(samples: DataFrame, order: int) -> DataFrame:
-    centred = samples.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("grp", "subject", "channel")))
-    pairs = stage_table(P.bivariate(C.gram(centred, order), order, RIDGE), "pairs")
-    return P.spectral_granger(pairs, order, BANDS, POINTS)
-
-
 def _granger(spark, sf, order: int, back: bool = False) -> DataFrame:
     """(SUBJECT, src, dst, band, gc), and `reversed` of reversed epochs."""
     kernel = X.granger_rows(order, RIDGE, BANDS, POINTS, back)
@@ -38,9 +29,7 @@ def d15_spectral_granger(spark, sf):
 
 def d16_reversed_granger(spark, sf):
     """The same of reversed epochs, beside the flow of the epochs as they are: a true flow turns round."""
-    back = _long_granger(S.reversed_time(spectral.samples(spark, sf), N), 1).withColumnRenamed("gc", "reversed")
-    both = _long_granger(spectral.samples(spark, sf), 1).join(back, [*C.PAIR, "band"])
-    return both.select("subject", "src", "dst", "band", r("gc", 4), r("reversed", 4))
+    return _granger(spark, sf, 1, True).select("subject", "src", "dst", "band", r("gc", 4), r("reversed", 4))
 
 
 def d15_granger_of_three_lags(spark, sf):
