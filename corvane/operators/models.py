@@ -62,7 +62,7 @@ def probability(df: DataFrame) -> DataFrame:
 
 def out_of_fold(data: DataFrame, n: int, name: str = "logistic", k: int = 5, top: int | None = None, c: float = 1.0, order=None) -> DataFrame:
     """(subject, y, fold, p): every subject scored once by a model that has not seen its fold."""
-    dealt = folds(data, "y", F.xxhash64("subject") if order is None else order, k).cache()
+    dealt = folds(data, "y", F.xxhash64("subject") if order is None else order, k, ["subject"]).cache()
     size, out = dealt.count(), None
     for fold in range(k):
         model = Pipeline(stages=[*preprocessing(n, top), classifier(name, c, size)]).fit(dealt.filter(F.col("fold") != fold))
@@ -73,12 +73,12 @@ def out_of_fold(data: DataFrame, n: int, name: str = "logistic", k: int = 5, top
 
 def nested_out_of_fold(data: DataFrame, n: int, grid: tuple[float, ...] = (0.03, 0.3, 3.0), k: int = 5, inner: int = 3) -> DataFrame:
     """(subject, y, fold, c, p): regularisation chosen by AUC on inner folds of each training part."""
-    dealt = folds(data, "y", F.xxhash64("subject"), k)
+    dealt = folds(data, "y", F.xxhash64("subject"), k, ["subject"])
     size, out = data.count(), None
     for fold in range(k):
         lr = LogisticRegression(labelCol="y")
         params = ParamGridBuilder().addGrid(lr.regParam, [1 / (c * size) for c in grid]).build()
-        train = folds(dealt.filter(F.col("fold") != fold), "y", F.xxhash64("subject", F.lit(fold)), inner).withColumn("inner", F.col("fold").cast("int"))
+        train = folds(dealt.filter(F.col("fold") != fold), "y", F.xxhash64("subject", F.lit(fold)), inner, ["subject"]).withColumn("inner", F.col("fold").cast("int"))
         cv = CrossValidator(estimator=Pipeline(stages=[*preprocessing(n), lr]), estimatorParamMaps=params, evaluator=BinaryClassificationEvaluator(labelCol="y"), foldCol="inner", numFolds=inner)
         best = cv.fit(train).bestModel
         chosen = 1 / (best.stages[-1].getRegParam() * size)
